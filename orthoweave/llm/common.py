@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,3 +125,25 @@ class Words:
 
     def full(self) -> bool:
         return len(self.ids) > self.limit
+
+
+def split_words(texts: list[bytes | None], lower: bool = False) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Words [^\\x20\\x09-\\x0D]+ of texts: (distinct words, their numbers in order, number of words of each text)."""
+    texts = [(t.lower() if lower else t) if t else b"" for t in texts]
+    pieces = pc.ascii_split_whitespace(pa.array([t.decode() for t in texts], type=pa.string()))
+    flat = pieces.flatten().dictionary_encode()
+    codes = flat.indices.to_numpy().astype(np.int64)
+    counts = pc.list_value_length(pieces).to_numpy().astype(np.int64)
+    distinct = flat.dictionary.cast(pa.binary()).to_pylist()
+    if b"" in distinct:  # white space at either end of a text leaves an empty piece
+        full = codes != distinct.index(b"")
+        counts = sums(full, counts)
+        codes = codes[full]
+    return distinct, codes, counts
+
+
+def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of values over consecutive runs of the given lengths."""
+    total = np.concatenate([[0], np.cumsum(values, dtype=np.float64 if values.dtype.kind == "f" else np.int64)])
+    ends = np.cumsum(counts)
+    return total[ends] - total[ends - counts]

@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import contamination
+from .packing import packed_pieces
 from .quality_bands import quality
 from .simhash_trie import near_duplicates
+from .textcode import tokenizer_path
+from .token_store import read_shards, write_shards
 from .toxicity import toxicity
 
 
@@ -16,11 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Files of the public tokenizers that the queries use.
+STORED, COUNTED = "word_bpe_49k.json", "byte_bpe_50k.json"
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_token_store": lambda s, d: read_shards(write_shards(table(s, d, "documents"), tokenizer_path(STORED))),
     "op5_decontaminate": lambda s, d: contamination(table(s, d, "documents"), table(s, d, "benchmark")),
     "op6_quality_bands": lambda s, d: quality(table(s, d, "documents")),
     "op8_toxicity": lambda s, d: toxicity(table(s, d, "documents"), table(s, d, "labels")),
     "op9_simhash_trie": lambda s, d: near_duplicates(table(s, d, "documents")),
+    "op10_pack_residual": lambda s, d: packed_pieces(table(s, d, "documents"), tokenizer_path(COUNTED)),
 }
 
 ORACLES: dict[str, str] = {}
