@@ -25,7 +25,7 @@ from .common import Words, as_bytes, doc_text, in_fold, map_batches, mix64, prep
 FOLDS, HELD_OUT = 5, 0
 #: Bound of the training sample: documents of each label.
 SAMPLE_PER_LABEL = 3000
-ALPHA, BETA, L1, L2, EPOCHS = 0.15, 1.0, 2.0, 1.0, 4
+ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 5.0, 0.1, 8
 
 
 class Features:
