@@ -12,8 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows an Arrow batch holds at most: whole texts may be long, so batches are kept small.
-BATCH_ROWS = 1024
+#: Rows and bytes an Arrow batch holds at most, as whole texts may be long.
+BATCH_ROWS, BATCH_BYTES = 4096, 16 << 20
 
 #: A null doc_id stands after every other one.
 LAST_ID = (1 << 63) - 1
@@ -46,8 +46,9 @@ def written(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """Small Arrow batches for this session, as one batch holds whole texts."""
+    """Bounded Arrow batches for this session, as one batch holds whole texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 

@@ -26,6 +26,7 @@ _CONTROL = bytes(range(0x1C, 0x20)) + b"\x0b\x0c\x01"
 _SPACE = (b" ", b"\t", b"\r", b"\n")
 #: Without any of these, each white-space character stands alone and is a space or a line end.
 _RUNS = (b"  ", b" \n", b"\n ", b"\n\n", b"\t", b"\r")
+_MARKS = (b".", b",")
 _LED = re.compile(rb"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
 
 
@@ -36,6 +37,15 @@ def odd(text: bytes) -> bool:
     return not text.isascii() and _ODD.search(text) is not None
 
 
+def _letters(stem: bytes) -> bool:
+    """Latin letters, after a space or line end at most."""
+    word = stem[1:] if stem[:1] in (b" ", b"\n") else stem
+    if word.isascii():
+        return word.isalpha()
+    text = word.decode()
+    return text.isalpha() and max(text) < "\u0250" and text.lower().isalpha()
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -79,10 +89,13 @@ class Encoder:
     def _library(self, texts: list[bytes]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
+    def _joined(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
     def _store(self, at: np.ndarray, lengths: np.ndarray, ids: np.ndarray):
         while self.used + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        while at[-1] >= len(self.start):
+        while at.max(initial=-1) >= len(self.start):
             self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
         self.flat[self.used : self.used + len(ids)] = ids
         self.length[at] = lengths
@@ -92,13 +105,13 @@ class Encoder:
     def _encode_chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(lengths, ids) of chunks that hold no white space but at their start."""
         if self.kind == "apart":
-            ids = np.array(self.tokenizer.encode(" \x01 ".join([c.decode() for c in chunks]), add_special_tokens=False).ids, dtype=np.uint32)
+            ids = np.array(self._joined((b" \x01 ".join(chunks)).decode()), dtype=np.uint32)
             ends = np.append(np.flatnonzero(ids == self.mark[0]), len(ids))
             lengths = np.diff(ends, prepend=-1) - 1
             if len(lengths) == len(chunks):
                 return lengths, ids[ids != self.mark[0]]
         elif all(c[:1] in _SPACE and c[-1:] not in _SPACE for c in chunks):
-            ids = np.array(self.tokenizer.encode(b"".join(chunks).decode(), add_special_tokens=False).ids, dtype=np.uint32)
+            ids = np.array(self._joined(b"".join(chunks).decode()), dtype=np.uint32)
             ends = np.searchsorted(np.cumsum(self.unit_bytes[ids]), np.cumsum([len(c) for c in chunks]), side="left") + 1
             return np.diff(ends, prepend=0), ids
         each = self._library(chunks)
@@ -123,16 +136,28 @@ class Encoder:
         """Numbers of chunks among those known, after the library has encoded the new ones."""
         known, first = self.known, len(self.known)
         out = np.array([known.setdefault(c, len(known)) for c in chunks], dtype=np.int64)
+        # letters and one closing mark are two pre-tokens: the ids of both in turn
+        split: dict[int, tuple[int, int]] = {}
+        for c in list(islice(reversed(known), len(known) - first)):
+            if c[-1:] in _MARKS and _letters(c[:-1]):
+                split[known[c]] = (known.setdefault(c[:-1], len(known)), known.setdefault(c[-1:], len(known)))
         fresh = list(islice(reversed(known), len(known) - first))[::-1]
-        place = np.arange(first, len(known))
-        groups = [np.arange(len(fresh))]
-        if self.kind == "led" and fresh:  # only chunks that start with white space can be joined for one call
+        whole = np.ones(len(fresh), dtype=bool)
+        whole[np.fromiter(split, dtype=np.int64, count=len(split)) - first] = False
+        if self.kind == "led":  # only chunks that start with white space can be joined for one call
             inner = np.array([c[:1] in _SPACE and c[-1:] not in _SPACE for c in fresh], dtype=bool)
-            groups = [np.flatnonzero(inner), np.flatnonzero(~inner)]
+            groups = [np.flatnonzero(whole & inner), np.flatnonzero(whole & ~inner)]
+        else:
+            groups = [np.flatnonzero(whole)]
         for group in groups:
             for k in range(0, len(group), 2000):
                 at = group[k : k + 2000]
-                self._store(place[at], *self._encode_chunks([fresh[i] for i in at]))
+                self._store(first + at, *self._encode_chunks([fresh[i] for i in at]))
+        if split:
+            both = np.array(list(split.values()), dtype=np.int64)
+            lengths = self.length[both]
+            ids = self.flat[ranges(self.start[both.ravel()], lengths.ravel())]
+            self._store(np.fromiter(split, dtype=np.int64, count=len(split)), lengths.sum(1), ids)
         return out
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
