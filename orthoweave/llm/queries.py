@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import contamination
+from .language_id import predicted
 from .packing import packed_pieces
 from .quality_bands import quality
 from .simhash_trie import near_duplicates
 from .textcode import tokenizer_path
+from .token_counts import token_counts
 from .token_store import read_shards, write_shards
 from .toxicity import toxicity
 
@@ -24,7 +26,9 @@ STORED, COUNTED = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bigru_language": lambda s, d: predicted(table(s, d, "documents")),
     "op3_token_store": lambda s, d: read_shards(write_shards(table(s, d, "documents"), tokenizer_path(STORED))),
+    "op4_token_counts": lambda s, d: token_counts(table(s, d, "documents"), tokenizer_path(COUNTED)),
     "op5_decontaminate": lambda s, d: contamination(table(s, d, "documents"), table(s, d, "benchmark")),
     "op6_quality_bands": lambda s, d: quality(table(s, d, "documents")),
     "op8_toxicity": lambda s, d: toxicity(table(s, d, "documents"), table(s, d, "labels")),
