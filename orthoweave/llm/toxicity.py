@@ -24,7 +24,7 @@ from .common import Words, as_bytes, doc_text, in_fold, map_batches, mix64, prep
 
 FOLDS, HELD_OUT = 5, 0
 #: Bound of the training sample: documents of each label.
-SAMPLE_PER_LABEL = 3000
+SAMPLE_PER_LABEL = 1500
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 5.0, 0.1, 8
 
 
@@ -64,8 +64,7 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> tu
     keys, index = np.unique(np.concatenate(rows), return_inverse=True) if rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     cuts = np.cumsum([len(r) for r in rows])
     parts = np.split(index, cuts[:-1]) if rows else []
-    n_docs = np.bincount(index, minlength=len(keys))
-    common = n_docs >= 3  # a feature of one or two documents can't pass L1
+    common = np.bincount(index, minlength=len(keys)) >= 3  # a feature of one or two documents can't pass L1
     z, n = np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)
     shrink = np.full(len(keys) + 1, L1)
     shrink[-1] = 0.0
@@ -106,14 +105,14 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL)
     def run(batches):
         features = Features()
         for b in batches:
-            yield {"doc_id": b.column(0), "f": [np.unique(features.of(t)).astype(np.int64) for t in as_bytes(b.column(1))], "toxic": b.column(2)}
+            yield {"doc_id": b.column(0), "f": [np.unique(features.of(t)).tobytes() for t in as_bytes(b.column(1))], "toxic": b.column(2)}
 
-    rows = sorted(map_batches(sample, run, "doc_id long, f array<long>, toxic int").toLocalIterator(), key=lambda r: r.doc_id)
+    rows = sorted(map_batches(sample, run, "doc_id long, f binary, toxic int").toLocalIterator(), key=lambda r: r.doc_id)
     y = np.array([float(r.toxic > 0) for r in rows])
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return np.zeros(0, np.uint64), np.zeros(0), float(np.log((share + 1e-9) / (1 - share + 1e-9)))
-    return ftrl([np.array(r.f, dtype=np.int64).astype(np.uint64) for r in rows], y)
+    return ftrl([np.frombuffer(r.f, dtype=np.uint64) for r in rows], y)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> DataFrame:
