@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import contamination
 from .language_id import predicted
+from .lm_scoring import scores
 from .packing import packed_pieces
 from .quality_bands import quality
 from .simhash_trie import near_duplicates
@@ -27,6 +28,7 @@ STORED, COUNTED = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bigru_language": lambda s, d: predicted(table(s, d, "documents")),
+    "op2_maxent_scores": lambda s, d: scores(table(s, d, "documents")),
     "op3_token_store": lambda s, d: read_shards(write_shards(table(s, d, "documents"), tokenizer_path(STORED))),
     "op4_token_counts": lambda s, d: token_counts(table(s, d, "documents"), tokenizer_path(COUNTED)),
     "op5_decontaminate": lambda s, d: contamination(table(s, d, "documents"), table(s, d, "benchmark")),
