@@ -374,13 +374,13 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with all their columns, their text without the repeated spans; n_chars, if there, follows the text."""
     own = docs.toDF(*[c if c in ("doc_id", "text", "n_chars") else f"_c{k}" for k, c in enumerate(docs.columns)])
     found = _with_spans(own).select(*own.columns, "spans")
-    at = own.columns.index("text")
+    names, at = own.columns, own.columns.index("text")
 
     def run(batches):
         for b in batches:
             texts = [cut(t, s) if s and t else t for t, s in zip(as_bytes(b.column(at)), b.column(b.num_columns - 1).to_pylist(), strict=True)]
             columns = [*b.columns[:at], pa.array(texts, type=pa.binary()).cast(b.schema.field(at).type), *b.columns[at + 1 : -1]]
-            yield pa.RecordBatch.from_arrays(columns, names=own.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     out = found.mapInArrow(run, own.schema)
     if "n_chars" in own.columns:
