@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,6 +20,7 @@ BATCH_ROWS, BATCH_BYTES = 4096, 16 << 20
 LAST_ID = (1 << 63) - 1
 
 _own_dirs: dict[str, str] = {}
+_written: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,11 +42,25 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    name = f"{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    _written.add(name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`written` that nothing reads any more, and let Spark drop shuffle files of ended plans."""
+    for df in tables:
+        spark = df.sparkSession
+        for file in df.inputFiles()[:1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            if path.getName() in _written:
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
+
+
 def prepared(spark: SparkSession) -> SparkSession:
     """Bounded Arrow batches for this session, as one batch holds whole texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -66,6 +82,17 @@ def map_batches(df: DataFrame, fn: Callable[..., Iterator[dict]], schema: str) -
     return df.mapInArrow(run, schema)
 
 
+def sliced(batches, column: int = 1, limit: int = 2 << 20):
+    """Batches cut so that a text column holds about ``limit`` bytes in each: working arrays follow the words."""
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
+        group = np.cumsum(sizes) // limit
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), b.num_rows]
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            if y > x:
+                yield b.slice(x, y - x)
+
+
 def as_array(values, kind: pa.DataType) -> pa.Array:
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()
