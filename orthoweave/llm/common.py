@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -19,6 +20,12 @@ BATCH_ROWS, BATCH_BYTES = 4096, 16 << 20
 #: A null doc_id stands after every other one.
 LAST_ID = (1 << 63) - 1
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim.argtypes = [ctypes.c_size_t]
+except (OSError, AttributeError):  # another C library
+    _libc = None
+
 _own_dirs: dict[str, str] = {}
 _written: set[str] = set()
 
@@ -78,10 +85,19 @@ def map_batches(df: DataFrame, fn: Callable[..., Iterator[dict]], schema: str) -
             arrays = [as_array(columns[f.name], f.type) for f in out]
             if len(arrays[0]):
                 yield pa.RecordBatch.from_arrays(arrays, schema=out)
+            del columns, arrays
+            give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker that is kept for later tasks would hold its peak."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def sliced(batches, column: int = 1, limit: int = 2 << 20):
     """Batches cut so that a text column holds about ``limit`` bytes in each: working arrays follow the words."""
     for b in batches:

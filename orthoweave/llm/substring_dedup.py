@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, as_bytes, map_batches, mix64, prepared, split_words, written
+from .common import LAST_ID, as_bytes, discard, map_batches, mix64, prepared, sliced, split_words, written
 
 WINDOW, GRAM = 13, 5
 _SPAN = WINDOW - GRAM + 1
@@ -148,12 +148,24 @@ class Windows:
         return m[self.at]
 
 
-def window_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit hashes of all windows of consecutive words, as two signed longs."""
-    h = np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
-    n = len(h) - WINDOW + 1
-    with np.errstate(over="ignore"):
-        return tuple(mix64(sum(h[j : j + n] * _MULT[k][j] for j in range(WINDOW))).view(np.int64) for k in (1, 2))
+class WindowHashes:
+    """128-bit hashes of windows, as two signed longs; a worker remembers word hashes."""
+
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
+
+    def of(self, spans: list[list[bytes]], at: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Of the windows at (span, place)."""
+        if len(self.known) > 300_000:
+            self.known.clear()
+        known = self.known
+        for w in {w for s in spans for w in s if w not in known}:
+            known[w] = xxhash.xxh64_intdigest(w)
+        h = np.array([known[w] for s in spans for w in s], dtype=np.uint64)
+        begin = np.cumsum([0, *map(len, spans)])
+        where, n = np.array([begin[i] + p for i, p in at], dtype=np.int64), max(0, len(h) - WINDOW + 1)
+        with np.errstate(over="ignore"):
+            return tuple(mix64(sum(h[j : j + n] * _MULT[k][j] for j in range(WINDOW))).view(np.int64)[where] for k in (1, 2))
 
 
 def bloom(keys: DataFrame, column: str) -> np.ndarray:
@@ -182,7 +194,7 @@ def _repeated_anchors(rows: DataFrame) -> DataFrame:
     """(h, owner, n): anchors of more than one document, the smallest of these, and the runs."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, 2, 2 << 20):
             w = Windows(as_bytes(b.column(2)))
             h, doc = w.anchors(), w.doc[w.at]
             first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]) if len(h) else np.zeros(0, np.int64)
@@ -202,7 +214,7 @@ def _runs(rows: DataFrame, anchors: DataFrame) -> DataFrame:
 
     def run(batches):
         filter_, keys, owners, parts = shipped.value
-        for b in batches:
+        for b in sliced(batches, 2, 2 << 20):
             d, t = b.column(0).to_numpy(), b.column(1).to_numpy()
             w = Windows(as_bytes(b.column(2)))
             h = w.anchors()
@@ -248,42 +260,50 @@ def _matched(runs: DataFrame) -> DataFrame:
     dealt = runs.repartition(parts, "h", "part").sortWithinPartitions("h", "part", "d")
 
     def run(batches):
-        shard, owner, reference, automaton, results = None, None, [], None, {}
+        shard, owner, reference, automaton, results, hashes = None, None, [], None, {}, WindowHashes()
         for b in batches:
-            out = {k: [] for k in ("d", "t", "s", "e", "w1", "w2")}
+            held, single = [], []  # spans as (d, t, s, e); other windows as (d, t, s, number of the words, place in them)
+            texts: list[list[bytes]] = []
             for h, part, d, t, s, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (h, part) != shard:
                     shard, owner, reference, automaton, results = (h, part), d, [], None, {}
                 if d == owner:
                     reference.append(text)
                     continue
+                if text in reference:
+                    held.append((d, t, s, s + text.count(b" ") + 1))
+                    continue
+                words = text.split(b" ")
                 found = results.get(text)
                 if found is None:
-                    words = text.split(b" ")
-                    if text in reference:
-                        found = [(0, len(words))], (), ()
-                    else:
-                        if automaton is None:
-                            automaton = SuffixAutomaton()
-                            for r in set(reference):
-                                automaton.extend(r.split(b" "))
-                        found = _spans(automaton.matching_statistics(words), words)
+                    if automaton is None:
+                        automaton = SuffixAutomaton()
+                        for r in set(reference):
+                            automaton.extend(r.split(b" "))
+                    found = _spans(automaton.matching_statistics(words))
                     if len(results) < 1000:
                         results[text] = found
-                spans, places, hashes = found
-                for x, y in spans:
-                    for k, v in zip(out, (d, t, s + x, s + y, None, None), strict=True):
-                        out[k].append(v)
-                for x, (w1, w2) in zip(places, hashes, strict=True):
-                    for k, v in zip(out, (d, t, s + x, None, w1, w2), strict=True):
-                        out[k].append(v)
-            yield out
+                held += [(d, t, s + x, s + y) for x, y in found[0]]
+                if found[1]:
+                    single += [(d, t, s + x, len(texts), x) for x in found[1]]
+                    texts.append(words)
+            w1, w2 = hashes.of(texts, [x[3:] for x in single]) if single else ((), ())
+            both = held + single
+            none = np.full(len(held), 0)
+            yield {
+                "d": [x[0] for x in both],
+                "t": [x[1] for x in both],
+                "s": [x[2] for x in both],
+                "e": [x[3] for x in held] + [None] * len(single),
+                "w1": np.concatenate([none, w1]).astype(np.int64),
+                "w2": np.concatenate([none, w2]).astype(np.int64),
+            }
 
     return written(map_batches(dealt, run, "d long, t long, s int, e int, w1 long, w2 long"), "matches")
 
 
-def _spans(statistics: list[int], words: list[bytes]) -> tuple[list[tuple[int, int]], list[int], list[tuple[int, int]]]:
-    """(maximal matched spans, places of the other windows, their hashes)."""
+def _spans(statistics: list[int]) -> tuple[list[tuple[int, int]], list[int]]:
+    """(maximal matched spans, places of the windows that aren't matched)."""
     spans: list[tuple[int, int]] = []
     places = []
     for end, n in enumerate(statistics):
@@ -296,22 +316,22 @@ def _spans(statistics: list[int], words: list[bytes]) -> tuple[list[tuple[int, i
             spans[-1] = (spans[-1][0], end + 1)
         else:
             spans.append((begin, end + 1))
-    if not places:
-        return spans, [], []
-    w1, w2 = window_hashes(words)
-    return spans, places, [(int(w1[p]), int(w2[p])) for p in places]
+    return spans, places
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(d, t, spans): the word spans to remove, by document."""
     prepared(docs.sparkSession)
     rows = _keyed(docs)
-    matches = _matched(_runs(rows, _repeated_anchors(rows)))
+    anchors = _repeated_anchors(rows)
+    matches = _matched(_runs(rows, anchors))
     rest = matches.where("e is null")
     low = rest.groupBy("w1", "w2").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").select("w1", "w2", "low")
     late = rest.join(low, ["w1", "w2"]).where("d > low").select("d", "t", "s", (F.col("s") + WINDOW).alias("e"))
     spans = matches.where("e is not null").select("d", "t", "s", "e").unionByName(late)
-    return written(spans.groupBy("d", "t").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans")), "spans")
+    found = written(spans.groupBy("d", "t").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans")), "spans")
+    discard(anchors, matches)
+    return found
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
