@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from ..functions.vectors import cosine, mean_pool
 from ..operators import language, senses, substitution, tokens, translations, units
 from ..sources import fixtures, tabs
 from ..sources.words import texts
+from ..streaming import details
 from . import analyses
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -701,3 +703,19 @@ def lang_detect(spark, d):
 def demo_report(spark, d):
     lex = _lex(spark)
     return units.coverage(fixtures.samples(spark).select("text_id", "text", "lang"), lex.lemmas, lex.stopwords).select("lang", "total_words", "considered_words")
+
+
+@query(
+    sql(
+        STOP, LEM, DEFS, DOCS, TOK, UNITS, CANDS, TRANS,
+        "single as (select lang, lemma, min(synset_offset) as synset_offset, min(pos) as pos from cands group by 1, 2 having count(*) = 1)",
+        select="select u.text_id, u.lemma, t.target_lang, t.target, round(t.score, 6) as score from units u join single s using (lang, lemma) join trans t on t.lemma = s.lemma and t.synset_offset = s.synset_offset and t.pos = s.pos",
+    )
+)
+def stream_details(spark, d):
+    """The words of single-sense units over a stream of the documents table."""
+    batch = spark.read.parquet(f"{d}/documents.parquet")
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema.fields)
+    stream = details.text_stream(spark, f"{d}/documents.parquet*", columns)
+    rows = details.unit_words(analyses.supported_texts(texts(stream, "doc_id", "text", "lang")), _lex(spark))
+    return details.drained(rows, "details_" + uuid.uuid4().hex).select("text_id", "lemma", "target_lang", "target", _r("score"))
