@@ -175,3 +175,19 @@ def statuses(json: Column, size: Column) -> Column:
     found = F.from_json(json, "statuses array<string>")["statuses"]
     good = (F.size(found) == size) & F.forall(found, lambda x: F.coalesce(x.isin("accepted", "rejected", "unverified"), F.lit(False)))
     return F.when(good, found)
+
+
+def _bounded(word: str) -> str:
+    escaped = "".join("\\" + c if c in r"\.^$|?*+()[]{}" else c for c in word)
+    return rf"(?iu)(?<![\p{{L}}\p{{N}}\p{{M}}_]){escaped}(?![\p{{L}}\p{{N}}\p{{M}}_])"
+
+
+def occurrences(text: Column, word: str) -> Column:
+    """How often a word stands in a text between word boundaries, in any case."""
+    return F.regexp_count(text, F.lit(_bounded(word)))
+
+
+def only_place(text: Column, word: str) -> Column:
+    """Where (from 0) a word that stands once in a text begins; null if it isn't there, an error if it stands more often."""
+    n = occurrences(text, word)
+    return F.when(n > 1, F.raise_error(F.lit("the word occurs more than once")).cast("int")).when(n == 1, F.regexp_instr(text, F.lit(_bounded(word))) - 1)

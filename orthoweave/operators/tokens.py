@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.joins import small
-from ..functions.text import is_word
+from ..functions.text import is_word, marked
 
 SPACE = r"[ \t\n\x0B\f\r]+"
 NO_SPACE = r"[^ \t\n\x0B\f\r]+"
@@ -74,3 +74,15 @@ def stopword_tokens(rows: DataFrame, stopwords: DataFrame) -> DataFrame:
 def term(token: Column) -> Column:
     """A token's letters, lower-cased."""
     return F.lower(F.regexp_replace(token, r"[^\p{L}]+", ""))
+
+
+def contexts(texts: DataFrame, places: DataFrame, before: str = "<t>", after: str = "</t>") -> DataFrame:
+    """places (text_id, sentence, begin, end) with ``context``: the place's sentence with the place between marks.
+
+    Raises where the text already holds a mark.
+    """
+    rows = places.join(sentences(texts).select("text_id", "sentence", F.col("begin").alias("_from"), F.col("end").alias("_to")), ["text_id", "sentence"])
+    rows = rows.join(texts.select("text_id", "text"), "text_id")
+    sentence = F.col("text").substr(F.col("_from") + 1, F.col("_to") - F.col("_from"))
+    clean = F.when(F.contains("text", F.lit(before)) | F.contains("text", F.lit(after)), F.raise_error(F.lit("the text holds a mark")).cast("string")).otherwise(sentence)
+    return rows.withColumn("context", marked(clean, F.col("begin") - F.col("_from"), F.col("end") - F.col("_from"), before, after)).drop("_from", "_to", "text")
