@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,8 +47,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[key]
 
 
-def written(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
+def kept(df: DataFrame) -> DataFrame:
+    """df on executors' disks for several uses; partitions on a lost executor are computed again from their lineage."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
+def written(df: DataFrame, name: str = "stage", files: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    files bounds the number of files of a table whose size is known to be small.
+    """
+    df = df if files is None else df.coalesce(files)
     spark = df.sparkSession
     name = f"{name}-{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
@@ -57,8 +67,11 @@ def written(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables made by :func:`written` that nothing reads any more, and let Spark drop shuffle files of ended plans."""
+    """Drop tables of :func:`kept` and :func:`written` that nothing reads any more, and shuffle files of ended plans."""
     for df in tables:
+        if df.storageLevel != StorageLevel.NONE:
+            df.unpersist()
+            continue
         spark = df.sparkSession
         for file in df.inputFiles()[:1]:
             path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()

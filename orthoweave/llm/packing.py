@@ -6,7 +6,7 @@ each ``FAN_IN`` groups one task packs the items best-fit again, emits the nearly
 until one group is left. A task hands on at most ``HAND_ON`` bins, those with most room, so the tasks near the root
 stay bounded; the fuller bins beyond it are final sequences as they are, so no piece is lost.
 
-The pieces (numbers only, no text and no ids) are written once to the shared folder; only bins travel up the
+The pieces (numbers only, no text and no ids) are kept on disk; only bins travel up the
 tree, and one join places the pieces of merged bins.
 
 Defined cases: null and empty texts are the end id alone; a document of exactly the sequence length isn't cut;
@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, doc_text, map_batches, written
+from .common import as_bytes, doc_text, kept, map_batches
 from .textcode import encoder
 
 CAPACITY, END_ID = 2048, 0
@@ -131,21 +131,21 @@ def merged_bins(rest: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             up &= np.isin(np.arange(len(fill)), np.argsort(-room, kind="stable")[:HAND_ON])
         return pd.DataFrame({"bin": pdf["bin"].to_numpy(), "into": first[bins], "shift": offsets, "fill": fill[bins], "grp": pdf["grp"].to_numpy(), "up": up[bins]})
 
-    level = written(rest, "bins")
+    level = kept(rest)
     moves = None
     while True:
         groups = level.agg(F.count_distinct("grp")).first()[0]
         if not groups:
             break
         level = level.withColumn("grp", F.floor(F.col("grp") / FAN_IN).cast("long"))
-        done = written(level.groupBy("grp").applyInPandas(packed, schema), "bins")
+        done = kept(level.groupBy("grp").applyInPandas(packed, schema))
         step = done.select("bin", "into", "shift")
         if moves is None:
             moves = step
         else:  # bins merged earlier move on with the bin they are in
             later = step.select(F.col("bin").alias("into"), F.col("into").alias("next"), F.col("shift").alias("more"))
             moves = moves.join(later, "into", "left").select("bin", F.coalesce("next", "into").alias("into"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift"))
-        moves = written(moves, "moves")
+        moves = kept(moves)
         if groups == 1:
             break
         level = done.where("up").groupBy("into", "grp").agg(F.first("fill").alias("fill")).select(F.col("into").alias("bin"), "fill", "grp")
@@ -154,7 +154,7 @@ def merged_bins(rest: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def packed_pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    local = written(local_pieces(docs, tokenizer, end_id, capacity), "pieces")
+    local = kept(local_pieces(docs, tokenizer, end_id, capacity))
     rest = local.where(F.col("fill") < capacity - NEAR_FULL).groupBy("bin").agg(F.first("fill").alias("fill"), F.first("task").alias("grp"))
     moves = merged_bins(rest, capacity)
     return local.join(moves, "bin", "left").select(

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import LAST_ID, as_bytes, doc_text, map_batches, written
+from .common import LAST_ID, as_bytes, discard, doc_text, kept, map_batches, written
 
 SHINGLE, SEED, BUDGET = 3, 42, 2
 #: (shift, bits) of the three blocks.
@@ -32,6 +32,7 @@ BLOCKS = ((42, 22), (21, 21), (0, 21))
 #: Distinct fingerprints that one trie node pair may hold in a task.
 NODE_ROWS = 100_000
 SPLIT_BITS = 6
+ROWS_PER_FILE = 1_000_000
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -188,15 +189,16 @@ def stars(classes: DataFrame) -> DataFrame:
 
 def components(classes: DataFrame) -> DataFrame:
     """(fp, component) of the linked fingerprints; classes: (fp, low), low the smallest doc_id of the class."""
-    links = written(stars(classes), "stars")
-    state = written(links.join(classes, "fp").select("fp", "root", F.col("low"), F.col("low").alias("label")), "labels")
+    files = 1 + classes.count() // ROWS_PER_FILE  # a class has at most three rows in the tables below
+    links = stars(classes)
+    state = written(links.join(classes, "fp").select("fp", "root", F.col("low"), F.col("low").alias("label")), "labels", files)
     while True:
         by_root = state.groupBy("root").agg(F.min("label").alias("by_root"))
-        by_fp = state.join(by_root, "root").groupBy("fp").agg(F.first("low").alias("low"), F.min("by_root").alias("new"))
-        by_fp = written(by_fp, "labels")
+        by_fp = kept(state.join(by_root, "root").groupBy("fp").agg(F.first("low").alias("low"), F.min("by_root").alias("new")))
         jump = by_fp.select(F.col("low").alias("new"), F.col("new").alias("jump")).groupBy("new").agg(F.min("jump").alias("jump"))
         jumped = by_fp.join(jump, "new", "left").select("fp", F.least("new", F.coalesce("jump", "new")).alias("new"))
-        after = written(state.join(jumped, "fp").select("fp", "root", "low", F.col("new").alias("label"), (F.col("new") < F.col("label")).alias("moved")), "labels")
+        after = written(state.join(jumped, "fp").select("fp", "root", "low", F.col("new").alias("label"), (F.col("new") < F.col("label")).alias("moved")), "labels", files)
+        discard(by_fp, state)
         if not after.where("moved").take(1):
             return after.groupBy("fp").agg(F.min("label").alias("component"))
         state = after.drop("moved")
@@ -204,8 +206,8 @@ def components(classes: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: fingerprint in hex, and component_id, the smallest doc_id reachable by links."""
-    prints = written(fingerprints(docs), "fingerprints")
-    classes = written(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(LAST_ID))).alias("low")), "classes")
+    prints = kept(fingerprints(docs))
+    classes = kept(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(LAST_ID))).alias("low")))
     found = classes.join(components(classes), "fp", "left").select("fp", F.coalesce("component", "low").alias("component"))
     return prints.join(found, "fp").select(
         "doc_id",

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, as_bytes, discard, map_batches, mix64, prepared, sliced, split_words, written
+from .common import LAST_ID, as_bytes, discard, kept, map_batches, mix64, prepared, sliced, split_words
 
 WINDOW, GRAM = 13, 5
 _SPAN = WINDOW - GRAM + 1
@@ -201,7 +201,7 @@ def _repeated_anchors(rows: DataFrame) -> DataFrame:
             yield {"h": h[first].view(np.int64), "d": b.column(0).to_numpy()[doc[first]]}
 
     found = map_batches(rows, run, "h long, d long").groupBy("h").agg(F.min("d").alias("owner"), F.max("d").alias("last"), F.count("*").alias("n"))
-    return written(found.where("owner < last").select("h", "owner", "n"), "anchors")
+    return kept(found.where("owner < last").select("h", "owner", "n"))
 
 
 def _runs(rows: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -299,7 +299,7 @@ def _matched(runs: DataFrame) -> DataFrame:
                 "w2": np.concatenate([none, w2]).astype(np.int64),
             }
 
-    return written(map_batches(dealt, run, "d long, t long, s int, e int, w1 long, w2 long"), "matches")
+    return map_batches(dealt, run, "d long, t long, s int, e int, w1 long, w2 long")
 
 
 def _spans(statistics: list[int]) -> tuple[list[tuple[int, int]], list[int]]:
@@ -324,12 +324,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     prepared(docs.sparkSession)
     rows = _keyed(docs)
     anchors = _repeated_anchors(rows)
-    matches = _matched(_runs(rows, anchors))
+    matches = kept(_matched(_runs(rows, anchors)))
     rest = matches.where("e is null")
     low = rest.groupBy("w1", "w2").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").select("w1", "w2", "low")
     late = rest.join(low, ["w1", "w2"]).where("d > low").select("d", "t", "s", (F.col("s") + WINDOW).alias("e"))
     spans = matches.where("e is not null").select("d", "t", "s", "e").unionByName(late)
-    found = written(spans.groupBy("d", "t").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans")), "spans")
+    found = kept(spans.groupBy("d", "t").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans")))
+    found.count()
     discard(anchors, matches)
     return found
 
