@@ -5,11 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Largest side (bytes by the optimizer's estimate) that is broadcast; beyond it Spark shuffles.
+#: Largest side (bytes) that is broadcast; beyond it Spark shuffles.
 BROADCAST_BYTES = 32 << 20
+#: How many times the size of the tables it is made from a derived lexicon table can have.
+GROWTH = 16
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate, or ``GROWTH`` times the tables that df is made from if that is less.
+
+    The optimizer multiplies the sizes of joined tables; key joins of lexicon tables grow by words per sense only.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    total = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    return min(int(str(plan.stats().sizeInBytes())), GROWTH * total)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if its estimated size is within the limit, else as it is."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if size <= limit else df
+    return F.broadcast(df) if estimated_bytes(df) <= limit else df

@@ -11,7 +11,7 @@ from ..functions.joins import small
 from ..functions.text import is_supported, label
 from ..operators import graph as graphs
 from ..operators import language
-from ..operators.senses import candidates, gloss_terms, phrase_in_text, scored, selected, with_missing
+from ..operators.senses import Scorer, candidates, gloss_terms, overlap_scorer, phrase_in_text, scored, selected, with_missing
 from ..operators.tokens import eligible, lemmatised, term, tokens
 from ..operators.translations import best_per_language, explorer, grouped, other_languages, ranked, scored_translations
 from ..operators.units import coverage, nouns, with_language
@@ -85,15 +85,19 @@ def text_transparency(texts: DataFrame, lex: Lexicon, choice: Choice = Choice())
     return ranked(out, ["text_id"])
 
 
-def comparisons(texts: DataFrame, lex: Lexicon, choice: Choice = Choice()) -> DataFrame:
+def comparisons(texts: DataFrame, lex: Lexicon, choice: Choice = Choice(), scorer: Scorer = overlap_scorer) -> DataFrame:
     """Every candidate of every unit occurrence: (text_id, lang, lemma, begin, end, synset_offset, pos, gloss, score, selected)."""
     sentences = sentence_units(with_language(texts, lex.lemmas), lex)
-    rows = sentences.select("text_id", "lang", "sentence", F.explode("units").alias("u")).select("text_id", "lang", "sentence", "u.lemma", "u.begin", "u.end")
+    rows = sentences.select("text_id", "lang", "sentence", "context", F.explode("units").alias("u"))
+    # a lemma's places in a sentence share its score; all of this stays in the texts' partitioning
+    lemmas = rows.groupBy("text_id", "lang", "sentence", F.col("u.lemma").alias("lemma")).agg(F.first("context").alias("context"), F.collect_list("u").alias("places"))
     table = candidates(nouns(lex.lemmas), lex.lemmas, lex.definitions, "n")
-    contexts = sentences.select("text_id", "sentence", "context")
     keys = ["text_id", "sentence", "lemma"]
-    judged = with_missing(selected(scored(rows, contexts, table), keys, choice.threshold, choice.margin), keys)
-    return rows.join(judged.drop("lang", "rank"), keys)
+    scored_ = scorer(lemmas.join(small(table), ["lang", "lemma"])).drop("context")
+    judged = with_missing(selected(scored_, keys, choice.threshold, choice.margin), keys)
+    return judged.withColumn("place", F.explode("places")).select(
+        "text_id", "lang", "sentence", "lemma", F.col("place.begin").alias("begin"), F.col("place.end").alias("end"), "synset_offset", "pos", "gloss", "score", "selected"
+    )
 
 
 def details(texts: DataFrame, lex: Lexicon, choice: Choice = Choice()) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: (offset, part of speech, lemmas by language, definitions by language).
@@ -99,8 +100,6 @@ def _gathered() -> tuple[list, list]:
 
 
 LEMMA_ROWS, DEFINITION_ROWS = _gathered()
-LEMMA_SCHEMA = "synset_offset string, pos string, synset_id string, lang string, lemma string"
-DEFINITION_SCHEMA = "synset_offset string, pos string, synset_id string, lang string, def string"
 
 #: Names and contents of tab files.
 TAB_FILES = (
@@ -128,16 +127,24 @@ def stopword_rows() -> list[tuple[str, str]]:
     return [(lang, w) for lang, words in STOPWORDS.items() for w in words.split()]
 
 
+def local(spark: SparkSession, rows, columns: str) -> DataFrame:
+    """A table of strings whose size the optimizer knows (that of rows given as a list is unknown to it)."""
+    names = columns.split(", ")
+    rows = list(rows)
+    return spark.createDataFrame(pa.table({n: pa.array([r[k] for r in rows], pa.string()) for k, n in enumerate(names)}))
+
+
 def lexicon(spark: SparkSession) -> Lexicon:
     return Lexicon(
-        spark.createDataFrame(LEMMA_ROWS, LEMMA_SCHEMA),
-        spark.createDataFrame(DEFINITION_ROWS, DEFINITION_SCHEMA),
-        spark.createDataFrame(RELATIONS, "synset_offset string, pos string, relation string, to_offset string, to_pos string"),
-        spark.createDataFrame(FRAMES, "synset_offset string, pos string, frame string"),
-        spark.createDataFrame(stopword_rows(), "lang string, word string"),
-        spark.createDataFrame(LEMMAS, "lang string, form string, lemma string"),
+        local(spark, LEMMA_ROWS, "synset_offset, pos, synset_id, lang, lemma"),
+        local(spark, DEFINITION_ROWS, "synset_offset, pos, synset_id, lang, def"),
+        local(spark, RELATIONS, "synset_offset, pos, relation, to_offset, to_pos"),
+        local(spark, FRAMES, "synset_offset, pos, frame"),
+        local(spark, stopword_rows(), "lang, word"),
+        local(spark, LEMMAS, "lang, form, lemma"),
     )
 
 
 def samples(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, lang, other, text) for k, (lang, other, text) in enumerate(SAMPLES)], "text_id long, lang string, target string, text string")
+    rows = [(str(k), *r) for k, r in enumerate(SAMPLES)]
+    return local(spark, rows, "text_id, lang, target, text").selectExpr("cast(text_id as bigint) as text_id", "lang", "target", "text")
