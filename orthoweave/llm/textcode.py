@@ -27,6 +27,11 @@ _SPACE = (b" ", b"\t", b"\r", b"\n")
 #: Without any of these, each white-space character stands alone and is a space or a line end.
 _RUNS = (b"  ", b" \n", b"\n ", b"\n\n", b"\t", b"\r")
 _MARKS = (b".", b",")
+#: Words of Latin letters, one pre-token each and the same after normalising (in lower case where that is done).
+_PLAIN = {
+    "led": re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf])+"),
+    "apart": re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+"),
+}
 _LED = re.compile(rb"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
 
 
@@ -37,13 +42,17 @@ def odd(text: bytes) -> bool:
     return not text.isascii() and _ODD.search(text) is not None
 
 
-def _letters(stem: bytes) -> bool:
-    """Latin letters, after a space or line end at most."""
-    word = stem[1:] if stem[:1] in (b" ", b"\n") else stem
-    if word.isascii():
-        return word.isalpha()
-    text = word.decode()
-    return text.isalpha() and max(text) < "\u0250" and text.lower().isalpha()
+def _byte_alphabet() -> dict[int, int]:
+    """Byte to the character that stands for it in byte-level vocabularies; a line end becomes the space between words.
+
+    The rule is public: printable bytes stand for themselves, the others take the characters from U+0100 on in order.
+    """
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)} | {10: 32}
+
+
+_ALPHABET = _byte_alphabet()
 
 
 def tokenizer_path(name: str) -> str:
@@ -57,6 +66,7 @@ class Encoder:
 
     def __init__(self, path: str, limit: int = 700_000):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         spec = json.loads(open(path, encoding="utf-8").read())
@@ -71,6 +81,13 @@ class Encoder:
             self.mark = self.tokenizer.encode("\x01", add_special_tokens=False).ids
             if len(self.mark) != 1:
                 self.kind = "whole"
+        if self.kind != "whole":
+            # words of letters are one pre-token each: the model alone does for them
+            self.model = Tokenizer.from_file(path)
+            self.model.normalizer = None
+            self.model.pre_tokenizer = WhitespaceSplit()
+            names = sorted(self.model.get_vocab().items(), key=lambda x: x[1])
+            self.unit_ends = np.array([n.endswith("</w>") for n, _ in names], dtype=bool)
         self._forget()
 
     def _forget(self, keep: int = 0):
@@ -102,6 +119,16 @@ class Encoder:
         self.start[at] = self.used + np.cumsum(lengths) - lengths
         self.used += len(ids)
 
+    def _encode_plain(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        text = b"\n".join(chunks).decode("latin-1").translate(_ALPHABET)
+        ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        if self.kind == "led":
+            ends = np.searchsorted(np.cumsum(self.unit_bytes[ids]), np.cumsum([len(c) for c in chunks]), side="left") + 1
+        else:
+            ends = np.flatnonzero(self.unit_ends[ids]) + 1
+        lengths = np.diff(ends, prepend=0)
+        return (lengths, ids) if len(lengths) == len(chunks) else self._encode_chunks(chunks)
+
     def _encode_chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(lengths, ids) of chunks that hold no white space but at their start."""
         if self.kind == "apart":
@@ -136,23 +163,27 @@ class Encoder:
         """Numbers of chunks among those known, after the library has encoded the new ones."""
         known, first = self.known, len(self.known)
         out = np.array([known.setdefault(c, len(known)) for c in chunks], dtype=np.int64)
+        plain_word = _PLAIN[self.kind].fullmatch
         # letters and one closing mark are two pre-tokens: the ids of both in turn
         split: dict[int, tuple[int, int]] = {}
         for c in list(islice(reversed(known), len(known) - first)):
-            if c[-1:] in _MARKS and _letters(c[:-1]):
+            if c[-1:] in _MARKS and plain_word(c[:-1]):
                 split[known[c]] = (known.setdefault(c[:-1], len(known)), known.setdefault(c[-1:], len(known)))
         fresh = list(islice(reversed(known), len(known) - first))[::-1]
         whole = np.ones(len(fresh), dtype=bool)
         whole[np.fromiter(split, dtype=np.int64, count=len(split)) - first] = False
+        plain = np.array([plain_word(c) is not None for c in fresh], dtype=bool)
+        groups = [(np.flatnonzero(whole & plain), self._encode_plain)]
+        rest = whole & ~plain
         if self.kind == "led":  # only chunks that start with white space can be joined for one call
             inner = np.array([c[:1] in _SPACE and c[-1:] not in _SPACE for c in fresh], dtype=bool)
-            groups = [np.flatnonzero(whole & inner), np.flatnonzero(whole & ~inner)]
+            groups += [(np.flatnonzero(rest & inner), self._encode_chunks), (np.flatnonzero(rest & ~inner), self._encode_chunks)]
         else:
-            groups = [np.flatnonzero(whole)]
-        for group in groups:
+            groups += [(np.flatnonzero(rest), self._encode_chunks)]
+        for group, encode in groups:
             for k in range(0, len(group), 2000):
                 at = group[k : k + 2000]
-                self._store(first + at, *self._encode_chunks([fresh[i] for i in at]))
+                self._store(first + at, *encode([fresh[i] for i in at]))
         if split:
             both = np.array(list(split.values()), dtype=np.int64)
             lengths = self.length[both]
