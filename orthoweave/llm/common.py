@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes an Arrow batch holds at most, as whole texts may be long.
-BATCH_ROWS, BATCH_BYTES = 4096, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 20_000, 16 << 20
 
 #: A null doc_id stands after every other one.
 LAST_ID = (1 << 63) - 1
@@ -27,6 +28,7 @@ try:
 except (OSError, AttributeError):  # another C library
     _libc = None
 
+_gave = 0.0
 _own_dirs: dict[str, str] = {}
 _written: set[str] = set()
 
@@ -105,7 +107,11 @@ def map_batches(df: DataFrame, fn: Callable[..., Iterator[dict]], schema: str) -
 
 
 def give_back() -> None:
-    """Return freed memory to the system: a worker that is kept for later tasks would hold its peak."""
+    """Return freed memory to the system, once a second at most: a worker kept for later tasks would hold its peak."""
+    global _gave
+    if time.monotonic() - _gave < 1:
+        return
+    _gave = time.monotonic()
     pa.default_memory_pool().release_unused()
     if _libc is not None:
         _libc.malloc_trim(0)

@@ -36,14 +36,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, as_bytes, discard, kept, map_batches, mix64, prepared, sliced, split_words
+from .common import LAST_ID, as_bytes, discard, kept, map_batches, mix64, prepared, sliced, split_words, written
 
 WINDOW, GRAM = 13, 5
 _SPAN = WINDOW - GRAM + 1
 #: Bits of the Bloom filters, and the parts they are made in.
 BLOOM_BITS, BLOOM_PARTS = 27, 1024
 #: Runs of one anchor in a shard part; the bound grows with the corpus so that the split anchors stay few.
-PART_RUNS, MOST_SPLIT = 20_000, 10_000
+PART_RUNS, MOST_SPLIT = 2_000, 10_000
 #: Windows in one run at most.
 RUN_WINDOWS = 64
 _RNG = np.random.default_rng(20240501)
@@ -211,6 +211,7 @@ def _runs(rows: DataFrame, anchors: DataFrame) -> DataFrame:
     bound = max(PART_RUNS, -(-total // MOST_SPLIT))
     split = sorted((r.h, r.owner, -(-r.n // bound)) for r in anchors.where(F.col("n") > bound).toLocalIterator())
     shipped = spark.sparkContext.broadcast((bloom(anchors, "h"), *(np.array([x[k] for x in split], dtype=np.int64) for k in range(3))))
+    discard(anchors)  # all that is needed of them is in the broadcast
 
     def run(batches):
         filter_, keys, owners, parts = shipped.value
@@ -323,15 +324,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(d, t, spans): the word spans to remove, by document."""
     prepared(docs.sparkSession)
     rows = _keyed(docs)
-    anchors = _repeated_anchors(rows)
-    matches = kept(_matched(_runs(rows, anchors)))
+    matches = kept(_matched(_runs(rows, _repeated_anchors(rows))))
     rest = matches.where("e is null")
     low = rest.groupBy("w1", "w2").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").select("w1", "w2", "low")
     late = rest.join(low, ["w1", "w2"]).where("d > low").select("d", "t", "s", (F.col("s") + WINDOW).alias("e"))
     spans = matches.where("e is not null").select("d", "t", "s", "e").unionByName(late)
-    found = kept(spans.groupBy("d", "t").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans")))
-    found.count()
-    discard(anchors, matches)
+    # a written table, so that the shuffles behind the spans can go before whole texts are joined
+    files = -(-rows.rdd.getNumPartitions() // 4)
+    found = written(spans.groupBy("d", "t").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans")), "spans", files)
+    discard(matches)
     return found
 
 
