@@ -20,10 +20,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, doc_text, map_batches, prepared, ranges, sums
+from .common import as_bytes, doc_text, kept, map_batches, prepared, ranges, sums
+from .sampling import most_frequent
 from .textcode import _SPACE, encoder, odd
 
 LIMIT_TOKENS = 512
@@ -88,7 +90,7 @@ def frequent(docs: DataFrame, tokenizer: str) -> DataFrame:
         yield {"pre_token": [p.decode() for p, _ in top], "n": [n for _, n in top]}
 
     named = map_batches(doc_text(docs), run, "pre_token string, n long")
-    return named.groupBy("pre_token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pre_token").limit(HOT)
+    return most_frequent(kept(named.groupBy("pre_token").agg(F.sum("n").alias("n"))), "n", HOT)
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit_tokens: int = LIMIT_TOKENS) -> DataFrame:
@@ -133,14 +135,15 @@ def token_counts(docs: DataFrame, tokenizer: str, limit_tokens: int = LIMIT_TOKE
             names_ = np.array([number.setdefault(p, len(number)) for p in rare], dtype=np.int64)
             which = names_[ranges(at[codes[some]], n_rare)] if len(some) else np.zeros(0, np.int64)
             key, freq = np.unique(np.repeat(doc_of[some], n_rare) * max(1, len(number)) + which, return_counts=True)
-            words, n = list(number), max(1, len(number))
+            n = max(1, len(number))
             rows = np.arange(len(texts)) + row
             row += len(texts)
+            none = pa.nulls(len(key), pa.int64())
             yield {
-                "k": [_ROW + r.tobytes() for r in rows] + [words[i] for i in (key % n).tolist()],
+                "k": pa.concat_arrays([pa.array([_ROW + r.tobytes() for r in rows], pa.binary()), pa.array(list(number), pa.binary()).take(pa.array(key % n))]),
                 "row": np.concatenate([rows, rows[key // n]]),
-                "doc_id": b.column(0).to_pylist() + [None] * len(key),
-                "n_bytes": [len(t) for t in texts] + [None] * len(key),
+                "doc_id": pa.concat_arrays([b.column(0), none]),
+                "n_bytes": pa.concat_arrays([pa.array([len(t) for t in texts], pa.int64()), none]),
                 "n": np.concatenate([known, freq]),
             }
 
