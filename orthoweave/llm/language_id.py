@@ -7,7 +7,7 @@ with a letter. It is trained in numpy by backpropagation through time (Adam) on
 bytes alone, so a worker runs the network once per distinct word that it remembers; whole texts are read.
 
 Defined cases: texts that are null or hold no letter get ``und`` and score 0; without any labelled row every
-document does; rows whose lang is null are not trained on; repeated rows get equal results; ties between
+document does; rows whose lang or doc_id is null are not trained on; repeated rows get equal results; ties between
 languages go to the first in alphabetical order; extra columns are ignored.
 """
 
@@ -18,9 +18,9 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import as_bytes, doc_text, in_fold, map_batches, prepared, split_words
+from .sampling import first_by_hash
 
 FOLDS, HELD_OUT = 4, 2
 #: Bound of the training sample.
@@ -180,9 +180,7 @@ def training_sample(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> D
     """(doc_id, text, lang): at most per_language documents of each language outside the held-out fold."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~in_fold(FOLDS, HELD_OUT))
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.select("doc_id", "lang").withColumn("turn", turn).where(F.col("turn") <= per_language)
-    chosen = chosen.select("doc_id", "lang").distinct()
+    chosen = first_by_hash(known.select("doc_id", "lang").where("doc_id is not null").distinct(), "lang", per_language)
     return known.join(F.broadcast(chosen), ["doc_id", "lang"])
 
 

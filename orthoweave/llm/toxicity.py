@@ -14,13 +14,14 @@ any of them is; labels that are null don't count; repeated rows get equal scores
 from __future__ import annotations
 
 import zlib
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import Words, as_bytes, doc_text, in_fold, map_batches, mix64, prepared
+from .sampling import first_by_hash
 
 FOLDS, HELD_OUT = 5, 0
 #: Bound of the training sample: documents of each label.
@@ -44,8 +45,6 @@ class Features:
         if after > len(self.hashes):
             self.hashes = np.resize(self.hashes, max(after, 2 * len(self.hashes)))
         if after > before:
-            from itertools import islice
-
             fresh = list(islice(reversed(self.words.ids), after - before))[::-1]
             raw = np.array([zlib.crc32(w) | zlib.crc32(w, 0x9E3779B9) << 32 for w in fresh], dtype=np.uint64)
             self.hashes[before:after] = mix64(raw)
@@ -93,8 +92,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_
     """(doc_id, text, toxic): at most per_label documents of each label outside the held-out fold."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.where(~in_fold(FOLDS, HELD_OUT))
-    turn = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.withColumn("turn", turn).where(F.col("turn") <= per_label).drop("turn")
+    chosen = first_by_hash(known.withColumn("kind", F.col("toxic") > 0), "kind", per_label).drop("kind")
     # at most twice per_label ids
     return doc_text(docs).where("text is not null").join(F.broadcast(chosen), "doc_id")
 
