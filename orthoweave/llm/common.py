@@ -79,8 +79,13 @@ def discard(*tables: DataFrame) -> None:
             path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
             if path.getName() in _written:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    release(tables[0].sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more."""
     gc.collect()
-    tables[0].sparkSession._jvm.System.gc()
+    spark._jvm.System.gc()
 
 
 def prepared(spark: SparkSession) -> SparkSession:

@@ -19,7 +19,8 @@ def first_by_hash(rows: DataFrame, label: str, most: int) -> DataFrame:
     place = F.pmod(F.xxhash64("doc_id"), F.lit(PLACES))
     counts = rows.groupBy(label).agg(F.count("*").alias("_n"))
     bound = F.lit(float(SPARE * most)) / F.col("_n") * PLACES
-    near = rows.join(counts, label).withColumn("_place", place).where(F.col("_place") <= bound)
+    # one row for each class of the classifier: as few as its outputs
+    near = rows.join(F.broadcast(counts), label).withColumn("_place", place).where(F.col("_place") <= bound)
     turn = F.row_number().over(Window.partitionBy(label).orderBy("_place", "doc_id"))
     return near.withColumn("_turn", turn).where(F.col("_turn") <= most).drop("_turn", "_place", "_n")
 
