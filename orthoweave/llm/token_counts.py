@@ -26,14 +26,17 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, doc_text, kept, map_batches, prepared, ranges, sums
 from .sampling import most_frequent
-from .textcode import _SPACE, encoder, odd
+from .textcode import _MARKS, _PLAIN, _SPACE, encoder, odd
 
 LIMIT_TOKENS = 512
 HOT, TASK_TOP = 200_000, 60_000
+#: Times a chunk stands in a batch before its pre-tokens are thought of as frequent.
+OFTEN = 3
 #: Longest pre-token (bytes) that is broadcast.
 HOT_BYTES = 64
 #: The byte-level pre-token pattern for ASCII text; other text is split by the library. Fixed values.
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
+_WORD = _PLAIN["led"].fullmatch
 _ROW = b"\xff"  # starts the key of a document's own row; no UTF-8 text holds it
 
 
@@ -48,10 +51,15 @@ class PreTokens:
         if found is None:
             if len(self.known) > self.limit:
                 self.known.clear()
-            text = chunk.decode()
-            if chunk.isascii():
+            if _WORD(chunk):
+                found = (chunk,)
+            elif chunk[-1:] in _MARKS and _WORD(chunk[:-1]):
+                found = (chunk[:-1], chunk[-1:])
+            elif chunk.isascii():
+                text = chunk.decode()
                 found = tuple(x.encode() for x in _ASCII.findall(text))
             else:
+                text = chunk.decode()
                 found = tuple(text[a:b].encode() for _, (a, b) in self.coder.tokenizer.pre_tokenizer.pre_tokenize_str(text))
             self.known[chunk] = found
         return found
@@ -80,10 +88,11 @@ def frequent(docs: DataFrame, tokenizer: str) -> DataFrame:
         splitter, seen = PreTokens(tokenizer), Counter()
         for b in batches:
             distinct, codes, _ = splitter.cut([t for t in as_bytes(b.column(1)) if t and not splitter.apart(t)])
-            for chunk, n in zip(distinct, np.bincount(codes, minlength=len(distinct)).tolist(), strict=True):
-                for p in splitter.of(chunk):
+            counts = np.bincount(codes, minlength=len(distinct))
+            for k in np.flatnonzero(counts >= OFTEN).tolist():
+                for p in splitter.of(distinct[k]):
                     if len(p) <= HOT_BYTES:
-                        seen[p] += n
+                        seen[p] += int(counts[k])
             if len(seen) > 8 * TASK_TOP:
                 seen = Counter(dict(seen.most_common(4 * TASK_TOP)))
         top = seen.most_common(TASK_TOP)
