@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, as_bytes, discard, kept, map_batches, mix64, prepared, sliced, split_words, written
+from .common import LAST_ID, as_bytes, discard, kept, map_batches, mix64, prepared, release, sliced, split_words, written
 
 WINDOW, GRAM = 13, 5
 _SPAN = WINDOW - GRAM + 1
@@ -324,7 +324,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(d, t, spans): the word spans to remove, by document."""
     prepared(docs.sparkSession)
     rows = _keyed(docs)
-    matches = kept(_matched(_runs(rows, _repeated_anchors(rows))))
+    runs = _runs(rows, _repeated_anchors(rows))
+    release(docs.sparkSession)  # the anchors' shuffle
+    matches = kept(_matched(runs))
     rest = matches.where("e is null")
     low = rest.groupBy("w1", "w2").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").select("w1", "w2", "low")
     late = rest.join(low, ["w1", "w2"]).where("d > low").select("d", "t", "s", (F.col("s") + WINDOW).alias("e"))
