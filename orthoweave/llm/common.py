@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import sys
 import tempfile
 import time
 import uuid
@@ -101,6 +102,8 @@ def map_batches(df: DataFrame, fn: Callable[..., Iterator[dict]], schema: str) -
     out = pa_schema(df.sparkSession, schema)
 
     def run(batches):
+        if not getattr(fn, "encodes", False):
+            forget_encoders()
         for columns in fn(batches):
             arrays = [as_array(columns[f.name], f.type) for f in out]
             if len(arrays[0]):
@@ -111,6 +114,14 @@ def map_batches(df: DataFrame, fn: Callable[..., Iterator[dict]], schema: str) -
     return df.mapInArrow(run, schema)
 
 
+def forget_encoders() -> None:
+    """Free what an earlier task of another operator remembers: workers are kept, and encoders are large."""
+    held = sys.modules.get(f"{__package__}.textcode")
+    if held is not None and held._encoders:
+        held._encoders.clear()
+        give_back()
+
+
 def give_back() -> None:
     """Return freed memory to the system, once a second at most: a worker kept for later tasks would hold its peak."""
     global _gave
@@ -173,12 +184,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Concatenation of starts[i] .. starts[i]+lengths[i]-1."""
+    """Concatenation of starts[i] .. starts[i]+lengths[i]-1; in 32 bits where they do."""
     total = int(lengths.sum())
-    if not total:
-        return np.zeros(0, dtype=np.int64)
+    kind = np.int32 if total + int(starts.max(initial=0)) < 1 << 31 else np.int64
     before = np.cumsum(lengths) - lengths
-    return np.arange(total, dtype=np.int64) + np.repeat(np.asarray(starts, dtype=np.int64) - before, lengths)
+    out = np.repeat((starts - before).astype(kind), lengths)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 class Words:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import as_bytes, doc_text, map_batches, prepared, written
+from .common import as_bytes, doc_text, forget_encoders, map_batches, prepared, written
 
 WINDOW = 10
 #: Text of the benchmark in one automaton: about ten trie nodes a word, under 100 MB.
@@ -101,6 +101,7 @@ def _scanned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shipped = spark.sparkContext.broadcast(block)
 
         def run(batches, shipped=shipped, first=first):
+            forget_encoders()
             automaton = ItemAutomaton(shipped.value)
             for b in batches:
                 found = [automaton.scan(norm_words(t)) for t in as_bytes(b.column(at))]

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, doc_text, kept, map_batches
+from .common import as_bytes, doc_text, kept, map_batches, sliced
 from .textcode import encoder
 
 CAPACITY, END_ID = 2048, 0
@@ -33,6 +33,8 @@ HAND_ON = 200_000
 #: Pieces that a read task packs at a time.
 LOCAL_PIECES = 500_000
 _TASK_BITS = 33
+#: Chunks that a worker remembers: its memory, against encoding rarer ones again.
+REMEMBERED = 250_000
 
 
 def best_fit(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,7 +82,7 @@ def local_pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity
     def run(batches):
         from pyspark import TaskContext
 
-        task, coder = TaskContext.get().partitionId(), encoder(tokenizer)
+        task, coder = TaskContext.get().partitionId(), encoder(tokenizer, REMEMBERED)
         made, held, size = 0, [], 0
 
         def closed():
@@ -92,7 +94,7 @@ def local_pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity
             names = ("doc_id", "piece", "start", "length", "ids_crc32")
             return dict(zip(names, rows, strict=True)) | {"bin": bins + base, "offset": offsets, "fill": fill[bins], "task": np.full(len(bins), task)}
 
-        for b in batches:
+        for b in sliced(batches, limit=3 << 20):
             ids, lengths = coder.encode(as_bytes(b.column(1)))
             ids, lengths = np.insert(ids, np.cumsum(lengths), end_id).astype("<u4"), lengths + 1
             begins = np.cumsum(lengths) - lengths
@@ -110,6 +112,7 @@ def local_pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity
         if held:
             yield closed()
 
+    run.encodes = True
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long, task long"
     return map_batches(doc_text(docs), run, schema)
 

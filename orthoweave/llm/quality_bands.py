@@ -18,7 +18,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import as_bytes, doc_text, map_batches, prepared
+from .common import as_bytes, doc_text, forget_encoders, map_batches, prepared
 
 #: (least bytes, lowest ratio, highest ratio) for whole texts; shorter texts than the first are not judged by ratio.
 BANDS = (
@@ -108,6 +108,7 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
+        forget_encoders()
         packer = zstandard.ZstdCompressor(level=LEVEL)
         for b in batches:
             keep = [judged(t, packer)[6] for t in as_bytes(b.column(at))]

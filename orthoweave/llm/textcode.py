@@ -64,7 +64,7 @@ def tokenizer_path(name: str) -> str:
 class Encoder:
     """Ids of texts; ``limit`` chunks are remembered before the memory starts anew."""
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import WhitespaceSplit
 
@@ -216,16 +216,18 @@ class Encoder:
 
     def _cut(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         distinct, codes, counts = self._pieces(texts)
-        index = self._numbers(distinct)[codes]
-        lengths = self.length[index]
+        index = self._numbers(distinct).astype(np.int32)[codes]
+        del codes
+        lengths = self.length[index].astype(np.int32)
         return self.flat[ranges(self.start[index], lengths)], sums(lengths, counts)
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, limit: int = 500_000) -> Encoder:
     """This worker's encoder for a file, kept from task to task."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, limit) not in _encoders:
+        _encoders.clear()
+        _encoders[path, limit] = Encoder(path, limit)
+    return _encoders[path, limit]

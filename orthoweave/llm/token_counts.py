@@ -98,6 +98,7 @@ def frequent(docs: DataFrame, tokenizer: str) -> DataFrame:
         top = seen.most_common(TASK_TOP)
         yield {"pre_token": [p.decode() for p, _ in top], "n": [n for _, n in top]}
 
+    run.encodes = True
     named = map_batches(doc_text(docs), run, "pre_token string, n long")
     return most_frequent(kept(named.groupBy("pre_token").agg(F.sum("n").alias("n"))), "n", HOT)
 
@@ -168,6 +169,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit_tokens: int = LIMIT_TOKE
             times = np.array([1 if p[:1] == _ROW else known[p] for p in distinct], dtype=np.int64)
             yield {"row": b.column(1), "doc_id": b.column(2), "n_bytes": b.column(3), "n": times[keys.indices.to_numpy()] * b.column(4).to_numpy()}
 
+    frequencies.encodes = joined.encodes = True
     fields = "row long, doc_id long, n_bytes long, n long"
     rows = map_batches(doc_text(docs), frequencies, "k binary, " + fields)
     dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k")

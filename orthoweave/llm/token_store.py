@@ -28,12 +28,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, doc_text, map_batches, ranges, written
+from .common import as_bytes, doc_text, map_batches, ranges, sliced, written
 from .textcode import encoder
 
 END_ID = 2
 SHARD_TOKENS = 1 << 19
 ROUNDS, ROUND_RULES, LEAST = 6, 2000, 6
+#: Write tasks whose shards make up one file.
+FILE_PARTS = 8
 _HEAD = struct.Struct("<4sIIIIIQQ")
 _NULL = -(1 << 63)
 
@@ -199,7 +201,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID, shard_to
             held, size, before, seq = [], 0, before + len(ids), seq + 1
             return out
 
-        for b in batches:
+        for b in sliced(batches, limit=6 << 20):
             ids, lengths = coder.encode(as_bytes(b.column(1)))
             ends = np.cumsum(lengths)
             ids, lengths = np.insert(ids, ends, end_id), lengths + 1
@@ -216,7 +218,10 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID, shard_to
         if held:
             yield closed()
 
-    return written(map_batches(ordered, run, "part int, seq int, n_tokens long, data binary"), "shards")
+    run.encodes = True
+    shards = map_batches(ordered, run, "part int, seq int, n_tokens long, data binary")
+    # a few larger files: shards carry their place, so they can be dealt to any file
+    return written(shards.repartition(-(-parts // FILE_PARTS)), "shards")
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
