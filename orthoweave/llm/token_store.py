@@ -199,7 +199,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID, shard_to
             held, size, before, seq = [], 0, before + len(ids), seq + 1
             return out
 
-        for b in sliced(batches, limit=6 << 20):
+        for b in sliced(batches, limit=14 << 20):
             ids, lengths = coder.encode(as_bytes(b.column(1)))
             ends = np.cumsum(lengths)
             ids, lengths = np.insert(ids, ends, end_id), lengths + 1
