@@ -62,10 +62,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return map_batches(doc_text(docs), run, "doc_id long, fp long")
 
 
-def trie_links(fps: np.ndarray, node: np.ndarray, side: np.ndarray, err: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def trie_links(fps: np.ndarray, node: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of positions that link. Each node is joined with itself (side 0) or its side 1 with its side 2.
 
-    The rows must be sorted by node, side, fps; err holds the bits that the node's two sides differ by above it.
+    The rows must be sorted by node, side, fps. Whole fingerprints are walked, the bits a node was divided at among them.
     """
     n = len(fps)
     if not n:
@@ -76,7 +76,7 @@ def trie_links(fps: np.ndarray, node: np.ndarray, side: np.ndarray, err: np.ndar
     pair = np.flatnonzero((side[edge[:-1]] == 1) & (side[edge[1:]] == 2) & (node[edge[:-1]] == node[edge[1:]])) if len(edge) > 1 else np.zeros(0, np.int64)
     a_lo, a_hi = np.r_[edge[alone], edge[pair]], np.r_[ends[alone], ends[pair]]
     b_lo, b_hi = np.r_[edge[alone], edge[pair + 1]], np.r_[ends[alone], ends[pair + 1]]
-    e = np.r_[err[edge[alone]], err[edge[pair]]].astype(np.int8)
+    e = np.zeros(len(a_lo), dtype=np.int8)
     for bit in range(63, -1, -1):
         ones = np.r_[0, np.cumsum((fps >> np.uint64(bit)) & np.uint64(1), dtype=np.int64)]
         a_mid, b_mid = a_hi - (ones[a_hi] - ones[a_lo]), b_hi - (ones[b_hi] - ones[b_lo])
@@ -118,24 +118,27 @@ def local_roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def _tries(classes: DataFrame) -> DataFrame:
-    """(fp, node, side, err): each fingerprint in the tries of its three blocks, large tries divided."""
+    """(fp, node, side): each fingerprint in the tries of its three blocks, large tries divided.
+
+    While dividing, err holds the bits that a node's two sides differ by in those it was divided at.
+    """
     blocks = F.array(*[F.struct(F.concat(F.lit(f"{k}:"), F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << n) - 1)).cast("string")).alias("node")) for k, (s, n) in enumerate(BLOCKS)])
     rows = classes.select("fp", F.explode(blocks).alias("x")).select("fp", "x.node", F.lit(0).alias("side"), F.lit(0).alias("err"))
-    for level in range(64 // SPLIT_BITS + 1):
+    for top in range(64, 0, -SPLIT_BITS):
         large = rows.groupBy("node").count().where(F.col("count") > NODE_ROWS).select("node")
         if not large.take(1):
-            return rows
+            break
         large = written(large, "large-tries").withColumn("large", F.lit(True))
         marked = written(rows.join(large, "node", "left"), "tries")
-        shift = max(0, 64 - SPLIT_BITS * (level + 1))
-        own = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << SPLIT_BITS) - 1)).cast("int")
+        bits = min(SPLIT_BITS, top)
+        own = F.shiftrightunsigned("fp", top - bits).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
         apart = F.bit_count(F.col("own").bitwiseXOR(F.col("other"))).cast("int")
         first = F.when(F.col("side") == 0, F.least("own", "other")).when(F.col("side") == 1, F.col("own")).otherwise(F.col("other"))
         second = F.when(F.col("side") == 0, F.greatest("own", "other")).when(F.col("side") == 1, F.col("other")).otherwise(F.col("own"))
         split = (
             marked.where("large")
             .withColumn("own", own)
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit((1 << SPLIT_BITS) - 1))))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit((1 << bits) - 1))))
             .withColumn("apart", apart)
             .where(F.col("err") + F.col("apart") <= BUDGET)
             .select(
@@ -146,7 +149,7 @@ def _tries(classes: DataFrame) -> DataFrame:
             )
         )
         rows = written(marked.where("large is null").select("fp", "node", "side", "err").unionByName(split), "tries")
-    return rows
+    return rows.drop("err")
 
 
 def stars(classes: DataFrame) -> DataFrame:
@@ -156,11 +159,11 @@ def stars(classes: DataFrame) -> DataFrame:
     dealt = rows.repartition(parts, "node").sortWithinPartitions("node", "side")
 
     def joined(held):
-        node, side, err, fp = (np.concatenate([h[k] for h in held]) for k in range(4))
+        node, side, fp = (np.concatenate([h[k] for h in held]) for k in range(3))
         _, number = np.unique(node, return_inverse=True)
         order = np.lexsort((fp, side, number))
-        number, side, err, fp = number[order], side[order], err[order], fp[order]
-        u, v = trie_links(fp, number, side, err)
+        number, side, fp = number[order], side[order], fp[order]
+        u, v = trie_links(fp, number, side)
         root = local_roots(len(fp), u, v)
         linked = np.zeros(len(fp), dtype=bool)
         linked[u] = linked[v] = True
@@ -170,7 +173,7 @@ def stars(classes: DataFrame) -> DataFrame:
         held, size = [], 0
         for b in batches:
             node = np.array(b.column(1).to_pylist(), dtype=object)
-            columns = [node, b.column(2).to_numpy(), b.column(3).to_numpy(), b.column(0).to_numpy().view(np.uint64)]
+            columns = [node, b.column(2).to_numpy(), b.column(0).to_numpy().view(np.uint64)]
             if size > NODE_ROWS:  # end what is held at the last change of node
                 change = np.flatnonzero(node != held[-1][0][-1])
                 cut = int(change[0]) if len(change) else len(node)

@@ -219,6 +219,27 @@ def test_trie_components_of_random_fingerprints(spark, monkeypatch, node_rows):
     assert [got.get(f, k) for k, f in enumerate(signed)] == [low[p] for p in parts]
 
 
+@pytest.mark.parametrize("node_rows", [20, 1])
+def test_trie_links_across_split_bits(spark, monkeypatch, node_rows):
+    monkeypatch.setattr(simhash_trie, "NODE_ROWS", node_rows)
+    rng = np.random.default_rng(6)
+    prints = [0, 1 << 58 | 1 << 30]  # of one low block, apart in a bit of the first division and in one below it
+    for k in range(80):
+        x = int(rng.integers(1 << 43)) << 21 | 0x1234
+        high, middle = 58 + k % 6, int(rng.integers(21, 42))
+        prints += [x, x ^ (1 << high | 1 << (middle if k % 4 else 58 + (k + 1) % 6))]
+    prints += [prints[2] ^ 0b110000, prints[2] ^ 0b10001]  # apart in the last six bits
+    prints = sorted(set(prints))
+    parts = brute_components(prints)
+    low = {}
+    for k, p in enumerate(parts):
+        low[p] = min(low.get(p, k), k)
+    signed = [x - (1 << 64) if x >> 63 else x for x in prints]
+    classes = spark.createDataFrame([(f, k) for k, f in enumerate(signed)], "fp long, low long")
+    got = {r.fp: r.component for r in simhash_trie.components(classes).collect()}
+    assert [got.get(f, k) for k, f in enumerate(signed)] == [low[p] for p in parts]
+
+
 def test_deduplicated(docs, rows):
     out = simhash_trie.deduplicated(docs)
     assert out.columns == docs.columns
