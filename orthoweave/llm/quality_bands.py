@@ -1,7 +1,8 @@
 """Quality rules by compression bands.
 
 Zstandard ratios of the whole text and of fixed chunks reject text that is repetitive (ratio under the
-band) or incompressible (over it); the limits depend on the length. Beside them stand plain counts of
+band) or incompressible (over it); the limits depend on the length, and so does the size of the chunks of
+texts under 2 KB. Beside them stand plain counts of
 words, symbols, repeated lines and repeated 3-word windows.
 
 Defined cases: a null or empty text has zero counts, fails the base rule and isn't kept; texts shorter than
@@ -32,9 +33,15 @@ BANDS = (
     (16384, 0.29, 0.68),
     (32768, 0.27, 0.66),
 )
-CHUNK_BYTES = 2048
-#: Lowest and highest ratio of a full chunk, and the share of chunks that may lie outside.
-CHUNK_LOW, CHUNK_HIGH, CHUNK_SHARE = 0.30, 0.78, 0.25
+#: (least bytes of the text, bytes of its chunks, lowest ratio, highest ratio of a chunk); shorter texts have no chunks.
+CHUNKS = (
+    (128, 128, 0.33, 1.05),
+    (512, 256, 0.35, 0.95),
+    (1024, 512, 0.34, 0.89),
+    (2048, 2048, 0.30, 0.78),
+)
+#: The share of chunks that may lie outside.
+CHUNK_SHARE = 0.25
 LEVEL = 3
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOL = re.compile(rb"[#*$%&|<>]")
@@ -68,13 +75,19 @@ def measures(text: bytes | None) -> tuple[int, int, int, int, int]:
 
 
 def ratios(text: bytes | None, packer: zstandard.ZstdCompressor) -> tuple[float, float, float]:
-    """Ratio of the whole text, and the shares of full chunks under and over the chunk band."""
+    """Ratio of the whole text, and the shares of chunks under and over the chunk band.
+
+    Every byte is in a chunk: the last one ends with the text and overlaps the one before where the length asks for it.
+    """
     if not text:
         return 0.0, 0.0, 0.0
-    chunks = [text[k : k + CHUNK_BYTES] for k in range(0, len(text) - CHUNK_BYTES + 1, CHUNK_BYTES)]
-    each = [len(packer.compress(c)) / CHUNK_BYTES for c in chunks]
-    n = max(1, len(each))
-    return len(packer.compress(text)) / len(text), sum(x < CHUNK_LOW for x in each) / n, sum(x > CHUNK_HIGH for x in each) / n
+    whole = len(packer.compress(text)) / len(text)
+    found = next((c for c in reversed(CHUNKS) if len(text) >= c[0]), None)
+    if found is None:
+        return whole, 0.0, 0.0
+    _, size, lowest, highest = found
+    each = [len(packer.compress(text[k : k + size])) / size for k in (*range(0, len(text) - size, size), len(text) - size)]
+    return whole, sum(x < lowest for x in each) / len(each), sum(x > highest for x in each) / len(each)
 
 
 def in_bands(n_bytes: int, ratio: float, low_share: float, high_share: float) -> bool:

@@ -68,6 +68,24 @@ def test_quality_bands_reject_repetition_and_noise():
     assert quality_bands.ratios(None, packer) == (0.0, 0.0, 0.0)
 
 
+@pytest.mark.parametrize("n_bytes", [4000, 3998, 1900, 1030, 1000, 500])
+def test_quality_chunks_judge_every_byte(n_bytes):
+    import zstandard
+
+    packer, rng = zstandard.ZstdCompressor(level=quality_bands.LEVEL), np.random.default_rng(4)
+    words = ["".join(map(chr, rng.integers(0x61, 0x7B, n))) for n in rng.integers(2, 9, 120)]
+    plain = " ".join(rng.choice(words, 4000)).encode()
+    noise = " ".join("".join(map(chr, rng.integers(0x21, 0x7F, 9))) for _ in range(900)).encode()
+    half = 2048 if n_bytes > 2048 else n_bytes // 2
+    mixed = plain[:half] + noise[: n_bytes - half]
+    whole, low, high = quality_bands.ratios(mixed, packer)
+    assert high > quality_bands.CHUNK_SHARE and not quality_bands.in_bands(n_bytes, whole, low, high)
+    assert quality_bands.in_bands(n_bytes, whole, 0.0, 0.0)  # by the whole ratio alone it would stay
+    repeated = plain[:half] + (plain[:9] * 400)[: n_bytes - half]
+    assert quality_bands.ratios(repeated, packer)[1] > quality_bands.CHUNK_SHARE
+    assert quality_bands.ratios(plain[:n_bytes], packer)[1:] == (0.0, 0.0)
+
+
 def test_contamination(spark, docs, rows, empty, benchmark_table):
     def words(t):
         return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", fold(t))
