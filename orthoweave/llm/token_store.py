@@ -3,7 +3,8 @@
 Documents are ordered by doc_id over range partitions; each write task encodes its texts and closes a shard every
 ``SHARD_TOKENS`` ids. A shard is compressed by Re-Pair: round by round the most frequent id pairs become
 nonterminals (a round replaces many pairs at once, the more frequent pair winning where two overlap, and
-no pair reaches over the end of a document), until no pair is frequent enough. The shard stores the rules and
+no pair reaches over the end of a document), until no pair has ``LEAST`` places that don't overlap, or all symbols
+of the shard's width are taken. The shard stores the rules and
 the length of each rule's expansion, and for each document where its symbols and its ids begin, so that one
 document or any slice of ids is decoded without the rest.
 
@@ -33,54 +34,75 @@ from .textcode import encoder
 
 END_ID = 2
 SHARD_TOKENS = 1 << 19
-ROUNDS, ROUND_RULES, LEAST = 6, 2000, 6
+ROUND_RULES, LEAST = 2000, 6
 _HEAD = struct.Struct("<4sIIIIIQQ")
 _NULL = -(1 << 63)
 
 
+def _frequent_pairs(pair: np.ndarray, last: np.ndarray, buckets: int, rules: int, exact: bool):
+    """(pairs from the most frequent on, their places in order, the number of the pair at each); None without any.
+
+    Pairs are counted in hashed buckets, each standing for one of its pairs; or, if exact, those of full buckets by sorting.
+    """
+    free = ~last[:-1]
+    h = ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) & (buckets - 1)
+    counts = np.bincount(h[free], minlength=buckets)
+    often = counts[counts >= LEAST]
+    if not len(often):
+        return None
+    least = max(LEAST, int(np.partition(often, -rules)[-rules])) if len(often) > rules and not exact else LEAST
+    at = np.flatnonzero((counts >= least)[h] & free)
+    h, key = h[at], pair[at]
+    if exact:
+        holder, h = np.unique(key, return_inverse=True)
+        buckets = len(holder)
+    else:
+        holder = np.zeros(buckets, dtype=np.int64)
+        holder[h] = key  # one pair stands for a bucket; another pair in it waits for a later round
+        own = holder[h] == key
+        at, h = at[own], h[own]
+    # in a run of one pair, every second place overlaps the one before
+    key = pair[at]
+    change = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (np.diff(key) != 0)]) if len(at) else at
+    apart = (at - np.repeat(at[change], np.diff(change, append=len(at)))) & 1 == 0
+    at, h = at[apart], h[apart]
+    counts = np.bincount(h, minlength=buckets)
+    found = np.flatnonzero(counts >= LEAST)
+    found = found[np.argsort(-counts[found], kind="stable")][:rules]
+    if not len(found):
+        return None
+    rank = np.full(buckets, -1, dtype=np.int64)
+    rank[found] = np.arange(len(found))
+    mine = rank[h]
+    return holder[found], at[mine >= 0], mine[mine >= 0]
+
+
 def re_pair(ids: np.ndarray, last: np.ndarray, first_free: int, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, their ``last`` flags, left, right) of ids; last marks the end of each document."""
     seq, last = ids.astype(np.int64), last.copy()
     left, right = [], []
     made = 0
     buckets = max(1 << 12, 1 << max(1, len(ids) - 1).bit_length())
-    for _ in range(ROUNDS):
-        if len(seq) < 2 or made >= limit:
-            break
-        key = seq[:-1] << 32 | seq[1:]
-        h = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) & (buckets - 1)
-        counts = np.bincount(h, minlength=buckets)
+    exact = False
+    while len(seq) > 1 and made < limit:
+        pair = seq[:-1] << 32 | seq[1:]
         rules = min(ROUND_RULES, limit - made)
-        often = counts[counts >= LEAST]
-        if not len(often):
-            break
-        least = max(LEAST, int(np.partition(often, -rules)[-rules])) if len(often) > rules else LEAST
-        at = np.flatnonzero((counts[h] >= least) & ~last[:-1])
-        h, key = h[at], key[at]
-        holder = np.zeros(buckets, dtype=np.int64)
-        holder[h] = key  # one pair stands for a bucket; another pair in it waits for a later round
-        own = holder[h] == key
-        at, h = at[own], h[own]
-        exact = np.bincount(h, minlength=buckets)
-        found = np.flatnonzero(exact >= LEAST)
-        found = found[np.argsort(-exact[found], kind="stable")][:rules]
-        if not len(found):
-            break
-        rank = np.full(buckets, -1, dtype=np.int64)
-        rank[found] = np.arange(len(found))
-        mine = rank[h]
-        at, mine = at[mine >= 0], mine[mine >= 0]
-        # where pairs overlap the more frequent one wins; in a run of one pair every second place does
+        found = _frequent_pairs(pair, last, buckets, rules, exact)
+        if found is None:
+            if exact:
+                break
+            exact = True  # hashing may hide a pair behind another one
+            continue
+        pairs, at, mine = found
+        # where pairs overlap the more frequent one wins; in a run of one pair every second place is left out already
         prior = np.full(len(seq) + 1, 1 << 40, dtype=np.int64)
-        prior[at + 1] = 2 * mine + (at & 1)
+        prior[at + 1] = mine
         chosen = (prior[at + 1] < prior[at]) & (prior[at + 1] < prior[np.minimum(at + 2, len(seq))])
         at, mine = at[chosen], mine[chosen]
-        uses = np.bincount(mine, minlength=len(found))
+        uses = np.bincount(mine, minlength=len(pairs))
         good = uses >= LEAST
-        if not good.any():
-            break
         new = np.cumsum(good) - 1 + made
-        pairs = holder[found[good]]
+        pairs = pairs[good]
         left.append(pairs >> 32)
         right.append(pairs & 0xFFFFFFFF)
         made += int(good.sum())

@@ -299,6 +299,23 @@ def test_shards_decode_any_slice():
     assert len(shard.left) > 10 and len(shard.symbols) < len(ids)
 
 
+def test_shards_go_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(8)
+    passage = rng.integers(0, 900, 700)
+    copies = np.concatenate([passage] * 40)
+    for ids in (copies, np.r_[copies, rng.integers(0, 900, 30_000)], np.repeat([3, 4], 5000), np.tile([7, 7, 7, 9], 500)):
+        last = np.zeros(len(ids), dtype=bool)
+        last[999::1000] = last[-1] = True
+        seq, ends, left, right = token_store.re_pair(ids.astype(np.uint32), last, 1000, 1 << 20)
+        places = {}
+        for k, (pair, end) in enumerate(zip(zip(seq[:-1].tolist(), seq[1:].tolist(), strict=True), ends[:-1].tolist(), strict=True)):
+            if not end and places.setdefault(pair, [-2])[-1] != k - 1:  # places of a pair that don't overlap
+                places[pair].append(k)
+        assert max(map(len, places.values()), default=1) - 1 < token_store.LEAST
+        flat, start, length = token_store.expansions(left, right, 1000)
+        assert (np.concatenate([flat[start[x] : start[x] + length[x]] for x in seq]) == ids).all()
+
+
 def test_token_counts(docs, rows, empty, monkeypatch):
     encode = library(BYTE)
     want = [(i, len((t or "").encode()), len(encode(t)), len(encode(t)) > 512) for i, t, _ in rows]
