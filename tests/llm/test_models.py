@@ -77,3 +77,10 @@ def test_toxicity(spark, docs, rows, empty):
 def test_toxicity_without_labels(docs, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert max(r.score for r in toxicity.toxicity(docs, none).collect()) < 1e-6
+
+
+def test_toxicity_sample_holds_3000_documents_a_label(spark):
+    docs = spark.range(9000).selectExpr("id as doc_id", "'some text' as text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic")
+    found = toxicity.training_sample(docs, labels).groupBy("toxic").count().collect()
+    assert {r.toxic: r["count"] for r in found} == {0: 3000, 1: 3000}
