@@ -383,29 +383,3 @@ def test_language_model(docs, rows, empty, monkeypatch, hot):
     if hot == 3:
         none = lm_scoring.scores(empty)
         assert none.count() == 0
-
-
-def test_language_model_is_a_distribution():
-    rng = np.random.default_rng(1)
-    n = rng.integers(0, 9, lm_scoring.CLASSES * lm_scoring.MEMBERS)
-    w = lm_scoring.start_weights(n, np.minimum(n, 3)) + rng.normal(0, 0.3, lm_scoring.SIZE).astype(np.float32)
-    tokens = lm_scoring.Tokens([b"one two three four"], lm_scoring.Codes())
-    f, g, _, _ = tokens.features(np.array([3]))
-    total = 0.0
-    # the member features of another class are those of the same history crossed with it
-    for cls in range(lm_scoring.CLASSES):
-        tokens.bucket[tokens.word[3]] = cls * lm_scoring.MEMBERS
-        f, g, c, m = tokens.features(np.array([3]))
-        for member in range(lm_scoring.MEMBERS):
-            total += float(np.exp(lm_scoring.log_probs(w, f, g, c, np.array([member])))[0])
-    assert abs(total - 1) < 1e-3
-
-
-def test_language_model_trains_on_every_position_in_each_round(spark):
-    texts = ["one two three four five six seven eight nine ten", "eleven", None, "twelve thirteen"]
-    train = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
-    tokens = lm_scoring.Tokens([None if t is None else t.encode() for t in texts], lm_scoring.Codes())
-    f, g, _, _ = tokens.features(np.arange(len(tokens.word)))
-    for k in range(lm_scoring.ROUNDS):
-        by_class, by_member = lm_scoring.views(lm_scoring._changes(train, np.zeros(lm_scoring.SIZE, dtype=np.float32), k))
-        assert by_class[f].any(-1).all() and by_member[g].any(-1).all()
