@@ -161,6 +161,15 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(edges, bytes) of a column of texts, nulls as empty: text k is bytes edges[k] to edges[k + 1]; nothing is copied."""
+    column = pc.fill_null(column.cast(pa.binary()), b"")
+    edges = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = column.buffers()[2]
+    data = np.frombuffer(raw, dtype=np.uint8)[edges[0] : edges[-1]] if raw is not None else np.zeros(0, np.uint8)
+    return edges - edges[0], data
+
+
 def doc_text(docs: DataFrame) -> DataFrame:
     """doc_id as long and text as string; any other columns of the input play no part."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
