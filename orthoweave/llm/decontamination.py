@@ -4,13 +4,13 @@ Every benchmark word gets one symbol, so the automaton runs over words: a patter
 consecutive item words, or all words of a shorter item. Each document is scanned once; a match ends at a word,
 whose byte offsets in the original text are known from the same word pattern.
 
-The benchmark is gathered in blocks of at most ``BLOCK_BYTES`` of text, so that one automaton has a bounded
-size; a benchmark under that size is one block. With more blocks the scan passes on its rows, hit words and
-items from block to block, with a table written between.
+There is one automaton for the whole benchmark, of any size up to ``MOST_BYTES`` of text: its items are broadcast, each Python
+worker builds it once and keeps it for its later tasks, and every document is scanned once, without a shuffle. It takes
+about 500 bytes a benchmark word; a larger benchmark is refused, not cut.
 
-Defined cases: null or wordless texts have no words and no hits; null or wordless items have no windows; rows
-that repeat are judged each alone; items that repeat are listed by their distinct item_id; an item whose
-item_id is null marks words as hit but isn't listed; an empty benchmark leaves everything clean; extra columns
+Defined cases: null or wordless texts have no words and no hits; null or wordless items have no windows; very long texts
+are scanned whole; rows that repeat or tie on doc_id are judged each alone; items that repeat are listed by their distinct
+item_id; an item whose item_id is null marks words as hit but isn't listed; an empty benchmark leaves everything clean; extra columns
 are ignored by :func:`contamination` and kept by :func:`clean_documents`.
 """
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+import uuid
 
 import ahocorasick
 import numpy as np
@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import as_bytes, doc_text, forget_encoders, map_batches, prepared, written
+from .common import as_bytes, doc_text, forget_encoders, map_batches, prepared
 
 WINDOW = 10
-#: Text of the benchmark in one automaton: about ten trie nodes a word, under 100 MB.
-BLOCK_BYTES = 1 << 20
+#: Largest benchmark (bytes of text) that is broadcast.
+MOST_BYTES = 64 << 20
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: Code points for benchmark words start here; one below stands for any other word.
@@ -51,74 +51,95 @@ def word_offsets(text: bytes) -> list[tuple[int, int]]:
 
 
 class ItemAutomaton:
-    """Windows of (item_id, text) items as one automaton."""
+    """Windows of (item_id, text) items as one automaton; a window is a number, its items stand in flat arrays."""
 
     def __init__(self, items: list[tuple[str | None, bytes]]):
         self.symbols: dict[bytes, str] = {}
-        windows: dict[str, set] = {}
+        self.names: list[str] = []
+        named: dict[str, int] = {}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        lengths, windows, owners = [], [], []
         for item, text in items:
-            coded = "".join(self.symbols.setdefault(w, chr(_FIRST + len(self.symbols))) for w in norm_words(text))
+            coded = "".join([self.symbols.setdefault(w, chr(_symbol(len(self.symbols)))) for w in norm_words(text)])
             n = min(WINDOW, len(coded))
+            if item is not None and item not in named:
+                named[item] = len(self.names)
+                self.names.append(item)
             for k in range(len(coded) - n + 1 if n else 0):
-                windows.setdefault(coded[k : k + n], set()).add(item)
-        self.automaton = ahocorasick.Automaton()
-        for w, owners in windows.items():
-            self.automaton.add_word(w, (len(w), frozenset(owners) - {None}))
-        self.empty = not windows
-        if windows:
+                window = coded[k : k + n]
+                number = self.automaton.get(window, -1)
+                if number < 0:
+                    number = len(lengths)
+                    self.automaton.add_word(window, number)
+                    lengths.append(n)
+                if item is not None:
+                    windows.append(number)
+                    owners.append(named[item])
+        self.lengths = np.array(lengths, dtype=np.int32)
+        order = np.lexsort((owners, windows)) if owners else np.zeros(0, np.int64)
+        self.owners = np.array(owners, dtype=np.int32)[order]
+        self.first = np.searchsorted(np.array(windows, dtype=np.int64)[order], np.arange(len(lengths) + 1))
+        self.empty = not lengths
+        if lengths:
             self.automaton.make_automaton()
 
-    def scan(self, words: list[bytes]) -> tuple[list[int], set]:
+    def scan(self, words: list[bytes]) -> tuple[list[int], set[str]]:
         """Indices of the hit words, and the items."""
         if self.empty:
             return [], set()
         get, other = self.symbols.get, chr(_FIRST - 1)
         hit, items = set(), set()
-        for end, (n, owners) in self.automaton.iter("".join([get(w, other) for w in words])):
-            hit.update(range(end - n + 1, end + 1))
-            items |= owners
-        return sorted(hit), items
+        for end, number in self.automaton.iter("".join([get(w, other) for w in words])):
+            hit.update(range(end - int(self.lengths[number]) + 1, end + 1))
+            items.update(self.owners[self.first[number] : self.first[number + 1]].tolist())
+        return sorted(hit), {self.names[k] for k in items}
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str | None, bytes]]]:
-    """The items in blocks; one block is collected at a time when the benchmark is larger than one."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).where("text is not null")
+def _symbol(k: int) -> int:
+    """Code point of the k-th word: those from _FIRST on, and then the ones below it that aren't surrogates."""
+    if k <= 0x10FFFF - _FIRST:
+        return _FIRST + k
+    k -= 0x110000 - _FIRST
+    if k >= 0xF000:
+        raise ValueError("the benchmark has more different words than there are symbols")
+    return k + 1 if k < 0xD7FF else k + 0x801
+
+
+_held: dict[str, ItemAutomaton] = {}
+
+
+def held_automaton(key: str, items: list[tuple[str | None, bytes]]) -> ItemAutomaton:
+    """The automaton of a broadcast, built once in a worker; one is kept at a time."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = ItemAutomaton(items)
+    return _held[key]
+
+
+def _items(benchmark: DataFrame) -> list[tuple[str | None, bytes]]:
+    """The distinct items; their size is checked before they are gathered."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).where("text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // BLOCK_BYTES)
-    if n <= 1:
-        yield [(r.item_id, bytes(r.text)) for r in items.collect()]
-        return
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(2 * n))
-    for k in range(2 * n):
-        yield [(r.item_id, bytes(r.text)) for r in items.where(part == k).collect()]
+    if total > MOST_BYTES:
+        raise ValueError(f"a benchmark of {total} bytes is over the bound of {MOST_BYTES}")
+    return [(r.item_id, bytes(r.text)) for r in items.collect()]
 
 
 def _scanned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs with the columns ``STATE`` added."""
     spark = prepared(docs.sparkSession)
-    out, at, first = docs, docs.columns.index("text"), True
-    for block in _blocks(benchmark):
-        shipped = spark.sparkContext.broadcast(block)
-
-        def run(batches, shipped=shipped, first=first):
-            forget_encoders()
-            automaton = ItemAutomaton(shipped.value)
-            for b in batches:
-                found = [automaton.scan(norm_words(t)) for t in as_bytes(b.column(at))]
-                hits, items = [f[0] for f in found], [sorted(f[1]) for f in found]
-                columns = b.columns
-                if not first:
-                    hits = [sorted({*x, *y}) for x, y in zip(hits, columns[-2].to_pylist(), strict=True)]
-                    items = [sorted({*x, *y}) for x, y in zip(items, columns[-1].to_pylist(), strict=True)]
-                    columns = columns[:-2]
-                names = b.schema.names[: len(columns)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=[*names, "hits", "items"])
-
-        if not first:
-            out = written(out, "decontaminate")
-        out = out.mapInArrow(run, StructType([*docs.schema.fields, *StructType.fromDDL(STATE).fields]))
-        first = False
-    return out
+    at, key = docs.columns.index("text"), uuid.uuid4().hex
+    shipped = spark.sparkContext.broadcast(_items(benchmark))
+
+    def run(batches):
+        forget_encoders()
+        automaton = held_automaton(key, shipped.value)
+        for b in batches:
+            found = [automaton.scan(norm_words(t)) for t in as_bytes(b.column(at))]
+            state = [pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([sorted(f[1]) for f in found], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *state], names=[*b.schema.names, "hits", "items"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *StructType.fromDDL(STATE).fields]))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
