@@ -6,7 +6,8 @@ texts under 2 KB. Beside them stand plain counts of
 words, symbols, repeated lines and repeated 3-word windows.
 
 Defined cases: a null or empty text has zero counts, fails the base rule and isn't kept; texts shorter than
-the first band are judged by the base rule alone; equal rows get equal results; extra columns are ignored by
+the first band are judged by the base rule alone; very long texts are read whole; a ratio on a limit is within the
+band; equal rows get equal results, rows that tie on doc_id are judged each alone; an empty table gives no rows; extra columns are ignored by
 :func:`quality` and kept by :func:`kept_documents`.
 """
 
@@ -44,6 +45,8 @@ CHUNKS = (
 CHUNK_SHARE = 0.25
 LEVEL = 3
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
+#: Numbers below this have cubes of less than 63 bits.
+_CUBED = 2_000_000
 SYMBOL = re.compile(rb"[#*$%&|<>]")
 
 SCHEMA = (
@@ -65,7 +68,10 @@ def measures(text: bytes | None) -> tuple[int, int, int, int, int]:
     repeated = 0
     if len(a) > 3 and len(ids) < len(a):
         m = len(ids)
-        _, inverse, counts = np.unique((a[:-2] * m + a[1:-1]) * m + a[2:], return_inverse=True, return_counts=True)
+        pairs = a[:-1] * m + a[1:]
+        if m > _CUBED:  # pairs are numbered first, so that a triple stays within 63 bits
+            pairs = np.unique(pairs, return_inverse=True)[1]
+        _, inverse, counts = np.unique(pairs[:-1] * m + a[2:], return_inverse=True, return_counts=True)
         twice = counts[inverse] > 1
         hit = np.zeros(len(a), dtype=bool)
         for k in range(3):
