@@ -8,7 +8,7 @@ All documents are the reference of all, so shipping every automaton to every tas
 corpus. Instead a reference shard holds what one anchor selects, and only text with that anchor is sent there:
 
 1. The anchor of a window is the smallest hash of its 5-word grams, so equal windows have equal anchors. Anchors
-   are counted (partial aggregation); those in one document only are dropped. A Bloom filter of fixed size holds the
+   are counted (partial aggregation); those in one document only are dropped. A Bloom filter sized by their number holds the
    others and only saves shuffling.
 2. Runs of windows with one repeated anchor go, with their words, to that anchor's shard. The document with the smallest
    id there is its owner, and the shard's automaton is built over the owner's runs. Anchors with many runs are
@@ -18,7 +18,7 @@ corpus. Instead a reference shard holds what one anchor selects, and only text w
    Spark can split when skewed.
 4. The spans are joined to their documents; documents that no span can be in skip this join.
 
-Defined cases: null and wordless texts have no windows; a null doc_id counts as larger than any other (such rows
+Defined cases: null and wordless texts have no windows; very long texts are read whole, their runs cut between windows; a null doc_id counts as larger than any other (such rows
 remove nothing from each other); rows with equal doc_id don't remove from each other; repeats within one
 document stay; windows are judged on the input; an empty table gives no rows; extra columns are ignored by
 :func:`removals` and kept by :func:`without_repeats`.
@@ -40,10 +40,12 @@ from .common import LAST_ID, as_bytes, discard, kept, map_batches, mix64, prepar
 
 WINDOW, GRAM = 13, 5
 _SPAN = WINDOW - GRAM + 1
-#: Bits of the Bloom filters, and the parts they are made in.
-BLOOM_BITS, BLOOM_PARTS = 27, 1024
-#: Runs of one anchor in a shard part; the bound grows with the corpus so that the split anchors stay few.
-PART_RUNS, MOST_SPLIT = 2_000, 10_000
+#: Bloom filters: bits for each key, the exponents of the least and the most bits (64 MB, the bound of what is broadcast),
+#: and the parts they are made in. A full filter lets everything through, which costs shuffling and changes no result.
+KEY_BITS, LEAST_BITS, MOST_BITS, BLOOM_PARTS = 16, 20, 29, 1024
+#: Runs of one anchor in a shard part. The anchors beyond it are broadcast, MOST_SPLIT of them at most (24 MB): from 2e9 runs on the
+#: bound grows with the corpus.
+PART_RUNS, MOST_SPLIT = 2_000, 1_000_000
 #: Windows in one run at most.
 RUN_WINDOWS = 64
 _RNG = np.random.default_rng(20240501)
@@ -168,15 +170,21 @@ class WindowHashes:
             return tuple(mix64(sum(h[j : j + n] * _MULT[k][j] for j in range(WINDOW))).view(np.int64)[where] for k in (1, 2))
 
 
+def bloom_bits(keys: int) -> int:
+    """Exponent of the bits of a filter for so many keys."""
+    return min(MOST_BITS, max(LEAST_BITS, (KEY_BITS * keys).bit_length()))
+
+
 def bloom(keys: DataFrame, column: str) -> np.ndarray:
-    """Bytes of a one-hash filter of 2**BLOOM_BITS bits over a column of well-mixed longs."""
-    low = BLOOM_BITS - BLOOM_PARTS.bit_length() + 1
-    bit = F.col(column).bitwiseAND(F.lit((1 << BLOOM_BITS) - 1))
+    """Bytes of a one-hash filter over a column of well-mixed longs, its size by their number."""
+    bits = bloom_bits(keys.count())
+    low = bits - BLOOM_PARTS.bit_length() + 1
+    bit = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(1 << low, dtype=np.uint8)
-        bits[pdf["bit"].to_numpy() & ((1 << low) - 1)] = 1
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "data": [np.packbits(bits, bitorder="little").tobytes()]})
+        found = np.zeros(1 << low, dtype=np.uint8)
+        found[pdf["bit"].to_numpy() & ((1 << low) - 1)] = 1
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "data": [np.packbits(found, bitorder="little").tobytes()]})
 
     rows = keys.select(bit.alias("bit")).distinct().withColumn("part", F.shiftright("bit", low).cast("int"))
     out = np.zeros((BLOOM_PARTS, 1 << (low - 3)), dtype=np.uint8)
@@ -186,7 +194,7 @@ def bloom(keys: DataFrame, column: str) -> np.ndarray:
 
 
 def in_bloom(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    bit = keys.view(np.uint64) & np.uint64((1 << BLOOM_BITS) - 1)
+    bit = keys.view(np.uint64) & np.uint64(8 * len(filter_) - 1)
     return (filter_[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
