@@ -12,19 +12,21 @@ links to a star for each connected part, and the parts are merged by minimum lab
 tables in the shared folder. Exact copies are one fingerprint class from the start and are never paired.
 
 Defined cases: null or wordless texts have fingerprint zero, which links like any other; fewer than three
-words make one shingle; repeated rows each get a row; a null doc_id counts as larger than any other and is
+words make one shingle; very long texts are read whole; a bit that exactly half the shingles set is 0; repeated rows each get a row; a null doc_id counts as larger than any other and is
 returned as null if nothing smaller is reachable; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from .common import LAST_ID, as_bytes, discard, doc_text, kept, map_batches, written
+from .common import LAST_ID, as_bytes, discard, doc_text, kept, map_batches, prepared, written
 
 SHINGLE, SEED, BUDGET = 3, 42, 2
 #: (shift, bits) of the three blocks.
@@ -222,11 +224,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The first document (by doc_id) of each component, with all columns; documents without a doc_id are left alone.
 
-    Rows that repeat a kept doc_id are reduced to one.
+    Rows that share a kept doc_id: one of each fingerprint stays, that with the least hash of its columns, so no text is lost to
+    another that it doesn't resemble, and the result doesn't depend on the order of rows.
     """
     own = docs.toDF(*[f"_c{k}" if c not in ("doc_id", "text") else c for k, c in enumerate(docs.columns)])
-    keep = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = own.where("doc_id is not null").join(keep, F.col("doc_id").cast("long") == F.col("_kept"))
-    turn = F.row_number().over(Window.partitionBy("_kept").orderBy("_kept"))
-    first = rows.withColumn("_turn", turn).where("_turn = 1").drop("_turn", "_kept")
+    ids = near_duplicates(docs).where("doc_id is not null").select("doc_id", "fingerprint", (F.col("doc_id") == F.col("component_id")).alias("first"))
+    # an id with one fingerprint needs no look at its texts
+    per_id = ids.groupBy(F.col("doc_id").alias("_kept")).agg(F.min("fingerprint").alias("low"), F.max("fingerprint").alias("high"), F.max("first").alias("first"))
+    per_id = per_id.where("first").select("_kept", (F.col("low") != F.col("high")).alias("_many"))
+    rows = own.where("doc_id is not null").join(per_id, F.col("doc_id").cast("long") == F.col("_kept"))
+    plain = rows.where("not _many").withColumn("_print", F.lit(""))
+    several = _with_fingerprint(rows.where("_many")).join(ids.where("first").select(F.col("doc_id").alias("_kept"), F.col("fingerprint").alias("_print")).distinct(), ["_kept", "_print"], "left_semi")
+    both = plain.unionByName(several.select(plain.columns))
+    turn = F.row_number().over(Window.partitionBy("_kept", "_print").orderBy(F.xxhash64(*own.columns), F.xxhash64("text", F.lit(1))))
+    first = both.withColumn("_turn", turn).where("_turn = 1").drop("_turn", "_kept", "_many", "_print")
     return first.unionByName(own.where("doc_id is null")).toDF(*docs.columns)
+
+
+def _with_fingerprint(rows: DataFrame) -> DataFrame:
+    """rows with ``_print``, the fingerprint of their text as :func:`near_duplicates` shows it."""
+    prepared(rows.sparkSession)
+    at, names = rows.columns.index("text"), rows.columns
+
+    def run(batches):
+        for b in batches:
+            prints = [f"{fingerprint(t):016x}" for t in as_bytes(b.column(at).cast(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prints, pa.string())], names=[*names, "_print"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields]).add("_print", "string"))
