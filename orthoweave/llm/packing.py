@@ -3,14 +3,20 @@
 Every read task encodes its texts, cuts documents longer than a sequence, and packs its pieces best-fit in
 descending length. Bins that are full but for ``NEAR_FULL`` tokens are final. The others go up as items: of
 each ``FAN_IN`` groups one task packs the items best-fit again, emits the nearly full bins, and hands on the rest,
-until one group is left. A task hands on at most ``HAND_ON`` bins, those with most room, so the tasks near the root
-stay bounded; the fuller bins beyond it are final sequences as they are, so no piece is lost.
+until one group is left.
+
+What goes up is bounded without a loss. After best-fit at most one bin of a group is half full or less (the second would
+have gone into the first), so a later group meets at most ``FAN_IN`` such bins; a sequence holds at most one bin over
+half full, so only so many of these can take anything in, and bins of equal fill can stand for each other. Of each
+fill a group therefore hands on ``FAN_IN`` bins for each round that is left, and the others are final: no later round could
+have used them.
 
 The pieces (numbers only, no text and no ids) are kept on disk; only bins travel up the
 tree, and one join places the pieces of merged bins.
 
-Defined cases: null and empty texts are the end id alone; a document of exactly the sequence length isn't cut;
-repeated rows and doc_ids are packed as rows of their own; null doc_ids stay null; an empty table gives no
+Defined cases: null and empty texts are the end id alone; a document of exactly the sequence length isn't cut; very long
+texts are encoded whole and cut into as many pieces as they need; of pieces of equal length the one read first is placed
+first; repeated rows and doc_ids are packed as rows of their own; null doc_ids stay null; an empty table gives no
 rows; extra columns are ignored.
 """
 
@@ -29,7 +35,6 @@ from .textcode import encoder
 CAPACITY, END_ID = 2048, 0
 NEAR_FULL = 8
 FAN_IN = 8
-HAND_ON = 200_000
 #: Pieces that a read task packs at a time.
 LOCAL_PIECES = 500_000
 _TASK_BITS = 33
@@ -117,40 +122,49 @@ def local_pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity
     return map_batches(doc_text(docs), run, schema)
 
 
+def of_use(fill: np.ndarray, room: int, most: int) -> np.ndarray:
+    """Which bins go up: of those less full than ``room``, the first ``most`` of each fill."""
+    order = np.argsort(fill, kind="stable")
+    ordered = fill[order]
+    turn = np.arange(len(fill)) - np.searchsorted(ordered, ordered)
+    out = np.zeros(len(fill), dtype=bool)
+    out[order[turn < most]] = True
+    return out & (fill < room)
+
+
 def merged_bins(rest: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(bin, into, shift): where the underfull bins (bin, fill, grp) end up after all rounds."""
     spark = rest.sparkSession
     schema = "bin long, into long, shift long, fill long, grp long, up boolean"
-
-    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["fill", "bin"], ascending=[False, True])
-        bins, offsets, fill = best_fit(pdf["fill"].to_numpy(), capacity)
-        first = np.full(len(fill), np.iinfo(np.int64).max)
-        np.minimum.at(first, bins, pdf["bin"].to_numpy())
-        # a merged bin takes the number of its smallest part
-        room = capacity - fill
-        up = room > NEAR_FULL
-        if up.sum() > HAND_ON:
-            up &= np.isin(np.arange(len(fill)), np.argsort(-room, kind="stable")[:HAND_ON])
-        return pd.DataFrame({"bin": pdf["bin"].to_numpy(), "into": first[bins], "shift": offsets, "fill": fill[bins], "grp": pdf["grp"].to_numpy(), "up": up[bins]})
-
     level = kept(rest)
+    top = level.agg(F.max("grp")).first()[0]
+    rounds = 0
+    while top is not None and (rounds == 0 or top >= FAN_IN**rounds):
+        rounds += 1
     moves = None
-    while True:
-        groups = level.agg(F.count_distinct("grp")).first()[0]
-        if not groups:
-            break
+
+    def round_of(most: int):
+        def packed(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["fill", "bin"], ascending=[False, True])
+            bins, offsets, fill = best_fit(pdf["fill"].to_numpy(), capacity)
+            first = np.full(len(fill), np.iinfo(np.int64).max)
+            np.minimum.at(first, bins, pdf["bin"].to_numpy())
+            # a merged bin takes the number of its smallest part
+            up = of_use(fill, capacity - NEAR_FULL, most)
+            return pd.DataFrame({"bin": pdf["bin"].to_numpy(), "into": first[bins], "shift": offsets, "fill": fill[bins], "grp": pdf["grp"].to_numpy(), "up": up[bins]})
+
+        return packed
+
+    for later in range(rounds - 1, -1, -1):
         level = level.withColumn("grp", F.floor(F.col("grp") / FAN_IN).cast("long"))
-        done = kept(level.groupBy("grp").applyInPandas(packed, schema))
+        done = kept(level.groupBy("grp").applyInPandas(round_of(FAN_IN * later), schema))
         step = done.select("bin", "into", "shift")
         if moves is None:
             moves = step
         else:  # bins merged earlier move on with the bin they are in
-            later = step.select(F.col("bin").alias("into"), F.col("into").alias("next"), F.col("shift").alias("more"))
-            moves = moves.join(later, "into", "left").select("bin", F.coalesce("next", "into").alias("into"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift"))
+            on = step.select(F.col("bin").alias("into"), F.col("into").alias("next"), F.col("shift").alias("more"))
+            moves = moves.join(on, "into", "left").select("bin", F.coalesce("next", "into").alias("into"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift"))
         moves = kept(moves)
-        if groups == 1:
-            break
         level = done.where("up").groupBy("into", "grp").agg(F.first("fill").alias("fill")).select(F.col("into").alias("bin"), "fill", "grp")
     return moves if moves is not None else spark.createDataFrame([], "bin long, into long, shift long")
 
