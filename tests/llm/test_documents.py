@@ -68,6 +68,38 @@ def test_quality_bands_reject_repetition_and_noise():
     assert quality_bands.ratios(None, packer) == (0.0, 0.0, 0.0)
 
 
+def test_quality_counts_of_a_text_with_very_many_words():
+    words = [f"{k:x}" for k in range(2_100_000)]
+    text = " ".join([*words, *words[5:9]]).encode()
+    n, _, _, _, repeated = quality_bands.measures(text)
+    assert (n, repeated) == (2_100_004, 8)
+
+
+def test_quality_verdicts_of_a_plain_version(docs, rows):
+    """kept, recomputed from the stated limits: the band of the length, and at most a quarter of the chunks on either side."""
+    import zstandard
+
+    packer = zstandard.ZstdCompressor(level=3)
+    size = lambda b: len(packer.compress(b))
+    limits = {128: (0.38, 1.05), 256: (0.40, 0.92), 512: (0.39, 0.86), 1024: (0.37, 0.80), 2048: (0.35, 0.75), 4096: (0.33, 0.72), 8192: (0.31, 0.70), 16384: (0.29, 0.68), 32768: (0.27, 0.66)}
+    chunks = {128: (128, 0.33, 1.05), 512: (256, 0.35, 0.95), 1024: (512, 0.34, 0.89), 2048: (2048, 0.30, 0.78)}
+    want = []
+    for i, t, _ in rows:
+        b, words = (t or "").encode(), split(t)
+        windows = Counter(zip(words, words[1:], words[2:], strict=False))
+        repeated = {k + j for k in range(len(words) - 2) if windows[tuple(words[k : k + 3])] > 1 for j in range(3)}
+        ok = len(words) >= 50 and len(repeated) <= len(words) / 2
+        if ok and len(b) >= 128:
+            low, high = limits[max(x for x in limits if x <= len(b))]
+            n, below, above = chunks[max(x for x in chunks if x <= len(b))]
+            starts = list(range(0, len(b), n))
+            each = [size(b[min(k, len(b) - n) :][:n]) / n for k in starts]
+            ok = low <= size(b) / len(b) <= high and 4 * sum(x < below for x in each) <= len(each) and 4 * sum(x > above for x in each) <= len(each)
+        want.append((i, ok))
+    same(quality_bands.quality(docs), ["doc_id", "kept"], want)
+    assert 5 < sum(ok for _, ok in want) < len(want)
+
+
 @pytest.mark.parametrize("n_bytes", [4000, 3998, 1900, 1030, 1000, 500])
 def test_quality_chunks_judge_every_byte(n_bytes):
     import zstandard
@@ -114,10 +146,22 @@ def test_contamination(spark, docs, rows, empty, benchmark_table):
     assert spans and all(s.doc_id is None or texts[s.doc_id][s.begin : s.end] == s.passage for s in spans)
 
 
-def test_contamination_in_blocks_is_the_same(docs, benchmark_table, monkeypatch):
-    one = sorted(map(tuple, decontamination.contamination(docs, benchmark_table).collect()), key=key)
-    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 100)
-    assert sorted(map(tuple, decontamination.contamination(docs, benchmark_table).collect()), key=key) == one
+def test_a_large_benchmark_is_scanned_in_one_pass(spark):
+    words = [f"w{k}" for k in range(3000)]
+    rng = np.random.default_rng(3)
+    items = [(k, " ".join(rng.choice(words, 60))) for k in range(2500)]
+    texts = [(k, " ".join([*rng.choice(words, 30), *items[7 * k][1].split()[k : k + 12], *rng.choice(words, 30)]), "en") for k in range(40)]
+    found = decontamination.contamination(spark.createDataFrame(texts, "doc_id long, text string, lang string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in found.collect()}
+    assert got == {k: (12, 1) for k in range(40)}
+    plan = found._jdf.queryExecution().toString()
+    assert plan.count("MapInArrow") <= 3 * 2 * 4 and "Exchange" not in plan
+
+
+def test_a_benchmark_beyond_the_bound_is_refused(docs, benchmark_table, monkeypatch):
+    monkeypatch.setattr(decontamination, "MOST_BYTES", 100)
+    with pytest.raises(ValueError, match="benchmark"):
+        decontamination.contamination(docs, benchmark_table)
 
 
 def brute_removals(rows):
@@ -266,6 +310,17 @@ def test_deduplicated(docs, rows):
     assert sorted(ids) == sorted(want)
 
 
+def test_deduplicated_keeps_texts_that_share_an_id(spark):
+    one, other = "alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight nine"
+    rows = [(5, one, "a"), (5, other, "b"), (5, one, "c"), (7, one, "d"), (9, other, "e"), (None, one, "f"), (3, other + " ten", "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, mark string")
+    for parts in (1, 4):
+        out = simhash_trie.deduplicated(df.repartition(parts)).collect()
+        assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in out if r.doc_id != 3) == sorted([(False, 5, one), (False, 5, other), (True, 0, one)])
+        assert {r.mark for r in out if r.doc_id == 5 and r.text == one} <= {"a", "c"}
+    assert len({tuple(sorted(r.mark for r in simhash_trie.deduplicated(df.repartition(p)).collect())) for p in (1, 2, 5)}) == 1
+
+
 def test_token_store(docs, rows, empty):
     encode = library(WORD)
     want, at = [], 0
@@ -349,15 +404,41 @@ def check_packing(made, rows, encode):
     return len(bins), -(-sum(r.length for r in made) // 2048)
 
 
-@pytest.mark.parametrize("hand_on", [200_000, 1])
-def test_packing(docs, rows, empty, monkeypatch, hand_on):
-    monkeypatch.setattr(packing, "HAND_ON", hand_on)
+def test_packing(docs, rows, empty, monkeypatch):
     monkeypatch.setattr(packing, "FAN_IN", 2)
     n, least = check_packing(packing.packed_pieces(docs, BYTE).collect(), rows, library(BYTE))
-    assert n <= least + 2 or hand_on == 1
+    assert n <= least + 2
     assert packing.packed_pieces(empty, BYTE).count() == 0
 
 
+@pytest.mark.parametrize("tasks", [1, 7, 64])
+def test_bins_left_behind_could_not_be_used(spark, monkeypatch, tasks):
+    rng = np.random.default_rng(tasks)
+    rows = []
+    for task in range(tasks):  # many bins of few fills over half full, and one under half, as best-fit leaves them
+        fills = [int(x) for x in rng.choice([1100, 1101, 1500, 1990], 40)] + [int(rng.integers(1, 1000))]
+        rows += [(task << 33 | k, f, task) for k, f in enumerate(fills)]
+    rest = spark.createDataFrame(rows, "bin long, fill long, grp long").repartition(4)
+    made = []
+    for cut in (True, False):
+        if not cut:
+            monkeypatch.setattr(packing, "of_use", lambda fill, room, most: fill < room)
+        moves = packing.merged_bins(rest).collect()
+        places = {r.bin: (r.into, r.shift) for r in moves}
+        assert set(places) == {r[0] for r in rows}
+        by_bin = {}
+        for number, fill, _ in rows:
+            by_bin.setdefault(places[number][0], []).append((places[number][1], fill))
+        for parts in by_bin.values():
+            at = 0
+            for shift, fill in sorted(parts):
+                assert shift == at
+                at += fill
+            assert at <= 2048
+        made.append(len(by_bin))
+    assert made[0] == made[1] < len(rows)
+
+
 def test_best_fit():
     sizes = np.array([5, 7, 3, 2, 10, 1, 4])
     bins, offsets, fill = packing.best_fit(sizes, 10)

@@ -1,7 +1,9 @@
 """Trained operators: contract columns on odd rows, and accuracy on held-out rows."""
 
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -74,6 +76,75 @@ def test_toxicity(spark, docs, rows, empty):
     assert toxicity.toxicity(empty, table).count() == 0
 
 
+def plain_ftrl(rows, labels, epochs, alpha, l1):
+    """FTRL-proximal with dictionaries, a coordinate at a time; the bias is coordinate None and isn't shrunk."""
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        shrink = 0.0 if i is None else l1
+        if abs(z[i]) <= shrink:
+            return 0.0
+        return -(z[i] - math.copysign(shrink, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / alpha + toxicity.L2)
+
+    rng = np.random.default_rng(7)
+    for _ in range(epochs):
+        for k in rng.permutation(len(rows)):
+            at = [*rows[k].tolist(), None]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - labels[k]
+            for i in at:
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in list(z)}
+
+
+def test_ftrl_equals_a_plain_version_and_drops_no_feature():
+    rng = np.random.default_rng(5)
+    features = toxicity.Features()
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 60, 30)) for _ in range(40)]
+    texts[3] += " planted"
+    texts[4] += " planted"  # in two documents only
+    labels = np.array([float(k in (3, 4)) for k in range(40)])
+    rows = [np.unique(features.of(t.encode())) for t in texts]
+    for alpha, l1 in ((1.0, 0.5), (2.0, 2.0)):
+        places, weights, bias = toxicity.ftrl(rows, labels, 8, alpha, l1)
+        want = plain_ftrl(rows, labels, 8, alpha, l1)
+        got = dict(zip(places.tolist(), weights.tolist(), strict=True))
+        assert abs(bias - want.pop(None)) < 1e-3
+        assert all(abs(got.get(i, 0.0) - w) < 1e-3 for i, w in want.items())
+        assert got[int(features.of(b"planted")[0])] > 0.5
+
+
+def test_toxicity_scores_equal_a_plain_version(spark):
+    rng = random.Random(9)
+    words = [f"word{k}" for k in range(40)]
+    made = [(i, " ".join(["Awful"] * (i % 4 == 0) + [rng.choice(words) for _ in range(rng.choice([0, 1, 2, 30]))]), "en") for i in range(120)]
+    labels = [(i, 1, int(i % 4 == 0)) for i in range(120)]
+    out = toxicity.toxicity(frame(spark, made), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    features = toxicity.Features()
+    rows = {i: np.unique(features.of(t.encode())) for i, t, _ in made}
+    train = sorted(i for i in rows if fold_of(i, 5) != 0)
+    model = plain_ftrl([rows[i] for i in train], [float(i % 4 == 0) for i in train], toxicity.EPOCHS, toxicity.ALPHA, toxicity.L1)
+    for r in out:
+        total = model[None] + sum(model.get(x, 0.0) for x in rows[r.doc_id].tolist())
+        assert abs(r.score - 1 / (1 + math.exp(-total))) < 1e-3
+
+
+def test_constants_of_toxicity_can_be_compared_inside_the_training_rows():
+    rng = np.random.default_rng(1)
+    rows = [np.unique(np.r_[rng.integers(0, 1 << 20, 50), 7 if k % 3 == 0 else 9]).astype(np.uint32) for k in range(90)]
+    labels = np.array([float(k % 3 == 0) for k in range(90)])
+    good, bad = toxicity.cross_validated(rows, labels, l1=1.0), toxicity.cross_validated(rows, labels, l1=1e6)
+    assert good[0] < bad[0] and good[1] == 0.0
+
+
+def test_rows_that_share_a_labelled_id_are_one_row_of_the_sample(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(50)] + [(2, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert {r.doc_id: r["count"] for r in toxicity.training_sample(docs, labels).groupBy("doc_id").count().collect()} == {1: 1, 2: 1}
+
+
 def test_toxicity_without_labels(docs, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert max(r.score for r in toxicity.toxicity(docs, none).collect()) < 1e-6
