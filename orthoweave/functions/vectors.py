@@ -31,8 +31,9 @@ def mean_pool(vectors: Column, mask: Column) -> Column:
     kept = F.filter(F.zip_with(vectors, mask, lambda v, m: F.when(m == 1, v)), lambda v: v.isNotNull())
     zero = F.transform(F.element_at(vectors, 1), lambda x: F.lit(0.0))
     total = F.aggregate(kept, zero, lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y.cast("double")))
-    mean = F.transform(total, lambda x: x / F.greatest(F.size(kept), F.lit(1)))
-    return F.transform(mean, lambda x: F.when(norm(mean) > 0, x / norm(mean)).otherwise(F.lit(0.0)))
+    # the sum has the direction of the mean; its length is computed once, as a field beside it
+    held = F.element_at(F.transform(F.array(total), lambda t: F.struct(t.alias("v"), norm(t).alias("n"))), 1)
+    return F.element_at(F.transform(F.array(held), lambda h: F.transform(h["v"], lambda x: F.when(h["n"] > 0, x / h["n"]).otherwise(F.lit(0.0)))), 1)
 
 
 def token_probability(logits: Column, targets: Column) -> Column:

@@ -21,8 +21,26 @@ JUDGED, AROUND = 12, 1000
 _sessions: dict[str, tuple] = {}
 
 
+def find_model(folder: str, lang: str, kind: str) -> str:
+    """The model folder ``<lang>-<kind>``, else the first, in order of name, whose ``model.properties`` names both; raises without one."""
+    exact = os.path.join(folder, f"{lang}-{kind}")
+    if os.path.isdir(exact):
+        return exact
+    for name in sorted(os.listdir(folder)):
+        path = os.path.join(folder, name, "model.properties")
+        if os.path.isfile(path):
+            with open(path, encoding="utf-8") as lines:
+                found = dict(line.strip().split("=", 1) for line in lines if "=" in line and not line.startswith("#"))
+            if found.get("language") == lang and found.get("type") == kind:
+                return os.path.join(folder, name)
+    raise FileNotFoundError(f"no {kind} model for {lang} under {folder}")
+
+
 def load(folder: str, tokens: int) -> tuple:
-    """(session, tokenizer) of a folder with model.onnx and tokenizer.json, once per worker."""
+    """(session, tokenizer) of a folder with model.onnx and tokenizer.json, once per worker.
+
+    Of a pair only the second text, the gloss, is cut to the limit.
+    """
     if folder not in _sessions:
         import onnxruntime
         from tokenizers import Tokenizer
@@ -30,7 +48,6 @@ def load(folder: str, tokens: int) -> tuple:
         options = onnxruntime.SessionOptions()
         options.intra_op_num_threads = THREADS
         tokenizer = Tokenizer.from_file(os.path.join(folder, "tokenizer.json"))
-        tokenizer.enable_truncation(tokens)
         tokenizer.enable_padding()
         _sessions[folder] = onnxruntime.InferenceSession(os.path.join(folder, "model.onnx"), options), tokenizer
     return _sessions[folder]
@@ -41,6 +58,12 @@ def _inputs(session, encoded: list) -> dict[str, np.ndarray]:
     return {x.name: np.array(given[x.name], dtype=np.int64) for x in session.get_inputs() if x.name in given}
 
 
+def _limited(tokenizer, tokens: int | None, strategy: str):
+    if tokens is not None and hasattr(tokenizer, "enable_truncation"):
+        tokenizer.enable_truncation(tokens, strategy=strategy)
+    return tokenizer
+
+
 def pair_scores(session, tokenizer, contexts: list[str], glosses: list[str]) -> np.ndarray:
     """The first logit of each (context, gloss) pair."""
     out = session.run(None, _inputs(session, tokenizer.encode_batch(list(zip(contexts, glosses, strict=True)))))[0]
@@ -68,6 +91,7 @@ def model_scorer(folder: str, tokens: int, score: Callable = pair_scores, loader
     @F.pandas_udf(DoubleType())
     def scored(frames: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         session, tokenizer = loader(folder, tokens)
+        _limited(tokenizer, tokens, "only_second" if score is pair_scores else "longest_first")
         for contexts, glosses in frames:
             yield pd.Series(score(session, tokenizer, contexts.fillna("").tolist(), glosses.fillna("").tolist()))
 
@@ -105,3 +129,28 @@ def validated(alternatives: DataFrame, judge: Callable[[str, str, str], bool], t
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in alternatives.schema.fields)
     return alternatives.mapInPandas(run, fields + ", validation array<string>")
+
+
+def text_probability(session, tokenizer, text: str, boundary: int = 0, tokens: int = 1024) -> float:
+    """exp of the mean log probability of a text's tokens under a causal model, read after its boundary token; 1 without tokens."""
+    ids = np.array([boundary, *tokenizer.encode(text).ids][:tokens], dtype=np.int64)
+    if len(ids) < 2:
+        return 1.0
+    known = {"input_ids": ids, "attention_mask": np.ones_like(ids), "position_ids": np.arange(len(ids))}
+    out = session.run(None, {x.name: known[x.name][None, :] for x in session.get_inputs()})[0]
+    logits = np.asarray(out, dtype=np.float64)[0, :-1]
+    top = logits.max(1)
+    log_p = logits[np.arange(len(logits)), ids[1:]] - top - np.log(np.exp(logits - top[:, None]).sum(1))
+    return float(np.exp(log_p.mean()))
+
+
+def coherence_checker(folder: str, boundary: int = 0, tokens: int = 1024, loader: Callable = load) -> Callable[[str], float]:
+    """Checker of texts for ``substitution.applied``: the probability that a causal language model in ``folder`` gives them.
+
+    The model is loaded once in each worker that checks.
+    """
+
+    def check(text: str) -> float:
+        return text_probability(*loader(folder, tokens), text, boundary, tokens)
+
+    return check

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.joins import small
-from ..functions.text import ascii_lower
-from .tokens import bare_tokens, eligible, lemmatised, term, tokens
+from ..functions.text import ascii_lower, wordnet_pos
+from .tokens import bare_tokens, eligible, lemmatised, tagged, term, tokens
 
 #: Thresholds and margins of the model scorers. Fixed values.
 ENGLISH_THRESHOLD, ENGLISH_MARGIN = 2.5, 0.25
@@ -42,17 +42,67 @@ def candidates(words: DataFrame, lemmas: DataFrame, definitions: DataFrame, pos:
     return joined.select("lang", "lemma", "synset_offset", "pos", F.coalesce("eng_def", "own_def", F.lit("")).alias("gloss"))
 
 
+#: Endings and what takes their place when an English form is brought to its base, by part of speech. Fixed values.
+ENDINGS = {
+    "n": (("s", ""), ("ses", "s"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y")),
+    "v": (("s", ""), ("ies", "y"), ("es", "e"), ("es", ""), ("ed", "e"), ("ed", ""), ("ing", "e"), ("ing", "")),
+    "a": (("er", ""), ("est", ""), ("er", "e"), ("est", "e")),
+    "r": (),
+}
+
+
+def stemmed(words: DataFrame, exceptions: DataFrame | None = None) -> DataFrame:
+    """(…, lemma, probe, pos): a word as it is and its possible bases, for each part of speech, distinct.
+
+    exceptions: (pos, form, base) of irregular forms; a form that stands there takes its bases from there alone.
+    """
+    form = F.lower(F.translate("lemma", "_", " "))
+    bases = F.array(*[
+        F.struct(F.lit(pos).alias("pos"), F.when(form.endswith(end) & (F.length(form) > len(end)), F.concat(form.substr(F.lit(1), F.length(form) - len(end)), F.lit(new))).alias("probe"))
+        for pos, pairs in ENDINGS.items()
+        for end, new in pairs
+    ])
+    whole = F.array(*[F.struct(F.lit(pos).alias("pos"), form.alias("probe")) for pos in ENDINGS])
+    rows = words.select("*", F.explode(F.concat(whole, F.filter(bases, lambda x: x["probe"].isNotNull()))).alias("x")).select(*words.columns, "x.pos", "x.probe", (F.col("x.probe") == form).alias("_own"))
+    if exceptions is not None:
+        known = small(exceptions.select("pos", F.col("form").alias("_form"), F.col("base").alias("_base")).distinct())
+        rows = rows.withColumn("_form", form).join(known, ["pos", "_form"], "left")
+        rows = rows.where("_own or _base is null").unionByName(rows.where("_own and _base is not null").withColumn("probe", F.col("_base"))).drop("_form", "_base")
+    return rows.drop("_own").distinct()
+
+
+def english_candidates(words: DataFrame, lemmas: DataFrame, definitions: DataFrame, exceptions: DataFrame | None = None) -> DataFrame:
+    """(lang, lemma, synset_offset, pos, gloss) of distinct English (lemma, tag) words, looked up by the form and its stems.
+
+    A tag's part of speech restricts the senses; a null one allows all four, while a tag without a part of speech gives none. A
+    sense that several stems lead to comes once; satellite adjectives count as adjectives.
+    """
+    rows = words.where("lang = 'eng'")
+    tag = F.col("tag") if "tag" in words.columns else F.lit(None).cast("string")
+    given = rows.select("lang", "lemma", tag.alias("tag")).distinct()
+    probes = stemmed(given, exceptions).where(F.col("tag").isNull() | (wordnet_pos(F.col("tag")) == F.col("pos"))).drop("tag").distinct()
+    stored = lemmas.where("lang = 'eng'").select(ascii_lower(F.translate("lemma", "_", " ")).alias("probe"), F.when(F.col("pos") == "s", "a").otherwise(F.col("pos")).alias("pos"), "synset_offset").distinct()
+    found = probes.join(small(stored), ["probe", "pos"]).select("lang", "lemma", "synset_offset", "pos").distinct()
+    return found.join(small(english_glosses(definitions)), ["synset_offset", "pos"], "left").select("lang", "lemma", "synset_offset", "pos", F.coalesce("gloss", F.lit("")).alias("gloss"))
+
+
+def english_glosses(definitions: DataFrame) -> DataFrame:
+    """(synset_offset, pos, gloss) in English, of offsets of eight digits only; satellite adjectives count as adjectives."""
+    own = definitions.where((F.col("lang") == "eng") & F.col("synset_offset").rlike(r"^[0-9]{8}\z"))
+    return own.groupBy("synset_offset", F.when(F.col("pos") == "s", "a").otherwise(F.col("pos")).alias("pos")).agg(F.min("def").alias("gloss"))
+
+
 def gloss_terms(gloss: Column) -> Column:
     """Distinct lower-cased words of letters in a gloss, as an array."""
     return F.array_distinct(F.regexp_extract_all(F.lower(gloss), F.lit(r"(\p{L}+)"), F.lit(1)))
 
 
 def sentence_terms(texts: DataFrame, stopwords: DataFrame, forms: DataFrame | None = None) -> DataFrame:
-    """(text_id, sentence, context): distinct terms of each sentence that aren't stopwords, as an array."""
+    """(text_id, row, sentence, context): distinct terms of each sentence that aren't stopwords, as an array."""
     rows = eligible(lemmatised(tokens(texts), forms), stopwords).withColumn("term", term(F.col("token")))
     words = small(stopwords.select("lang", F.col("word").alias("term")).distinct())
     kept = rows.where("term <> ''").join(words, ["lang", "term"], "left_anti")
-    return kept.groupBy("text_id", "sentence").agg(F.collect_set("term").alias("context"))
+    return kept.groupBy("text_id", "row", "sentence").agg(F.collect_set("term").alias("context"))
 
 
 def overlap_scorer(rows: DataFrame) -> DataFrame:
@@ -66,7 +116,8 @@ def scored(units: DataFrame, contexts: DataFrame, candidates_: DataFrame, scorer
 
     A score depends on the sentence and the lemma only, so it is computed once for each and joined back.
     """
-    pairs = units.select("text_id", "sentence", "lang", "lemma").distinct().join(contexts, ["text_id", "sentence"], "left")
+    keys = [c for c in ("text_id", "row", "sentence") if c in units.columns and c in contexts.columns]
+    pairs = units.select(*keys, "lang", "lemma").distinct().join(contexts.select(*keys, "context"), keys, "left")
     return scorer(pairs.join(small(candidates_), ["lang", "lemma"])).drop("context")
 
 
@@ -121,9 +172,15 @@ def signatures(definitions: DataFrame, relations: DataFrame, frames: DataFrame,
     return kept.groupBy("synset_offset", "pos", "term").agg(F.sum("weight").alias("weight"), F.max("direct").alias("direct"))
 
 
-def context_frequencies(texts: DataFrame, stopwords: DataFrame) -> DataFrame:
-    """(text_id, term, n): how often each term stands in an English text, stopwords left out."""
-    rows = eligible(lemmatised(bare_tokens(texts)), stopwords).withColumn("term", term(F.col("token"))).where("term <> ''")
+def context_frequencies(texts: DataFrame, stopwords: DataFrame, tags: DataFrame | None = None) -> DataFrame:
+    """(text_id, term, n): how often each term stands in an English text, stopwords left out.
+
+    With a table of tags only tokens tagged as noun, verb, adjective or adverb count.
+    """
+    rows = lemmatised(bare_tokens(texts))
+    if tags is not None:
+        rows = tagged(rows, tags).where(wordnet_pos(F.col("tag")).isNotNull())
+    rows = eligible(rows, stopwords).withColumn("term", term(F.col("token"))).where("term <> ''")
     words = small(stopwords.select("lang", F.col("word").alias("term")).distinct())
     return rows.join(words, ["lang", "term"], "left_anti").groupBy("text_id", "term").agg(F.count("*").alias("n"))
 
@@ -155,26 +212,24 @@ def lesk_best(scores: DataFrame) -> DataFrame:
 
 
 def phrase_in_text(texts: DataFrame, phrase: str, forms: DataFrame | None = None) -> DataFrame:
-    """(text_id, lang, sentence, begin, end, lemma, matches): where a word or phrase stands, by surface, else by lemma.
+    """(text_id, lang, row, sentence, begin, end, lemma, matches): where a word or phrase stands, by surface, else by lemma.
 
-    Texts without it give no row; ``matches`` over 1 says that the place isn't unique.
+    Texts without it give no row; ``matches`` over 1 says that the place isn't unique in its text.
     """
     want = phrase.lower().split()
-    order = Window.partitionBy("text_id").orderBy("idx")
-    placed = lemmatised(tokens(texts), forms).withColumn("lower", F.lower("token"))
-    n = len(want)
-
-    def hit(column: str):
-        out = F.lit(True)
-        for k, w in enumerate(want):
-            out = out & (F.coalesce(F.lead(column, k).over(order) if k else F.col(column), F.lit("")) == w)
-        return out
-
-    last = F.lead("end", n - 1).over(order) if n > 1 else F.col("end")
-    parts = [F.lead("lemma", k).over(order) if k else F.col("lemma") for k in range(n)]
-    found = placed.select("text_id", "lang", "sentence", "begin", last.alias("end"), F.concat_ws("_", *parts).alias("lemma"), hit("lower").alias("surface"), hit("lemma").alias("by_lemma")).where("surface or by_lemma")
-    each = Window.partitionBy("text_id")
-    ranked = found.withColumn("any_surface", F.max(F.col("surface").cast("int")).over(each)).where("surface or any_surface = 0")
-    return ranked.withColumn("matches", F.count("*").over(each)).select("text_id", "lang", "sentence", "begin", "end", "lemma", "matches")
-
-
+    n, placed = len(want), lemmatised(tokens(texts), forms).withColumn("lower", F.lower("token"))
+    if n == 1:
+        found = placed.select("text_id", "lang", "row", "sentence", "begin", "end", "lemma", (F.col("lower") == want[0]).alias("surface"), (F.col("lemma") == want[0]).alias("by_lemma"))
+    else:
+        item = F.struct("idx", "begin", "end", "sentence", "lemma", "lower")
+        rows = placed.groupBy("text_id", "lang", "row").agg(F.array_sort(F.collect_list(item)).alias("s"))
+        spans = F.expr(
+            f"transform(sequence(0, size(s) - {n}), k -> named_struct('sentence', s[k].sentence, 'begin', s[k].begin, 'end', s[k + {n - 1}].end, "
+            f"'lower', transform(slice(s, k + 1, {n}), x -> x.lower), 'lemmas', transform(slice(s, k + 1, {n}), x -> x.lemma)))"
+        )
+        words = F.array(*map(F.lit, want))
+        found = rows.where(F.size("s") >= n).select("text_id", "lang", "row", F.explode(spans).alias("p"))
+        found = found.select("text_id", "lang", "row", "p.sentence", "p.begin", "p.end", F.array_join("p.lemmas", "_").alias("lemma"), (F.col("p.lower") == words).alias("surface"), (F.col("p.lemmas") == words).alias("by_lemma"))
+    each = Window.partitionBy("text_id", "row")
+    ranked = found.where("surface or by_lemma").withColumn("any_surface", F.max(F.col("surface").cast("int")).over(each)).where("surface or any_surface = 0")
+    return ranked.withColumn("matches", F.count("*").over(each)).select("text_id", "lang", "row", "sentence", "begin", "end", "lemma", "matches")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.types import StructType
 
 from ..functions.joins import small
 from ..functions.text import is_word, marked
@@ -13,6 +18,9 @@ SPACE = r"[ \t\n\x0B\f\r]+"
 NO_SPACE = r"[^ \t\n\x0B\f\r]+"
 WORD = r"[\p{L}\p{M}\p{N}]+(?:[’'\-][\p{L}\p{M}\p{N}]+)*"
 _MODES = {"whitespace": (NO_SPACE, SPACE), "regex": (rf"{WORD}|[^\p{{L}}\p{{M}}\p{{N}} \t\n\x0B\f\r]", SPACE)}
+_BYTES = np.arange(256)
+_SPACES, _CLOSES, _STOPS = (np.isin(_BYTES, list(x)) for x in (b" \t\n\x0b\f\r", b"\"')]", b".!?"))
+_STOP = re.compile(r"[.!?][\"')\]]*\Z")
 
 
 def bare_tokens(texts: DataFrame, mode: str = "whitespace") -> DataFrame:
@@ -21,31 +29,75 @@ def bare_tokens(texts: DataFrame, mode: str = "whitespace") -> DataFrame:
     return texts.select("text_id", "lang", F.explode(F.regexp_extract_all("text", F.lit(f"({token})"), F.lit(1))).alias("token"))
 
 
+def _breaks(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which tokens end a sentence: those that end in a full stop, exclamation or question mark and closing marks."""
+    last = end - 1
+    while True:
+        back = _CLOSES[data[last]] & (last > start)
+        if not back.any():
+            return _STOPS[data[last]]
+        last = last - back
+
+
+def _spaced(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(text, begin, end, ends a sentence, token) of the whitespace tokens of a batch of texts, in one pass over its bytes."""
+    column = pc.fill_null(column.cast(pa.string()), "")
+    edges = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = column.buffers()[2]
+    data = np.frombuffer(raw, dtype=np.uint8)[edges[0] : edges[-1]] if raw is not None else np.zeros(0, np.uint8)
+    edges -= edges[0]
+    word = ~_SPACES[data]
+    cut = np.zeros(len(data) + 1, dtype=bool)
+    cut[edges] = True
+    start = np.flatnonzero(word & (np.r_[True, ~word[:-1]] | cut[:-1])) if len(data) else np.zeros(0, np.int64)
+    end = np.flatnonzero(word & (np.r_[~word[1:], True] | cut[1:])) + 1 if len(data) else start
+    text = np.searchsorted(edges, start, side="right") - 1
+    points = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
+    first = points[edges[text]]
+    offsets = np.r_[0, np.cumsum(end - start)].astype(np.int32)
+    token = pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(data[word].tobytes()))
+    return text, points[start] - first, points[end] - first, _breaks(data, start, end), token
+
+
+def _matched(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """The same for tokens that are words or single marks."""
+    import regex
+
+    token = regex.compile(_MODES["regex"][0])
+    rows = [(k, m.start(), m.end(), m.group()) for k, t in enumerate(column.to_pylist()) for m in token.finditer(t or "")]
+    text, begin, end, found = zip(*rows, strict=True) if rows else ((), (), (), ())
+    return np.array(text, np.int64), np.array(begin, np.int64), np.array(end, np.int64), np.array([bool(_STOP.search(t)) for t in found], bool), pa.array(found, pa.string())
+
+
 def tokens(texts: DataFrame, mode: str = "whitespace") -> DataFrame:
-    """(text_id, lang, idx, sentence, token, begin, end): code-point offsets; sentence counts from 0.
+    """(text_id, lang, row, idx, sentence, token, begin, end): code-point offsets; idx and sentence count from 0.
 
-    A sentence ends with a token that ends in a full stop, exclamation or question mark and closing marks. Texts are dealt
-    by text_id before they are split, so that only whole texts and no tokens are shuffled.
+    A sentence ends with a token that ends in a full stop, exclamation or question mark and closing marks. Each text is
+    split where it lies, without a shuffle. ``row`` tells rows of texts apart, those with equal or null text_id too.
     """
-    token, gap = _MODES[mode]
-    dealt = texts.repartition("text_id")
-    pieces = dealt.select("text_id", "lang", F.posexplode(F.regexp_extract_all("text", F.lit(f"({token}|{gap})"), F.lit(1))).alias("piece", "token"))
-    before = Window.partitionBy("text_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    word = ~F.col("token").rlike(f"^{SPACE}$")
-    placed = pieces.select(
-        "text_id",
-        "lang",
-        F.coalesce(F.sum(F.when(word, 1).otherwise(0)).over(before), F.lit(0)).cast("int").alias("idx"),
-        F.coalesce(F.sum(F.when(F.col("token").rlike("[.!?][\"')\\]]*$"), 1).otherwise(0)).over(before), F.lit(0)).cast("int").alias("sentence"),
-        "token",
-        F.coalesce(F.sum(F.length("token")).over(before), F.lit(0)).cast("int").alias("begin"),
-    )
-    return placed.where(word).withColumn("end", F.col("begin") + F.length("token"))
+    split = {"whitespace": _spaced, "regex": _matched}[mode]
+    schema = StructType([*texts.select("text_id", "lang").schema.fields, *StructType.fromDDL("row long, idx int, sentence int, token string, begin int, end int").fields])
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        base = TaskContext.get().partitionId() << 33
+        for b in batches:
+            text, begin, end, ends, token = split(b.column(2))
+            first = np.searchsorted(text, text)  # the first token of each one's text
+            before = np.cumsum(ends) - ends
+            at = pa.array(text)
+            numbers = (base + text, (np.arange(len(text)) - first).astype(np.int32), (before - before[first]).astype(np.int32) if len(text) else before.astype(np.int32))
+            columns = [b.column(0).take(at), b.column(1).take(at), *map(pa.array, numbers), token, pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))]
+            base += b.num_rows
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return texts.select("text_id", "lang", F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def sentences(texts: DataFrame) -> DataFrame:
-    """(text_id, lang, sentence, begin, end) from the tokens' sentence numbers."""
-    return tokens(texts).groupBy("text_id", "lang", "sentence").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+    """(text_id, lang, row, sentence, begin, end) from the tokens' sentence numbers."""
+    return tokens(texts).groupBy("text_id", "lang", "row", "sentence").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
 
 
 def lemmatised(rows: DataFrame, forms: DataFrame | None = None) -> DataFrame:
@@ -58,6 +110,17 @@ def lemmatised(rows: DataFrame, forms: DataFrame | None = None) -> DataFrame:
     return joined.withColumn("lemma", F.coalesce(F.when(F.col("_lemma") != "O", F.col("_lemma")), "_form")).drop("_form", "_lemma")
 
 
+def tagged(rows: DataFrame, tags: DataFrame | None = None) -> DataFrame:
+    """rows with ``tag`` from a (lang, form, pos) table, the least of several; null without a table or an entry.
+
+    The table is the plug-in for taggers: any model's output over the distinct forms of a corpus has this form.
+    """
+    if tags is None:
+        return rows.withColumn("tag", F.lit(None).cast("string"))
+    table = tags.groupBy("lang", F.lower("form").alias("_form")).agg(F.min("pos").alias("tag"))
+    return rows.withColumn("_form", F.lower("token")).join(small(table), ["lang", "_form"], "left").drop("_form")
+
+
 def eligible(rows: DataFrame, stopwords: DataFrame) -> DataFrame:
     """Tokens with a letter, of which neither the lower-cased form nor the lemma is a stopword."""
     words = small(stopwords.select("lang", F.col("word").alias("_w")).distinct())
@@ -79,7 +142,7 @@ def term(token: Column) -> Column:
 def contexts(texts: DataFrame, places: DataFrame, before: str = "<t>", after: str = "</t>") -> DataFrame:
     """places (text_id, sentence, begin, end) with ``context``: the place's sentence with the place between marks.
 
-    Raises where the text already holds a mark.
+    A place names its text by text_id, which must be unique here. Raises where the text already holds a mark.
     """
     rows = places.join(sentences(texts).select("text_id", "sentence", F.col("begin").alias("_from"), F.col("end").alias("_to")), ["text_id", "sentence"])
     rows = rows.join(texts.select("text_id", "text"), "text_id")

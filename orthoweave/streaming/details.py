@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.folders import shared_folder
 from ..functions.joins import small
 from ..operators.senses import candidates
 from ..operators.tokens import bare_tokens, eligible, lemmatised
@@ -36,14 +37,21 @@ def running_ranking(details: DataFrame) -> DataFrame:
     return details.groupBy("lang", "target_lang").agg(F.avg("score").alias("score"), F.count("*").alias("n"))
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Run a stream over what is there now into a table in memory, and return it."""
-    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    running = writer.start()
+def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what is there now into a table in the shared folder, and return the table.
+
+    Rows go to Parquet files by way of a checkpoint; in complete mode each batch replaces the one before. A run under a ``name`` that
+    was used before goes on where that one stopped.
+    """
+    spark = stream.sparkSession
+    path = f"{shared_folder(spark)}/{name}"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        running = writer.format("parquet").start(f"{path}/rows")
+    else:
+        running = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{path}/rows")).start()
     try:
         running.awaitTermination()
     finally:
         running.stop()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
