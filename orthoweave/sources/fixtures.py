@@ -64,6 +64,8 @@ RELATIONS = (
 #: (offset, pos, verb frame).
 FRAMES = (("90000032", "v", "somebody heats a metal thing"), ("90000032", "v", "something heats"))
 
+#: Our own short lists: the articles, commonest prepositions, conjunctions, pronouns and forms of "be" and "have" of each
+#: language, in alphabetical order. They were written down for these tests and are taken from no published list.
 STOPWORDS = {
     "eng": "a an and are as at be but by for from had has have he her his i in is it its not of on or she so that the their there these they this to was we were what which who will with would you",
     "ita": "a al alla che con da dal del della di e gli i il in la le lo ma nel non o per più si sono su un una",
@@ -80,6 +82,9 @@ LEMMAS = (
     ("fra", "ailes", "aile"), ("fra", "eaux", "eau"), ("ita", "anelli", "anello"),
 )
 
+#: (lang, form, tag), as a tagger's output over the forms of a corpus.
+TAGS = (("eng", "small", "JJ"), ("eng", "hot", "JJ"), ("eng", "cold", "ADJ"), ("eng", "old", "NN"), ("eng", "new", "NOUN"), ("eng", "rod", "VB"), ("eng", "the", "NN"))
+
 #: (language, comparison language, text).
 SAMPLES = (
     ("eng", "ita", "The rest of the metal lies on a hot plate in the old shed ."),

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .fixtures import Lexicon, local, stopword_rows
+from .words import stopword_overlay, wordnet_frames, wordnet_relations
+
+#: Tables of a built lexicon.
+TABLES = {
+    "lemmas": "synset_offset string, pos string, synset_id string, lemma string, lang string",
+    "definitions": "synset_offset string, pos string, synset_id string, def string, lang string",
+    "sources": "lang string, name string, url string, license string, file string",
+}
 FILE_NAME = r"wn-data-([a-z]{2,3})\.tab$"
 
 
@@ -86,27 +96,72 @@ def totals(lemmas: DataFrame, definitions: DataFrame, sources: DataFrame) -> Dat
     return named[0].unionByName(named[1]).unionByName(named[2])
 
 
+def tab_text(lang: str, lemmas, definitions, head: str = "") -> str:
+    """A tab file of (synset_id, lemma) and (synset_id, definition) pairs of one language."""
+    lines = [f"# {head}"] if head else []
+    lines += [f"{i}\t{lang}:lemma\t{x}" for i, x in lemmas]
+    lines += [f"{i}\t{lang}:def\t0\t{x}" for i, x in definitions]
+    return "\n".join(lines) + "\n"
+
+
+def _checked(spark: SparkSession, version: str) -> None:
+    """Read every column of every table of a version; raises if that fails or there is no lemma."""
+    for name, schema in TABLES.items():
+        df = spark.read.schema(schema).parquet(f"{version}/{name}")
+        n = df.agg(F.count("*"), F.max(F.xxhash64(*df.columns))).first()[0]
+        if name == "lemmas" and not n:
+            raise ValueError("the files hold no lemma")
+
+
 def build(spark: SparkSession, folder: str, target: str) -> str:
     """Write lemmas, definitions and sources of a folder's tab files under target, and return the version's path.
 
-    Tables are written to a new version folder, checked, and only then named in ``target/current``; a build that
-    fails leaves the version before it in place.
+    Tables go to a new version folder and are read back; only then one file that names the version is added under
+    ``target/current``, by Spark's committer. Nothing that stands there is overwritten or deleted, so at every moment, and after a
+    failure at any point, readers find the last version that was finished.
     """
     files = read_tab_files(spark, folder)
     version = f"{target}/{uuid.uuid4().hex}"
     lemma_rows(files).repartition("lang").sortWithinPartitions("synset_offset", "pos").write.partitionBy("lang").parquet(f"{version}/lemmas")
     definition_rows(files).repartition("lang").sortWithinPartitions("synset_offset", "pos").write.partitionBy("lang").parquet(f"{version}/definitions")
     source_rows(files).coalesce(1).write.parquet(f"{version}/sources")
-    if not spark.read.parquet(f"{version}/lemmas").take(1):
-        raise ValueError("the files hold no lemma")
-    spark.createDataFrame([(version,)], "path string").coalesce(1).write.mode("overwrite").parquet(f"{target}/current")
+    _checked(spark, version)
+    spark.createDataFrame([(time.time_ns(), version)], "turn long, path string").coalesce(1).write.mode("append").parquet(f"{target}/current")
     return version
 
 
-def open_lexicon(spark: SparkSession, target: str) -> dict[str, DataFrame]:
+def current(spark: SparkSession, target: str) -> str:
+    """Path of the newest finished version."""
+    return spark.read.schema("turn long, path string").parquet(f"{target}/current").agg(F.max(F.struct("turn", "path"))).first()[0].path
+
+
+def open_tables(spark: SparkSession, target: str) -> dict[str, DataFrame]:
     """The tables of the current version, also as views of the same names."""
-    version = spark.read.parquet(f"{target}/current").first().path
-    out = {name: spark.read.parquet(f"{version}/{name}") for name in ("lemmas", "definitions", "sources")}
+    version = current(spark, target)
+    out = {name: spark.read.schema(schema).parquet(f"{version}/{name}") for name, schema in TABLES.items()}
     for name, df in out.items():
         df.createOrReplaceTempView(name)
     return out
+
+
+def open_lexicon(spark: SparkSession, target: str, dictionary: str | None = None, stopwords: str | None = None, forms: DataFrame | None = None) -> Lexicon:
+    """The lexicon that analyses read, from the current version of a built folder.
+
+    dictionary: a folder of English dictionary files, which adds relations and verb frames; stopwords: a folder of word lists
+    that add to the built-in ones; forms: (lang, form, lemma) for texts that are lemmatised.
+    """
+    tables = open_tables(spark, target)
+    built_in = local(spark, stopword_rows(), "lang, word")
+    if dictionary is None:
+        relations = spark.createDataFrame([], "synset_offset string, pos string, relation string, to_offset string, to_pos string")
+        frames = spark.createDataFrame([], "synset_offset string, pos string, frame string")
+    else:
+        relations, frames = wordnet_relations(spark, dictionary), wordnet_frames(spark, dictionary)
+    return Lexicon(
+        tables["lemmas"].select("synset_offset", "pos", "synset_id", "lang", "lemma"),
+        tables["definitions"].select("synset_offset", "pos", "synset_id", "lang", "def"),
+        relations,
+        frames,
+        built_in if stopwords is None else stopword_overlay(spark, stopwords, built_in),
+        spark.createDataFrame([], "lang string, form string, lemma string") if forms is None else forms,
+    )
