@@ -8,9 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import folders
 from ..functions import text as T
+from ..functions.joins import small
 from ..functions.vectors import cosine, mean_pool
-from ..operators import language, senses, substitution, tokens, translations, units
+from ..operators import language, nearest, senses, substitution, tokens, translations, units
 from ..sources import fixtures, tabs
 from ..sources.words import texts
 from ..streaming import details
@@ -22,6 +24,8 @@ ORACLES: dict[str, str] = {}
 
 #: Senses are chosen from a score of 0 here, as a lemma with one sense needs no context.
 CHOICE = analyses.Choice(0.0, 0.25)
+#: At least one shared term: most places are left without a sense.
+STRICT = analyses.Choice(1.0, 0.25)
 
 
 def query(sql: str | None = None):
@@ -300,12 +304,17 @@ _SENSES = (STOP, LEM, DEFS, DOCS, TOK, UNITS, CANDS, SCORED)
 _KEYS = ["text_id", "sentence", "lang", "lemma"]
 
 
-def _ranked(spark, d, lex) -> DataFrame:
+def strict(statement: str) -> str:
+    """SQL with the threshold of ``STRICT``."""
+    return statement.replace("score >= 0.0 and", "score >= 1.0 and")
+
+
+def _ranked(spark, d, lex, choice=CHOICE) -> DataFrame:
     found = analyses.sentence_units(_docs(spark, d), lex)
     rows = found.select("text_id", "sentence", "lang", F.explode("units.lemma").alias("lemma"))
     table = senses.candidates(units.nouns(lex.lemmas), lex.lemmas, lex.definitions, "n")
     scored = senses.scored(rows, found.select("text_id", "sentence", "context"), table)
-    return senses.selected(scored, ["text_id", "sentence", "lemma"], CHOICE.threshold, CHOICE.margin).withColumn("sentence", F.col("sentence").cast("long"))
+    return senses.selected(scored, ["text_id", "sentence", "lemma"], choice.threshold, choice.margin).withColumn("sentence", F.col("sentence").cast("long"))
 
 
 @query(sql(*_SENSES, select="select text_id, sentence, lemma, synset_offset, pos, score, rank from judged"))
@@ -318,17 +327,23 @@ def sense_select(spark, d):
     return _ranked(spark, d, _lex(spark)).where("selected").select("text_id", "sentence", "lemma", "synset_offset", "pos", "score")
 
 
+@query(strict(sql(*_SENSES, select="select text_id, sentence, lemma, synset_offset, pos, score from judged where picked")))
+def sense_select_strict(spark, d):
+    return _ranked(spark, d, _lex(spark), STRICT).where("selected").select("text_id", "sentence", "lemma", "synset_offset", "pos", "score")
+
+
 @query(
     sql(
         *_SENSES,
         select="select occ.text_id, occ.sentence, occ.lemma, case when j.lacking is null then 'unlinked' when j.lacking = 1 then 'missing-english-definition' when j.chosen then 'resolved' else 'ambiguous' end as status "
-        "from occ left join (select text_id, sentence, lemma, max(lacking) as lacking, bool_or(picked) as chosen from judged group by all) j using (text_id, sentence, lemma)",
+        "from (select distinct text_id, sentence, lang, lemma from elig) occ left join (select text_id, sentence, lemma, max(lacking) as lacking, bool_or(picked) as chosen from judged group by all) j using (text_id, sentence, lemma)",
     )
 )
 def sense_status(spark, d):
+    """Of all eligible words: those that the lexicon doesn't know are unlinked."""
     lex = _lex(spark)
-    ranked = _ranked(spark, d, lex)
-    return senses.statuses(ranked, ranked, lex.stopwords, _KEYS).drop("lang")
+    words = tokens.eligible(tokens.lemmatised(tokens.tokens(_docs(spark, d))), lex.stopwords).withColumn("sentence", F.col("sentence").cast("long"))
+    return senses.statuses(words, _ranked(spark, d, lex), lex.stopwords, _KEYS).drop("lang")
 
 
 _SIGN = (
@@ -446,8 +461,8 @@ profile as (select text_id, target_lang, sum(score) / n_units as score, n_units
 _RANKED = "select text_id, target_lang, round(score, 6) as score, n_units, {} from (select *, row_number() over (partition by text_id order by round(score, 9) desc, target_lang) as rank from profile)"
 
 
-def _profiles(spark, source, lex) -> DataFrame:
-    rows = analyses.text_transparency(source, lex, CHOICE).drop("rank").withColumn("exact", F.col("score")).withColumn("score", F.round("score", 9))
+def _profiles(spark, source, lex, choice=CHOICE, **more) -> DataFrame:
+    rows = analyses.text_transparency(source, lex, choice, **more).drop("rank").withColumn("exact", F.col("score")).withColumn("score", F.round("score", 9))
     return translations.ranked(rows, ["text_id"]).select("text_id", "target_lang", F.round("exact", 6).alias("score"), "n_units", F.col("rank").cast("long").alias("rank"))
 
 
@@ -456,6 +471,36 @@ def text_transparency(spark, d):
     return _profiles(spark, _docs(spark, d), _lex(spark))
 
 
+@query(strict(sql(*_FULL, _PROFILE, select=_RANKED.format("rank"))))
+def text_transparency_strict(spark, d):
+    return _profiles(spark, _docs(spark, d), _lex(spark), STRICT)
+
+
+#: A scorer of our own: shared terms, and a little more for short glosses.
+GRADED = SCORED.replace("cast(coalesce(n, 0) as double) as score", "coalesce(n, 0) + 1.0::double / (1 + len(list_distinct(regexp_extract_all(lower(c.gloss), '\\p{L}+')))) as score").replace(
+    "score >= 0.0 and", "score >= 0.15 and"
+).replace(">= 0.25", ">= 0.01")
+_GRADED = analyses.Choice(0.15, 0.01)
+
+
+def graded_scorer(rows: DataFrame) -> DataFrame:
+    own = 1.0 / (1 + F.size(senses.gloss_terms(F.col("gloss"))))
+    return senses.overlap_scorer(rows).withColumn("score", F.col("score") + own)
+
+
+@query(sql(STOP, LEM, DEFS, DOCS, TOK, UNITS, CANDS, GRADED, TRANS, BEST, _PROFILE, select=_RANKED.format("rank")))
+def text_transparency_scored(spark, d):
+    return _profiles(spark, _docs(spark, d), _lex(spark), _GRADED, scorer=graded_scorer)
+
+
+_ANALYSED = "select u.text_id, count(*) as n_units, count(*) filter (where j.picked and j.lacking = 0) as analysed_units from units u left join (select * from judged where rank = 1) j on j.text_id = u.text_id and j.sentence = u.sentence and j.lemma = u.lemma group by 1"
+
+
+@query(strict(sql(*_SENSES, select=_ANALYSED)))
+def analysed_units(spark, d):
+    return analyses.analysed_units(_docs(spark, d), _lex(spark), STRICT)
+
+
 @query(sql(STOP, LEM, DEFS, PARTS, TOK, UNITS, CANDS, SCORED, TRANS, BEST, _PROFILE, select=_RANKED.format("rank")))
 def part_transparency(spark, d):
     return _profiles(spark, _parts(spark, d), _lex(spark))
@@ -479,7 +524,7 @@ def top12_report(spark, d):
     return rows.where("rank <= 12").select("text_id", "target_lang", "rank")
 
 
-_DETAIL = f"""detail as (select u.text_id, u.lang, u.lemma, u.b, u.e, t.target_lang, t.target, t.score from units u
+_DETAIL = f"""detail as (select u.text_id, u.lang, u.lemma, u.b, u.e, j.synset_offset, j.pos, t.target_lang, t.target, t.score from units u
   join judged j on j.text_id = u.text_id and j.sentence = u.sentence and j.lemma = u.lemma join trans t on t.lemma = u.lemma and t.synset_offset = j.synset_offset and t.pos = j.pos
   where j.picked and j.lacking = 0 and {code_sql("t.target_lang")} <> {code_sql("u.lang")})"""
 
@@ -517,6 +562,184 @@ def word_in_context(spark, d):
     return rows.select("text_id", "synset_offset", "pos", "target_lang", "target", _r("score"))
 
 
+@query(strict(sql(*_SENSES, TRANS, _DETAIL, select="select text_id, lemma, b as begin_, e as end_, target_lang, target, round(score, 6) as score from detail")))
+def text_details_strict(spark, d):
+    rows = analyses.details(_docs(spark, d), _lex(spark), STRICT)
+    return rows.select("text_id", "lemma", F.col("begin").cast("long").alias("begin_"), F.col("end").cast("long").alias("end_"), "target_lang", "target", _r("score"))
+
+
+@query(
+    sql(
+        STOP, LEM, DEFS, DOCS, TOK, UNITS, CANDS, GRADED, TRANS, _DETAIL,
+        select="select text_id, lemma, target_lang, target, round(score, 6) as score, row_number() over (partition by text_id order by lemma, target_lang, round(score, 9) desc, target, b, synset_offset, pos) as place from detail",
+    )
+)
+def details_placed(spark, d):
+    """Details in the order of the report, under a scorer of our own."""
+    rows = analyses.details(_docs(spark, d), _lex(spark), _GRADED, graded_scorer).withColumn("score", F.round("score", 9))
+    return analyses.placed_details(rows).select("text_id", "lemma", "target_lang", "target", _r("score"), F.col("place").cast("long"))
+
+
+@query(
+    sql(
+        STOP, LEM, DEFS, DOCS, TOK, UNITS, CANDS, GRADED,
+        "c as (select u.text_id, u.lemma, u.b, j.synset_offset, j.pos, round(j.score, 9) as score, j.picked and j.lacking = 0 as selected from units u join judged j on j.text_id = u.text_id and j.sentence = u.sentence and j.lemma = u.lemma)",
+        select="select text_id, lemma, b as begin_, synset_offset, pos, round(score, 6) as score, selected, row_number() over (partition by text_id order by lemma, b, selected desc, score desc, synset_offset, pos) as place from c",
+    )
+)
+def comparisons_placed(spark, d):
+    rows = analyses.comparisons(_docs(spark, d), _lex(spark), _GRADED, graded_scorer).withColumn("score", F.round("score", 9))
+    return analyses.placed_comparisons(rows).select("text_id", "lemma", F.col("begin").cast("long").alias("begin_"), "synset_offset", "pos", _r("score"), "selected", F.col("place").cast("long"))
+
+
+# --- phrases, tags, English by stems --------------------------------------------------------------------------------------------
+
+_PHRASES = f"""ph as (select a.text_id, a.lang, a.sentence, a.idx, a.lemma || '_' || c.lemma as lemma, a.b, c.e from tok a join tok c on a.text_id = c.text_id and c.idx = a.idx + 1 and a.sentence = c.sentence
+  where (a.lang, a.lemma || '_' || c.lemma) in (select lang, {_FOLD.format('lemma')} from lem)),
+units as (select text_id, lang, sentence, lemma, b, e, 2 as n from ph union all select text_id, lang, sentence, lemma, b, e, 1 from elig join nouns using (lang, lemma)
+  where (text_id, idx) not in (select text_id, idx from ph) and (text_id, idx) not in (select text_id, idx + 1 from ph))"""
+
+
+@query(sql(STOP, LEM, PARTS, TOK, NOUNS, _PHRASES, select="select text_id, lemma, b as begin_, e as end_, case n when 2 then 'NOMINAL_MWE' else 'NOMINAL_TOKEN' end as unit_type from units"))
+def units_phrases(spark, d):
+    lex = _lex(spark)
+    rows = units.units(_parts(spark, d), lex.lemmas, lex.stopwords, longest_phrase=2)
+    return rows.select("text_id", "lemma", F.col("begin").cast("long").alias("begin_"), F.col("end").cast("long").alias("end_"), "unit_type")
+
+
+@query(
+    sql(
+        STOP, LEM, PARTS, TOK, NOUNS, _PHRASES,
+        "used as (select text_id, sum(n) as considered_words, count(*) as n_units from units group by 1), total as (select text_id, count(*) as total_words from elig group by 1)",
+        select="select t.text_id, coalesce(total_words, 0) as total_words, cast(coalesce(considered_words, 0) as bigint) as considered_words, coalesce(n_units, 0) as n_units, round(coalesce(considered_words / total_words, 0.0), 6) as coverage from texts t left join total using (text_id) left join used using (text_id)",
+    )
+)
+def coverage_phrases(spark, d):
+    lex = _lex(spark)
+    return units.coverage(_parts(spark, d), lex.lemmas, lex.stopwords, longest_phrase=2).select("text_id", "total_words", "considered_words", "n_units", _r("coverage"))
+
+
+@query(
+    sql(
+        STOP, LEM, PARTS, TOK, NOUNS, _PHRASES,
+        "items as (select text_id, sentence, b, lemma from ph union all select text_id, sentence, b, lemma from tok where (text_id, idx) not in (select text_id, idx from ph) and (text_id, idx) not in (select text_id, idx + 1 from ph))",
+        select="select text_id, sentence, string_agg(lemma, ' ' order by b) as lemmas from items group by 1, 2",
+    )
+)
+def mwe_collapsed(spark, d):
+    placed = tokens.lemmatised(tokens.tokens(_parts(spark, d)))
+    return units.collapsed(placed, _lex(spark).lemmas, 2).select("text_id", F.col("sentence").cast("long"), F.array_join("lemmas", " ").alias("lemmas"))
+
+
+_ALL_CANDS = f"allw as (select distinct lang, {_FOLD.format('lemma')} as lemma from lem),\n" + CANDS.replace("from nouns n join", "from allw n join")
+
+
+@query(sql(STOP, LEM, DEFS, PARTS, TOK, NOUNS, _PHRASES, _ALL_CANDS, SCORED, TRANS, BEST, _PROFILE, select=_RANKED.format("rank")))
+def part_transparency_phrases(spark, d):
+    return _profiles(spark, _parts(spark, d), _lex(spark), longest_phrase=2)
+
+
+def _tags(spark: SparkSession) -> DataFrame:
+    return fixtures.local(spark, fixtures.TAGS, "lang, form, pos")
+
+
+@query(sql(STOP, LEM, PARTS, TOK, NOUNS, values("tags", "lang, form, pos", fixtures.TAGS), select="select text_id, lemma, b as begin_ from elig where (lang, lemma) in (select lang, lemma from nouns) or (lang, lower(token)) in (select lang, form from tags where pos like 'NN%' or pos in ('NOUN', 'PROPN'))"))
+def units_tagged(spark, d):
+    lex = _lex(spark)
+    rows = units.units(_parts(spark, d), lex.lemmas, lex.stopwords, tags=_tags(spark))
+    return rows.select("text_id", "lemma", F.col("begin").cast("long").alias("begin_"))
+
+
+_PLURALS = "texts as (select p_partkey as text_id, p_name || 's' as text, 'eng' as lang from part)"
+_STEMS = " union ".join(["select lemma, p.pos, lemma as probe from forms, (values ('n'), ('v'), ('a'), ('r')) p(pos)"] + [f"select lemma, '{pos}', left(lemma, length(lemma) - {len(end)}) || '{new}' from forms where lemma like '%{end}' and length(lemma) > {len(end)}" for pos, pairs in senses.ENDINGS.items() for end, new in pairs])
+_ENGLISH = f"""forms as (select distinct lemma from elig), probes as ({_STEMS}),
+estored as (select distinct {_FOLD.format("replace(lemma, '_', ' ')")} as probe, case pos when 's' then 'a' else pos end as pos, synset_offset from lem where lang = 'eng'),
+egloss as (select synset_offset, case pos when 's' then 'a' else pos end as pos, min(def) as gloss from defs where lang = 'eng' and regexp_full_match(synset_offset, '[0-9]{{8}}') group by all),
+ecands as (select distinct p.lemma, s.synset_offset, s.pos, coalesce(g.gloss, '') as gloss from probes p join estored s using (probe, pos) left join egloss g using (synset_offset, pos)),
+eterms as (select distinct synset_offset, pos, unnest(regexp_extract_all(lower(gloss), '\\p{{L}}+')) as term from ecands),
+eocc as (select distinct text_id, sentence, lemma from elig), ectx as (select distinct text_id, sentence, term from elig where term <> ''),
+eshared as (select o.text_id, o.sentence, o.lemma, c.synset_offset, c.pos, count(x.term) as n from eocc o join ecands c using (lemma)
+  left join (eterms t join ectx x using (term)) on (t.synset_offset, t.pos) = (c.synset_offset, c.pos) and (x.text_id, x.sentence) = (o.text_id, o.sentence) and t.term <> o.lemma group by all),
+eturned as (select s.*, c.gloss, row_number() over w as rank, lead(n) over w as nxt, max(case when trim(c.gloss) = '' then 1 else 0 end) over (partition by text_id, sentence, lemma) as lacking
+  from eshared s join ecands c using (lemma, synset_offset, pos) window w as (partition by text_id, sentence, lemma order by n desc, synset_offset, pos)),
+esenses as (select text_id, sentence, lemma, synset_offset, pos, gloss, cast(n as double) as score, rank = 1 and (nxt is null or n > nxt) and lacking = 0 as selected from eturned)"""
+
+
+def _plurals(spark, d) -> DataFrame:
+    parts = spark.read.parquet(f"{d}/part.parquet").withColumn("p_name", F.concat("p_name", F.lit("s")))
+    return texts(parts, "p_partkey", "p_name", "eng")
+
+
+@query(sql(STOP, LEM, DEFS, _PLURALS, TOK, _ENGLISH, select="select * from ecands"))
+def english_candidates(spark, d):
+    lex = _lex(spark)
+    words = tokens.eligible(tokens.lemmatised(tokens.bare_tokens(_plurals(spark, d))), lex.stopwords)
+    return senses.english_candidates(words, lex.lemmas, lex.definitions).drop("lang")
+
+
+@query(sql(STOP, LEM, DEFS, _PLURALS, TOK, _ENGLISH, select="select text_id, lemma, synset_offset, pos, gloss, score, selected from esenses"))
+def english_senses(spark, d):
+    return analyses.english_senses(_plurals(spark, d), _lex(spark), CHOICE).select("text_id", "lemma", "synset_offset", "pos", "gloss", "score", "selected")
+
+
+@query(
+    sql(
+        STOP, LEM, DEFS, _PLURALS, TOK, _ENGLISH,
+        select=f"select e.text_id, e.lemma, e.synset_offset, e.pos, l.lang as target_lang, l.lemma as target, round({close_sql('e.lemma', 'l.lemma')}, 6) as score from (select distinct text_id, lemma, synset_offset, pos from esenses where selected) e "
+        "join lem l on l.synset_offset = e.synset_offset and case l.pos when 's' then 'a' else l.pos end = e.pos",
+    )
+)
+def english_transparency(spark, d):
+    return analyses.english_transparency(_plurals(spark, d), _lex(spark), CHOICE).withColumn("score", F.round("score", 6))
+
+
+@query(sql(LEM, select="select lemma from lem where synset_offset = '90000011' and pos = 'n' and lang = 'fra'"))
+def at_synset(spark, d):
+    return translations.at_synset(_lex(spark).lemmas, "90000011", "n", "fra")
+
+
+_NFKC_PAIRS = (("ﬁn", "fin", 1.0), ("Ａｂ", "ab", 1.0), ("x²", "x2", 1.0), ("①a", "1b", 0.5), ("é", "e\u0301", 1.0), ("ｶ", "カ", 1.0), ("ab", "ad", 0.5))
+
+
+@query("select * from (values " + ", ".join(f"('{a}', '{b}', {s}::double)" for a, b, s in _NFKC_PAIRS) + ") t(a, b, score)")
+def sim_compatible(spark, d):
+    """Pairs of which one at least changes under NFKC."""
+    rows = fixtures.local(spark, [(a, b) for a, b, _ in _NFKC_PAIRS], "a, b")
+    return rows.withColumn("score", F.round(T.similarity_nfkc(F.col("a"), F.col("b")), 6))
+
+
+# --- a lexicon built from files ----------------------------------------------------------------------------------------------------
+
+
+def write_tab_files(spark: SparkSession, folder: str) -> None:
+    """Our own lexicon as tab files, one for each language."""
+    for lang in sorted({r[3] for r in fixtures.LEMMA_ROWS}):
+        lemmas = [(r[2], r[4]) for r in fixtures.LEMMA_ROWS if r[3] == lang]
+        defs = [(r[2], r[4]) for r in fixtures.DEFINITION_ROWS if r[3] == lang]
+        folders.put_text(spark, f"{folder}/wn-data-{lang}.tab", tabs.tab_text(lang, lemmas, defs, f"Own {lang}\t1.0\t\tCC0"))
+
+
+@query(sql(STOP, LEM, DEFS, PARTS, TOK, UNITS, CANDS, SCORED, TRANS, BEST, _PROFILE, select=_RANKED.format("rank")))
+def lex_built_transparency(spark, d):
+    """Files are written, built into a lexicon, opened, and an analysis runs on what was built."""
+    files, target = folders.fresh(spark, "tab-files"), folders.fresh(spark, "lexicon")
+    write_tab_files(spark, files)
+    tabs.build(spark, files, target)
+    return _profiles(spark, _parts(spark, d), tabs.open_lexicon(spark, target))
+
+
+@query(
+    sql(
+        STOP, LEM, DEFS, PARTS, TOK, UNITS, CANDS, SCORED, TRANS, BEST, _PROFILE,
+        "names as (select *, case target_lang " + " ".join(f"when '{k}' then '{v} ({k})'" for k, v in T.NAMES.items()) + " else target_lang end as name, row_number() over (partition by text_id order by round(score, 9) desc, target_lang) as place from profile)",
+        select="select text_id, place, rpad(name, 18, ' ') || ' ' || repeat('#', cast(floor(least(greatest(score, 0), 1) * 16 + 0.5) as int)) || repeat('-', 16 - cast(floor(least(greatest(score, 0), 1) * 16 + 0.5) as int)) || ' ' || format('{:.3f}', round(score, 3)) as line from names where place <= 3",
+    )
+)
+def report_lines(spark, d):
+    found = {"results": analyses.text_transparency(_parts(spark, d), _lex(spark), CHOICE).withColumn("score", F.round("score", 9))}
+    return analyses.report(found, top=3).withColumn("place", F.col("place").cast("long"))
+
+
 _EXPLORE = f"""exp as (select l.synset_offset, l.pos, coalesce(d.def, '') as gloss from lem l left join defs d on d.synset_offset = l.synset_offset and d.pos = l.pos and d.lang = l.lang
   where l.lang = 'eng' and {_FOLD.format("replace(l.lemma, '_', ' ')")} = 'ring')"""
 
@@ -671,29 +894,48 @@ _COS = "list_cosine_similarity(e.embedding::double[], c.centroid)"
 @query(sql(_CENT, select=f"select e.vec_id, e.label, round({_COS}, 6) as score from embeddings e join cent c on c.label = e.label"))
 def embed_cosine(spark, d):
     rows = spark.read.parquet(f"{d}/embeddings.parquet")
-    return rows.join(F.broadcast(_centroids(rows)), "label").select("vec_id", "label", F.round(cosine(F.transform("embedding", lambda x: x.cast("double")), F.col("centroid")), 6).alias("score"))
+    return rows.join(small(_centroids(rows)), "label").select("vec_id", "label", F.round(cosine(F.transform("embedding", lambda x: x.cast("double")), F.col("centroid")), 6).alias("score"))
+
+
+_POOLED = "pooled as (select vec_id, list_transform(range(1, len(embedding) + 1), lambda i : embedding[i]::double + embedding[len(embedding) - i + 1]::double) as v from embeddings)"
 
 
 @query(
     sql(
-        _CENT,
-        f"s as (select e.vec_id, c.label, {_COS} as score from embeddings e, cent c), r as (select *, row_number() over w as t, lead(score) over w as nxt from s window w as (partition by vec_id order by score desc, label))",
+        _CENT, _POOLED,
+        "s as (select e.vec_id, c.label, list_cosine_similarity(e.v, c.centroid) as score from pooled e, cent c), r as (select *, row_number() over w as t, lead(score) over w as nxt from s window w as (partition by vec_id order by score desc, label))",
         select="select vec_id, case when score >= 0.2 and (nxt is null or (score > nxt and score - nxt >= 0.001)) then label else -1 end as picked, round(score, 6) as score from r where t = 1",
     )
-)
+)
 def embed_meanpool_select(spark, d):
+    """Each row's vector and its reverse pooled, a third one masked out; then the nearest label by a matrix product."""
     rows = spark.read.parquet(f"{d}/embeddings.parquet").withColumn("embedding", F.transform("embedding", lambda x: x.cast("double")))
-    # a few label vectors as one array for each row: scored and chosen in place
-    table = _centroids(rows).agg(F.collect_list(F.struct("label", "centroid")).alias("senses"))
-    pooled = mean_pool(F.array("embedding"), F.array(F.lit(1)))
-    scored = rows.select("vec_id", pooled.alias("v"), table.scalar().alias("senses"))
-    order = F.array_sort(F.transform("senses", lambda s: F.struct((-cosine(F.col("v"), s["centroid"])).alias("less"), s["label"].alias("label"))))
-    best, second = F.get("o", F.lit(0)), F.get("o", F.lit(1))
-    good = (-best["less"] >= 0.2) & (second.isNull() | (second["less"] - best["less"] >= senses.OTHER_MARGIN))
-    return scored.withColumn("o", order).select("vec_id", F.when(good, best["label"]).otherwise(-1).alias("picked"), F.round(-best["less"], 6).alias("score"))
+    e = F.col("embedding")
+    pooled = mean_pool(F.array(e, F.reverse(e), F.transform(e, lambda x: x + 1000.0)), F.array(F.lit(1), F.lit(1), F.lit(0)))
+    found = nearest.best_match(rows.select("vec_id", pooled.alias("v")), "v", _centroids(rows).withColumnRenamed("centroid", "vector"), 0.2, senses.OTHER_MARGIN)
+    return found.select("vec_id", F.coalesce("picked", F.lit(-1)).alias("picked"), F.round("score", 6).alias("score"))
+
+
+_DETECT = f"""cl as (select doc_id as text_id, {_CLEAN.format('nfc_normalize(text)')} as text from documents),
+pt as (select text_id, unnest(s) as t, unnest(range(len(s))) as part from (select text_id, string_split(regexp_replace(text, '([.!?])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(1), 'g'), chr(1)) as s from cl)),
+pw as (select * from (select text_id, least(part, 16) as part, lower(regexp_replace(tk, '[^\\p{{L}}]+', '', 'g')) as term from (select text_id, part, unnest(regexp_extract_all(t, '[^ \\t\\n\\x0B\\f\\r]+')) as tk from pt)) where term <> ''),
+spread as (select word as term, lang, count(*) over (partition by word) as n from (select distinct lang, word from stop)),
+nw as (select text_id, part, count(*) as words from pw group by all),
+hp as (select text_id, part, lang, round(sum(1.0::double / n), 9) as hits from pw join spread using (term) group by all),
+rk as (select *, row_number() over w as t, lead(hits) over w as nxt from hp window w as (partition by text_id, part order by hits desc, lang)),
+mix as (select text_id, count(distinct lang) > 1 as mixed from rk join nw using (text_id, part) where t = 1 and part < 16 and words >= 6 and hits / words >= 0.02 and hits / words >= coalesce(nxt / words, 0) * 1.5 group by 1),
+tw as (select text_id, cast(sum(words) as bigint) as words from nw group by 1),
+ht as (select text_id, lang, round(sum(hits), 9) as hits from hp group by all),
+top as (select * from (select text_id, lang, hits, row_number() over w as t, coalesce(lead(hits) over w, 0.0) as nxt from ht window w as (partition by text_id order by hits desc, lang)) where t = 1),
+each as (select text_id, lang as code, coalesce(hits / words, 0.0) as confidence, coalesce(nxt / words, 0.0) as runner_up, words, coalesce(mixed, false) as mixed from tw left join top using (text_id) left join mix using (text_id))"""
 
 
-@query()
+@query(
+    sql(
+        STOP, _DETECT,
+        select=f"select text_id, code, round(confidence, 6) as confidence, cast(words as int) as words, mixed, mixed or words < 4 or confidence < 0.02 or (runner_up > 0 and confidence < 1.5 * runner_up) or coalesce(code not in {_OK}, true) as uncertain from each",
+    )
+)
 def lang_detect(spark, d):
     rows = texts(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text", "lang")
     return language.detect(rows, _lex(spark).stopwords).select("text_id", "code", F.round("confidence", 6).alias("confidence"), "words", "mixed", "uncertain")

@@ -80,3 +80,47 @@ def test_only_place(spark):
     assert [r.p for r in rows.where("t <> 'bank Bank'").select(T.only_place(F.col("t"), "bank").alias("p")).collect()] == [4, None]
     with pytest.raises(Exception, match="more than once"):
         rows.select(T.only_place(F.col("t"), "bank")).collect()
+
+
+def test_text_probability():
+    class One:
+        def get_inputs(self):
+            return [Input("input_ids"), Input("position_ids")]
+
+        def run(self, _, given):
+            assert given["position_ids"].tolist() == [[0, 1, 2]]
+            logits = np.full((1, 3, 4), -50.0)
+            for k, (token, p) in enumerate(((1, 0.5), (2, 0.125))):
+                logits[0, k, token], logits[0, k, 3] = np.log(p), np.log(1 - p)
+            return [logits]
+
+    class Ids:
+        def encode(self, text):
+            out = Encoded("")
+            out.ids = [1, 2] if text else []
+            return out
+
+    assert models.text_probability(One(), Ids(), "two tokens") == pytest.approx(0.25)
+    assert models.text_probability(None, Ids(), "") == 1.0
+    check = models.coherence_checker("nowhere", loader=lambda folder, n: (One(), Ids()))
+    assert check("two tokens") == pytest.approx(0.25)
+
+
+def test_model_folders(tmp_path):
+    (tmp_path / "eng-sense").mkdir()
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "model.properties").write_text("language=ita\ntype=sense\n")
+    assert models.find_model(str(tmp_path), "eng", "sense").endswith("eng-sense") and models.find_model(str(tmp_path), "ita", "sense").endswith("other")
+    with pytest.raises(FileNotFoundError):
+        models.find_model(str(tmp_path), "fra", "sense")
+
+
+def test_glosses_are_cut_and_contexts_are_not(spark):
+    seen = []
+
+    class Limited(Tokenizer):
+        def enable_truncation(self, tokens, strategy):
+            seen.append((tokens, strategy))
+
+    models._limited(Limited(), 8, "only_second")
+    assert seen == [(8, "only_second")]

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from orthoweave.operators import graph, language, senses, substitution, tokens, translations, units
+from orthoweave.operators import graph, language, nearest, senses, substitution, tokens, translations, units
 from orthoweave.plans import analyses
 from orthoweave.sources import fixtures
 
@@ -50,6 +50,102 @@ def test_tokens(spark):
     assert split == ["l’été", ",", "it's", "e-mail", "?"]
 
 
+def test_tokens_of_repeated_and_null_ids(spark):
+    rows = spark.createDataFrame([(1, "ab cd.", "eng"), (1, "ab cd.", "eng"), (None, "x y", None), (None, "z", "eng"), (2, None, "eng"), (3, "", "eng"), (4, " \t", "eng")], "text_id long, text string, lang string")
+    for parts in (1, 3):
+        found = tokens.tokens(rows.repartition(parts))
+        assert "Exchange" not in tokens.tokens(rows)._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r.text_id is None, r.text_id or 0, r.token, r.idx, r.begin, r.end) for r in found.collect())
+        assert got == sorted([(False, 1, "ab", 0, 0, 2), (False, 1, "cd.", 1, 3, 6)] * 2 + [(True, 0, "x", 0, 0, 1), (True, 0, "y", 1, 2, 3), (True, 0, "z", 0, 0, 1)])
+        assert found.select("row").distinct().count() == 4
+    lex = fixtures.lexicon(spark)
+    twice = texts(spark, "the ring", "the ring").withColumn("text_id", F.lit(7))
+    assert analyses.sentence_units(twice, lex).count() == 2 and units.units(twice, lex.lemmas, lex.stopwords).count() == 2
+
+
+@pytest.mark.parametrize("mode", ["whitespace", "regex"])
+def test_tokens_against_the_pattern(spark, mode):
+    import regex
+
+    made = ["a  b\tc\n", "Ünï 🌊\u3000x.\" y!)] z", "“Hi.” (No.) end", "\x0b\x0c", "l’été, it's e-mail?", "x\u00a0y\u2028z"]
+    word = {"whitespace": r"[^ \t\n\x0B\f\r]+", "regex": r"[\p{L}\p{M}\p{N}]+(?:[’'\-][\p{L}\p{M}\p{N}]+)*|[^\p{L}\p{M}\p{N} \t\n\x0B\f\r]"}[mode]
+    want = []
+    for k, t in enumerate(made):
+        sentence = 0
+        for n, m in enumerate(regex.finditer(word, t)):
+            want.append((k, n, sentence, m.group(), m.start(), m.end()))
+            sentence += bool(regex.search(r"[.!?][\"')\]]*\Z", m.group()))
+    got = [(r.text_id, r.idx, r.sentence, r.token, r.begin, r.end) for r in tokens.tokens(texts(spark, *made), mode).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_tags_make_units_and_terms(spark, stop):
+    lex = lemmas(spark, ("1", "n", "eng", "tree"))
+    tags = spark.createDataFrame([("eng", "Bark", "NN"), ("eng", "bark", "VB"), ("eng", "runs", "VBZ"), ("eng", "the", "NN"), ("eng", "big", "XX")], "lang string, form string, pos string")
+    rows = texts(spark, "the Bark of a big tree runs")
+    assert [r.lemma for r in units.units(rows, lex, stop, tags=tags).orderBy("begin").collect()] == ["bark", "tree"]
+    assert [r.lemma for r in units.units(rows, lex, stop, longest_phrase=2, tags=tags).orderBy("begin").collect()] == ["bark", "tree"]
+    assert units.coverage(rows, lex, stop, tags=tags).first().considered_words == 2
+    assert {r.term for r in senses.context_frequencies(rows, stop, tags).collect()} == {"bark", "runs"}
+    assert {r.term for r in senses.context_frequencies(rows, stop).collect()} == {"bark", "runs", "big", "tree"}
+
+
+def test_phrases_of_sentences(spark, stop):
+    lex = lemmas(spark, ("1", "n", "eng", "cup_of_tea"), ("2", "n", "eng", "tea"), ("3", "n", "eng", "of_tea"), ("4", "v", "eng", "tea_set"), ("5", "n", "eng", "set"))
+    rows = texts(spark, "cup of tea set of tea. set", "tea set set", "")
+    got = sorted((r.text_id, r.begin, r.lemma) for r in units.units(rows, lex, stop, longest_phrase=3).collect())
+    assert got == [(0, 0, "cup_of_tea"), (0, 11, "set"), (0, 23, "set"), (1, 0, "tea_set"), (1, 8, "set")]
+    cover = {r.text_id: (r.total_words, r.considered_words, r.n_units) for r in units.coverage(rows, lex, stop, longest_phrase=3).collect()}
+    assert cover == {0: (5, 5, 3), 1: (3, 3, 2), 2: (0, 0, 0)}
+    items = units.collapsed(tokens.lemmatised(tokens.tokens(rows)), lex, 3).collect()
+    assert sorted((r.text_id, r.sentence, " ".join(r.lemmas)) for r in items) == [(0, 0, "cup_of_tea set of tea."), (0, 1, "set"), (1, 0, "tea_set set")]
+
+
+def test_english_candidates_by_stem(spark):
+    lex = lemmas(spark, ("00000001", "n", "eng", "box"), ("00000002", "v", "eng", "box"), ("00000003", "s", "eng", "big"), ("00000004", "n", "eng", "goose"), ("00000005", "n", "ita", "boxes"), ("00000006", "n", "eng", "boxes"), ("12", "n", "eng", "box"))
+    table = defs(spark, ("00000001", "n", "eng", "a container"), ("00000003", "s", "eng", "large"), ("12", "n", "eng", "an odd offset"), ("00000004", "n", "ita", "oca"))
+    given = spark.createDataFrame([("eng", "boxes", None), ("eng", "biggest", "JJS"), ("eng", "bigest", "JJS"), ("eng", "geese", "NNS"), ("eng", "boxing", "VBG"), ("eng", "boxing", "UH"), ("ita", "boxes", None)], "lang string, lemma string, tag string")
+    irregular = spark.createDataFrame([("n", "geese", "goose"), ("a", "biggest", "big")], "pos string, form string, base string")
+    got = {(r.lemma, r.synset_offset, r.pos, r.gloss) for r in senses.english_candidates(given, lex, table, irregular).collect()}
+    assert got == {("boxes", "00000001", "n", "a container"), ("boxes", "00000002", "v", ""), ("boxes", "00000006", "n", ""), ("boxes", "12", "n", ""), ("bigest", "00000003", "a", "large"), ("biggest", "00000003", "a", "large"), ("geese", "00000004", "n", ""), ("boxing", "00000002", "v", "")}
+
+
+def test_scorers_serve_every_analysis(spark, stop):
+    lex = bank(spark, stop)
+    two = texts(spark, "The bank approved it .", "no unit here")
+
+    def second(rows):
+        return rows.withColumn("score", F.when(F.col("synset_offset") == "2", 4.0).otherwise(1.0))
+
+    assert {r.synset_offset for r in analyses.comparisons(two, lex, scorer=second).where("selected").collect()} == {"2"}
+    assert {r.target for r in analyses.details(two, lex, scorer=second).collect()} == {"bank", "rive"}
+    got = {r.target_lang: r.score for r in analyses.text_transparency(two, lex, scorer=second).collect()}
+    assert got["ita"] == 1.0 and analyses.text_transparency(two, lex).count() == 0
+    assert [(r.text_id, r.n_units, r.analysed_units) for r in analyses.analysed_units(two, lex, scorer=second).collect()] == [(0, 1, 1)]
+    assert [(r.text_id, r.n_units, r.analysed_units) for r in analyses.analysed_units(two, lex).collect()] == [(0, 1, 0)]
+    assert {r.target for r in analyses.word_in_context(two, "bank", lex, scorer=second).where("target_lang = 'fra'").collect()} == {"rive"}
+    assert analyses.text_transparency(two, lex, analyses.Choice(5.0, 0.0), second).count() == 0
+
+
+def test_nearest(spark):
+    import numpy as np
+
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [0.0, 0.0]), (4, [0.0, 2.0])], "id long, v array<double>")
+    table = spark.createDataFrame([("a", [2.0, 0.0]), ("b", [0.0, 3.0])], "label string, vector array<double>")
+    got = {r.id: (r.picked, round(r.score, 6)) for r in nearest.best_match(rows, "v", table, 0.2, 0.1).collect()}
+    assert got == {1: ("a", 1.0), 2: (None, round(float(np.sqrt(0.5)), 6)), 3: (None, 0.0), 4: ("b", 1.0)}
+    for bad in ([[1.0]], [[1.0, float("nan")]]):
+        odd = spark.createDataFrame([(1, bad[0])], "id long, v array<double>")
+        with pytest.raises(Exception, match="vectors"):
+            nearest.best_match(odd, "v", table, 0.2, 0.1).collect()
+    with pytest.raises(ValueError):
+        nearest.MOST_NUMBERS, kept = 1, nearest.MOST_NUMBERS
+        try:
+            nearest.best_match(rows, "v", table, 0.2, 0.1)
+        finally:
+            nearest.MOST_NUMBERS = kept
+
+
 SELECT = [(2.5, 0.25, [3.0, 4.0], 1), (2.5, 0.25, [2.49], None), (2.5, 0.25, [2.5, 2.25], 0), (2.5, 0.25, [3.0, 2.9], None), (0.0, 0.0, [3.0, 3.0], None)]
 
 
@@ -251,3 +347,13 @@ def test_contrast(spark):
     assert found["coverage"].count() == 6 and found["results"].count() > 6 and found["links"].count() > 6
     assert {r.language for r in found["languages"].collect()} >= {"English (eng)", "Italian (ita)"}
     assert analyses.explored("ring", "eng", lex).where("target_lang = 'ita'").count() == 2
+    assert {r.mode for r in found["languages"].collect()} == {"NOMINAL_AGGREGATE_SUM"} and found["analysed"].count() == 6
+    odd = texts(spark, "the ring", "12 34", None).unionByName(texts(spark, "Ding", lang="deu"))
+    listed = analyses.contrast(odd, lex, word="ring", choice=analyses.Choice(0.0, 0.25))
+    got = sorted((r.language, r.mode, r.confidence, r.error or "") for r in listed["languages"].collect())
+    assert got == [("English (eng)", "CHOSEN_WORD", 1.0, "")] + [("English (eng)", "CHOSEN_WORD", 1.0, "no words")] * 2 + [("German (deu)", "CHOSEN_WORD", 1.0, "unsupported language")]
+    assert listed["coverage"].count() == 1
+    lines = analyses.report(found, top=2, width=40).collect()
+    assert max(len(r.line) for r in lines) <= 40 and {r.place for r in lines} == {1, 2}
+    order = [(r.lemma, r.begin, not r.selected, -r.score) for r in found["comparisons"].where("text_id = 0").orderBy("place").collect()]
+    assert order == sorted(order) and len(order) > 3

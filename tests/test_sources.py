@@ -1,5 +1,9 @@
+import uuid
+from pathlib import Path
+
 import pytest
 
+import orthoweave.__main__ as command
 from orthoweave.plans import analyses
 from orthoweave.sources import fixtures, tabs, words
 from orthoweave.streaming import details
@@ -15,7 +19,7 @@ def folder(tmp_path):
 
 def test_build(spark, folder):
     version = tabs.build(spark, f"{folder}/in", f"{folder}/out")
-    got = tabs.open_lexicon(spark, f"{folder}/out")
+    got = tabs.open_tables(spark, f"{folder}/out")
     rows = {(r.lang, r.lemma, r.synset_offset, r.pos) for r in got["lemmas"].collect()}
     assert rows == {("eng", "ring", "90000001", "n"), ("eng", "gear", "90000016", "n"), ("ita", "anello", "90000001", "n"), ("ita", "ingranaggio", "90000016", "n"), ("eng", "bolt", "90000003", "n")}
     assert {r["def"] for r in got["definitions"].collect()} == {"a round band", "ruota con denti"}
@@ -23,9 +27,45 @@ def test_build(spark, folder):
     lines = [r.line for r in tabs.attribution(got["sources"]).collect()]
     assert lines[0].startswith("| Lang") and any("CC0" in x for x in lines)
     with pytest.raises(FileNotFoundError):
-        (__import__("pathlib").Path(folder) / "none").mkdir()
+        (Path(folder) / "none").mkdir()
         tabs.build(spark, f"{folder}/none", f"{folder}/out")
-    assert spark.read.parquet(f"{folder}/out/current").first().path == version
+    assert tabs.current(spark, f"{folder}/out") == version
+    again = tabs.build(spark, f"{folder}/in", f"{folder}/out")
+    assert tabs.current(spark, f"{folder}/out") == again != version
+    assert spark.read.parquet(f"{version}/lemmas").count() == 5  # readers of the version before go on
+
+
+def test_a_build_that_fails_at_any_step_leaves_the_last_version(spark, folder, monkeypatch):
+    version = tabs.build(spark, f"{folder}/in", f"{folder}/out")
+    for name in ("lemma_rows", "definition_rows", "source_rows", "_checked"):
+        with monkeypatch.context() as m:
+            m.setattr(tabs, name, lambda *a: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                tabs.build(spark, f"{folder}/in", f"{folder}/out")
+        assert tabs.current(spark, f"{folder}/out") == version
+    (Path(folder) / "bare").mkdir()
+    (Path(folder) / "bare" / "wn-data-eng.tab").write_text("# head\n")
+    with pytest.raises(ValueError, match="lemma"):
+        tabs.build(spark, f"{folder}/bare", f"{folder}/out")
+    assert tabs.current(spark, f"{folder}/out") == version
+
+
+def test_a_built_lexicon_serves_the_analyses(spark, folder, tmp_path):
+    tabs.build(spark, f"{folder}/in", f"{folder}/out")
+    (tmp_path / "stop").mkdir()
+    (tmp_path / "stop" / "stopwords-en.txt").write_text("Gear\n")
+    lex = tabs.open_lexicon(spark, f"{folder}/out", stopwords=str(tmp_path / "stop"))
+    rows = spark.createDataFrame([(1, "a ring and a gear and a bolt", "eng")], "text_id long, text string, lang string")
+    choice = analyses.Choice(0.0, 0.25)
+    got = {r.target_lang: (r.score, r.n_units, r.analysed_units) for r in analyses.text_transparency(rows, lex, choice).collect()}
+    assert got["ita"][1:] == (2, 1) and got["eng"][0] == 0.5  # gear is a stopword, bolt has no definition
+    given = command.parser().parse_args(["text", "eng", "--lexicon", f"{folder}/out", "--phrases", "2"])
+    made = command.frames(spark, given, "a ring and a gear")
+    assert made["coverage"].first().considered_words == 2 and any("Italian" in r.line for r in made["report"].collect())
+    listed = command.frames(spark, command.parser().parse_args(["senses", "ring", "eng", "--lexicon", f"{folder}/out"]), "")["senses"]
+    assert {r.words for r in listed.collect()} == {"ring", "anello"}
+    table = command.frames(spark, command.parser().parse_args(["sources", f"{folder}/out"]), "")["sources"]
+    assert any("CC0" in r.line for r in table.collect())
 
 
 def test_stopword_files(spark, tmp_path):
@@ -36,10 +76,25 @@ def test_stopword_files(spark, tmp_path):
     assert got.count() == built_in.distinct().count() + 1
 
 
+LICENCE = "  1 This software is WordNet 3.0 Copyright\n"
+
+
 def test_dictionary_files(spark, tmp_path):
-    (tmp_path / "data.noun").write_text("  1 licence\n00001740 03 n 02 entity 0 good_thing(a) 1 001 ~ 00001930 n 0000 | that which is | so\n")
-    rows = words.wordnet_data(spark, str(tmp_path)).orderBy("sense_order").collect()
-    assert [(r.synset_offset, r.pos, r.lemma, r["def"]) for r in rows] == [("00001740", "n", "entity", "that which is | so"), ("00001740", "n", "good_thing", "that which is | so")]
+    (tmp_path / "data.noun").write_text(LICENCE + "00001740 03 n 02 entity 0 good_thing(a) 1 001 ~ 00001930 n 0000 | that which is | so\n00001930 03 n 01 being 0 002 @ 00001740 n 0000 + 00002000 v 0101 | what is\n")
+    (tmp_path / "data.verb").write_text(LICENCE + "00002000 29 v 01 be 0 000 02 + 08 00 + 01 01 | exist\n")
+    (tmp_path / "index.noun").write_text(LICENCE + "entity n 1 1 ~ 1 0 00001740  \nbeing n 2 2 @ + 2 1 00001930 00001740  \n")
+    (tmp_path / "noun.exc").write_text("geese goose\nmice mouse\n")
+    (tmp_path / "verb.Framestext").write_text("1  Something ----s\n8  Somebody ----s something\n")
+    folder = str(tmp_path)
+    rows = words.wordnet_data(spark, folder).where("pos = 'n'").orderBy("synset_offset", "sense_order").collect()
+    assert [(r.synset_offset, r.pos, r.lemma, r["def"]) for r in rows] == [("00001740", "n", "entity", "that which is | so"), ("00001740", "n", "good_thing", "that which is | so"), ("00001930", "n", "being", "what is")]
+    assert {tuple(r) for r in words.wordnet_relations(spark, folder).collect()} == {("00001740", "n", "hyponym", "00001930", "n"), ("00001930", "n", "hypernym", "00001740", "n")}
+    assert {r.frame for r in words.wordnet_frames(spark, folder).collect()} == {"Something ----s", "Somebody ----s something"}
+    assert {tuple(r) for r in words.wordnet_index(spark, folder).collect()} == {("entity", "n", "00001740", 1), ("being", "n", "00001930", 1), ("being", "n", "00001740", 2)}
+    assert {tuple(r) for r in words.wordnet_exceptions(spark, folder).collect()} == {("n", "geese", "goose"), ("n", "mice", "mouse")}
+    (tmp_path / "data.adv").write_text("  1 This software is WordNet 2.1 Copyright\n")
+    with pytest.raises(ValueError, match="data.adv"):
+        words.wordnet_data(spark, folder)
 
 
 def test_stream_is_the_batch(spark, tmp_path):
@@ -47,10 +102,10 @@ def test_stream_is_the_batch(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a reed and gear", "eng"), (2, "the anvil", "eng"), (3, "nothing", "eng")], "text_id long, text string, lang string")
     rows.write.parquet(f"{tmp_path}/in")
     stream = details.text_stream(spark, f"{tmp_path}/in", "text_id long, text string, lang string")
-    got = details.drained(details.unit_words(stream, lex), "stream_test")
+    got = details.drained(details.unit_words(stream, lex), f"stream-{uuid.uuid4().hex}")
     want = details.unit_words(rows, lex)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 10
-    ranking = details.drained(details.running_ranking(details.unit_words(stream, lex)), "ranking_test", "complete")
+    ranking = details.drained(details.running_ranking(details.unit_words(stream, lex)), f"ranking-{uuid.uuid4().hex}", "complete")
     assert ranking.count() == details.running_ranking(want).count()
 
 
