@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from orthoweave.llm import language_id, toxicity
 
@@ -53,6 +54,86 @@ def test_gradients_are_those_of_the_loss():
         assert abs((up - down) / 2e-3 - g[at]) < 1e-5
 
 
+def test_gradients_of_counted_positions():
+    net = language_id.BiGru(3, 4)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    x, y = np.random.default_rng(0).integers(0, 256, (5, 6)).astype(np.uint8), np.array([0, 1, 2, 0, 1])
+    counted = np.random.default_rng(1).random((5, 6)) < 0.5
+
+    def loss():
+        return -np.log(net.labels(x)[0][np.arange(5)[:, None], np.arange(6)[None, :], y[:, None]])[counted].mean()
+
+    for name, g in net.gradients(x, y, counted).items():
+        at = np.unravel_index(np.abs(g).argmax(), g.shape)
+        kept = net.p[name][at]
+        net.p[name][at] = kept + 1e-3
+        up = loss()
+        net.p[name][at] = kept - 1e-3
+        down = loss()
+        net.p[name][at] = kept
+        assert abs((up - down) / 2e-3 - g[at]) < 1e-5
+
+
+def plain_labels(net, window):
+    """Label probabilities of each byte of a window, a number at a time."""
+    h = net.h
+
+    def states(d, order):
+        state, out = [0.0] * h, {}
+        for t in order:
+            a = net.p["x" + d][window[t]].tolist()
+            g = [sum(state[i] * float(net.p["u" + d][i, j]) for i in range(h)) for j in range(3 * h)]
+            r = [1 / (1 + math.exp(-(a[j] + g[j]))) for j in range(h)]
+            z = [1 / (1 + math.exp(-(a[h + j] + g[h + j]))) for j in range(h)]
+            new = [math.tanh(a[2 * h + j] + r[j] * g[2 * h + j]) for j in range(h)]
+            state = [new[j] + z[j] * (state[j] - new[j]) for j in range(h)]
+            out[t] = state
+        return out
+
+    forward, back = states("f", range(len(window))), states("b", range(len(window) - 1, -1, -1))
+    out = []
+    for t in range(len(window)):
+        s = forward[t] + back[t]
+        e = [math.exp(sum(s[i] * float(net.p["o"][i, k]) for i in range(2 * h)) + float(net.p["c"][k])) for k in range(len(net.p["c"]))]
+        out.append([x / sum(e) for x in e])
+    return out
+
+
+def test_language_scores_equal_a_plain_network(spark, monkeypatch):
+    fitted = []
+    fit = language_id.fit
+    monkeypatch.setattr(language_id, "fit", lambda *a: fitted.append(fit(*a, steps=15)) or fitted[0])
+    base = [(k, ("the water and the stone " if k % 2 else "la maison et la lumière ") * (1 + k % 3), "en" if k % 2 else "fr") for k in range(12)]
+    odd = [(50, "x", None), (51, "Été 漢字 12!", None), (52, "a\tB\n" * 70, None), (53, "w" * 241 + " the end", None)]
+    found = {r.doc_id: r for r in language_id.predicted(frame(spark, base + odd)).collect()}
+    names, net = fitted[0]
+    for i, text, _ in base[:3] + odd:
+        data = bytes(32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in text.encode())
+        letters = [c >= 128 or 97 <= c <= 122 for c in data]
+        total, n = [0.0] * len(names), sum(letters)
+        for begin in range(0, len(data), 240):
+            end = min(begin + 240, len(data))
+            length = next(x for x in (16, 48, 112, 240) if x >= end - begin)
+            window = [data[t] if 0 <= t < len(data) else 32 for t in range(begin - 8, begin + length + 8)]
+            each = plain_labels(net, window)
+            for t in range(begin, end):
+                if letters[t]:
+                    total = [x + y for x, y in zip(total, each[t - begin + 8], strict=True)]
+        pooled = [x / n for x in total]
+        assert found[i].lang_pred == names[pooled.index(max(pooled))] and abs(found[i].score - max(pooled)) < 1e-4
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "LANGUAGES", 2)
+    rows = [(k, "some text " * 5000, f"odd{k}") for k in range(30)] + [(100 + k % 40, f"plain text {k}", "en" if k % 2 else "fr") for k in range(160)]
+    sample = language_id.training_sample(frame(spark, rows), 10)
+    got = {r.lang: (r.n, r.ids) for r in sample.groupBy("lang").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")).collect()}
+    assert got == {"en": (10, 10), "fr": (10, 10)}
+    windows = language_id.training_windows(b"some text " * 5000)
+    assert len(windows) == language_id.DOC_WINDOWS and {len(w) for w in windows} == {language_id.TRAIN_BYTES}
+    assert language_id.training_windows(b"12 .") == [] and len(language_id.training_windows(b"a")) == 1
+
+
 def test_toxicity(spark, docs, rows, empty):
     rng = random.Random(4)
     words = [f"word{k}" for k in range(300)]
