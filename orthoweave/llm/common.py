@@ -50,15 +50,41 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[key]
 
 
+class Scope:
+    """What :func:`kept` and :func:`written` make inside a ``with`` block goes when the block ends, but for lasting tables.
+
+    For steps whose result is written inside the block. Without a scope, results lean on these tables until their reader has
+    written them; ``spark.catalog.clearCache()`` and an empty shared folder are then the caller's part.
+    """
+
+    _open: list[Scope] = []
+
+    def __enter__(self) -> Scope:
+        self.frames: list[DataFrame] = []
+        Scope._open.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        Scope._open.remove(self)
+        if self.frames:
+            discard(*self.frames)
+
+    @staticmethod
+    def add(df: DataFrame) -> DataFrame:
+        if Scope._open:
+            Scope._open[-1].frames.append(df)
+        return df
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df on executors' disks for several uses; partitions on a lost executor are computed again from their lineage."""
-    return df.persist(StorageLevel.DISK_ONLY)
+    return Scope.add(df.persist(StorageLevel.DISK_ONLY))
 
 
-def written(df: DataFrame, name: str = "stage", files: int | None = None) -> DataFrame:
+def written(df: DataFrame, name: str = "stage", files: int | None = None, lasting: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage and survives lost executors.
 
-    files bounds the number of files of a table whose size is known to be small.
+    files bounds the number of files of a table whose size is known to be small; a lasting table outlives the open scope.
     """
     df = df if files is None else df.coalesce(files)
     spark = df.sparkSession
@@ -66,7 +92,8 @@ def written(df: DataFrame, name: str = "stage", files: int | None = None) -> Dat
     path = f"{shared_dir(spark)}/{name}"
     _written.add(name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    return out if lasting else Scope.add(out)
 
 
 def discard(*tables: DataFrame) -> None:
@@ -80,6 +107,7 @@ def discard(*tables: DataFrame) -> None:
             path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
             if path.getName() in _written:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+                _written.discard(path.getName())
     release(tables[0].sparkSession)
 
 
@@ -89,6 +117,16 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def spread(df: DataFrame, each: int = 128 << 20) -> int:
+    """Partitions to deal df's rows to: those of the session, or more where its tables hold over ``each`` bytes for every one of them.
+
+    Taken from the sizes that the optimizer knows; nothing runs.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = sum(x for x in (int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())) if x < 1 << 55)  # above: not known
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // each))
+
+
 def prepared(spark: SparkSession) -> SparkSession:
     """Bounded Arrow batches for this session, as one batch holds whole texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -219,7 +257,7 @@ class Words:
 def split_words(texts: list[bytes | None], lower: bool = False) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Words [^\\x20\\x09-\\x0D]+ of texts: (distinct words, their numbers in order, number of words of each text)."""
     texts = [(t.lower() if lower else t) if t else b"" for t in texts]
-    pieces = pc.ascii_split_whitespace(pa.array([t.decode() for t in texts], type=pa.string()))
+    pieces = pc.ascii_split_whitespace(pa.array(texts, type=pa.binary()).view(pa.string()))
     flat = pieces.flatten().dictionary_encode()
     codes = flat.indices.to_numpy().astype(np.int64)
     counts = pc.list_value_length(pieces).to_numpy().astype(np.int64)

@@ -10,11 +10,12 @@ corpus. Instead a reference shard holds what one anchor selects, and only text w
 1. The anchor of a window is the smallest hash of its 5-word grams, so equal windows have equal anchors. Anchors
    are counted (partial aggregation); those in one document only are dropped. A Bloom filter sized by their number holds the
    others and only saves shuffling.
-2. Runs of windows with one repeated anchor go, with their words, to that anchor's shard. The document with the smallest
-   id there is its owner, and the shard's automaton is built over the owner's runs. Anchors with many runs are
-   split by document into parts, and the owner's runs go to each part, so a shard's size is bounded by a document.
-3. Windows that the owner doesn't hold can still be in another smaller document; it too is not the owner. These
-   windows are compared among themselves by a 128-bit hash: minimum id by aggregation, then a join that
+2. Runs of windows with one repeated anchor go, with their words, to that anchor's shard. There they are streamed in ascending
+   order of doc_id through the suffix automaton of the runs of all smaller documents: matching statistics first, then
+   what is new extends the automaton. (A run that a smaller document has word for word matches as a whole and adds nothing.)
+3. Anchors with many runs are split by document into parts, and the runs of the smallest document go to each part, so a
+   shard's size is bounded by a document. Windows that no smaller document of the part holds can still be in one of another part: these
+   windows, of split anchors only, are compared among themselves by a 128-bit hash: minimum id by aggregation, then a join that
    Spark can split when skewed.
 4. The spans are joined to their documents; documents that no span can be in skip this join.
 
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, as_bytes, discard, kept, map_batches, mix64, prepared, release, sliced, split_words, written
+from .common import LAST_ID, as_bytes, discard, kept, map_batches, mix64, prepared, release, sliced, split_words, spread, written
 
 WINDOW, GRAM = 13, 5
 _SPAN = WINDOW - GRAM + 1
@@ -213,7 +214,7 @@ def _repeated_anchors(rows: DataFrame) -> DataFrame:
 
 
 def _runs(rows: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(h, part, d, t, s, words): runs of windows whose anchor may be repeated, s the place of their first word."""
+    """(h, part, d, t, s, words, split): runs of windows whose anchor may be repeated, s the place of their first word."""
     spark = rows.sparkSession
     total = anchors.agg(F.sum("n")).first()[0] or 0
     bound = max(PART_RUNS, -(-total // MOST_SPLIT))
@@ -240,7 +241,7 @@ def _runs(rows: DataFrame, anchors: DataFrame) -> DataFrame:
             n = np.minimum(np.repeat(n, pieces) - ordinal * RUN_WINDOWS, RUN_WINDOWS) + WINDOW - 1
             h, at = h[first], at[first]
             doc = w.doc[at]
-            part, copies = np.zeros(len(h), dtype=np.int64), np.ones(len(h), dtype=np.int64)
+            part, copies, hot = np.zeros(len(h), dtype=np.int64), np.ones(len(h), dtype=np.int64), np.zeros(len(h), dtype=bool)
             if len(keys):
                 found = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
                 hot = keys[found] == h
@@ -258,44 +259,53 @@ def _runs(rows: DataFrame, anchors: DataFrame) -> DataFrame:
                 "t": t[doc[rep]],
                 "s": w.place[at[rep]],
                 "words": [text[i] for i in rep.tolist()],
+                "split": hot[rep],
             }
 
-    return map_batches(rows, run, "h long, part int, d long, t long, s int, words binary")
+    return map_batches(rows, run, "h long, part int, d long, t long, s int, words binary, split boolean")
+
+
+class Shard:
+    """The runs of one anchor, given in ascending order of documents."""
+
+    def __init__(self):
+        self.automaton, self.seen, self.queued = SuffixAutomaton(), set(), []
+        self.document, self.waiting = None, []
+
+    def matched(self, d: int, text: bytes) -> tuple[list[tuple[int, int]], list[int]]:
+        """(maximal spans of text that runs of smaller documents hold, places of its windows that they don't)."""
+        if d != self.document:  # what waited is of a smaller document now
+            fresh = [t for t in dict.fromkeys(self.waiting) if t not in self.seen]
+            self.seen.update(fresh)
+            self.queued += fresh
+            self.document, self.waiting = d, []
+        self.waiting.append(text)
+        words = text.split(b" ")
+        if text in self.seen:
+            return [(0, len(words))], []
+        for t in self.queued:
+            self.automaton.extend(t.split(b" "))
+        self.queued = []
+        return _spans(self.automaton.matching_statistics(words) if self.seen else [0] * len(words))
 
 
 def _matched(runs: DataFrame) -> DataFrame:
-    """(d, t, s, e, w1, w2): spans s..e that the owner holds; and windows at s that it doesn't, with e null."""
-    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = runs.repartition(parts, "h", "part").sortWithinPartitions("h", "part", "d")
+    """(d, t, s, e, w1, w2): spans s..e that a smaller document of the shard holds; and other windows at s of split anchors, with e null."""
+    dealt = runs.repartition(spread(runs), "h", "part").sortWithinPartitions("h", "part", "d")
 
     def run(batches):
-        shard, owner, reference, automaton, results, hashes = None, None, [], None, {}, WindowHashes()
+        key, shard, hashes = None, Shard(), WindowHashes()
         for b in batches:
             held, single = [], []  # spans as (d, t, s, e); other windows as (d, t, s, number of the words, place in them)
             texts: list[list[bytes]] = []
-            for h, part, d, t, s, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (h, part) != shard:
-                    shard, owner, reference, automaton, results = (h, part), d, [], None, {}
-                if d == owner:
-                    reference.append(text)
-                    continue
-                if text in reference:
-                    held.append((d, t, s, s + text.count(b" ") + 1))
-                    continue
-                words = text.split(b" ")
-                found = results.get(text)
-                if found is None:
-                    if automaton is None:
-                        automaton = SuffixAutomaton()
-                        for r in set(reference):
-                            automaton.extend(r.split(b" "))
-                    found = _spans(automaton.matching_statistics(words))
-                    if len(results) < 1000:
-                        results[text] = found
-                held += [(d, t, s + x, s + y) for x, y in found[0]]
-                if found[1]:
-                    single += [(d, t, s + x, len(texts), x) for x in found[1]]
-                    texts.append(words)
+            for h, part, d, t, s, text, split in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (h, part) != key:
+                    key, shard = (h, part), Shard()
+                spans, places = shard.matched(d, text)
+                held += [(d, t, s + x, s + y) for x, y in spans]
+                if split and places:
+                    single += [(d, t, s + x, len(texts), x) for x in places]
+                    texts.append(text.split(b" "))
             w1, w2 = hashes.of(texts, [x[3:] for x in single]) if single else ((), ())
             both = held + single
             none = np.full(len(held), 0)
