@@ -21,20 +21,48 @@ from .common import ranges, split_words, sums
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-_ODD = re.compile(rb"<\||[\x0b\x0c\x1c-\x1f\x01]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-_CONTROL = bytes(range(0x1C, 0x20)) + b"\x0b\x0c\x01"
+_ODD = re.compile(rb"<\||[\x0b\x0c\x1c-\x1f\x01\x02]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+_CONTROL = bytes(range(0x1C, 0x20)) + b"\x0b\x0c\x01\x02"
 _SPACE = (b" ", b"\t", b"\r", b"\n")
-#: Without any of these, each white-space character stands alone and is a space or a line end.
-_RUNS = (b"  ", b" \n", b"\n ", b"\n\n", b"\t", b"\r")
 _MARKS = (b".", b",")
 #: Words of Latin letters, one pre-token each and the same after normalising (in lower case where that is done).
 _PLAIN = {
     "led": re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf])+"),
     "apart": re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+"),
 }
+_BYTES = np.arange(256)
+#: By kind: bytes that are letters alone, those that follow 0xC3 in a letter, and bytes that lead any two-byte letter.
+_ALONE = {"led": np.isin(_BYTES, list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")), "apart": np.isin(_BYTES, list(b"abcdefghijklmnopqrstuvwxyz"))}
+_AFTER_C3 = {"led": np.isin(_BYTES, [*range(0x80, 0x97), *range(0x98, 0xB7), *range(0xB8, 0xC0)]), "apart": np.isin(_BYTES, [*range(0x9F, 0xB7), *range(0xB8, 0xC0)])}
+_LEADS = {"led": (_BYTES >= 0xC4) & (_BYTES <= 0xC8), "apart": np.zeros(256, dtype=bool)}
 _LED = re.compile(rb"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
 
 
+def has_runs(t: bytes) -> bool:
+    """Whether any white-space character doesn't stand alone, or is neither a space nor a line end."""
+    return b"  " in t or b" \n" in t or b"\n " in t or b"\n\n" in t or b"\t" in t or b"\r" in t
+
+
+def words_and_marked(chunks: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Which chunks are words of letters as ``_PLAIN`` has them, and which are such a word and one closing mark."""
+    sizes = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
+    data = np.frombuffer(b"".join(chunks), dtype=np.uint8)
+    if not len(data):
+        return np.zeros(len(chunks), dtype=bool), np.zeros(len(chunks), dtype=bool)
+    after = np.append(data[1:], np.uint8(0))
+    first = (data == 0xC3) & _AFTER_C3[kind][after] | _LEADS[kind][data]
+    letter = _ALONE[kind][data] | first
+    letter[1:] |= first[:-1]
+    wrong = np.append(0, np.cumsum(~letter))
+    ends = np.cumsum(sizes)
+    begins = np.minimum(ends - sizes, len(data) - 1)
+    led = (data[begins] == 32) & (sizes > 0) if kind == "led" else np.zeros(len(chunks), dtype=bool)
+    bad, size = wrong[ends] - wrong[ends - sizes] - led, sizes - led
+    last = data[np.maximum(ends - 1, 0)]
+    mark = np.isin(last, [m[0] for m in _MARKS])
+    return (bad == 0) & (size > 0), mark & (bad == 1) & (size > 1)
+
+
 def odd(text: bytes) -> bool:
     """Whether a cut at white space could change ids."""
     if b"<|" in text or len(text.translate(None, _CONTROL)) != len(text):
@@ -144,52 +172,51 @@ class Encoder:
         each = self._library(chunks)
         return np.array([len(x) for x in each], dtype=np.int64), np.array([i for x in each for i in x], dtype=np.uint32)
 
-    def _pieces(self, texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    def _pieces(self, texts: list[bytes], runs: bool | None = None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """Distinct chunks, their numbers in order, and chunks a text, of texts that may be cut."""
         if self.kind == "apart":
             return split_words(texts, lower=True)
-        plain = [all(x not in t for x in _RUNS) for t in texts]
-        if all(plain):  # the start of a text is marked, so that only its first chunk has no space before it
-            split = pc.split_pattern(pa.array([b"\x01" + t.replace(b"\n", b" \n") for t in texts], type=pa.binary()), b" ")
+        if runs is False or runs is None and not any(map(has_runs, texts)):  # every piece keeps the white space before it
+            split = pc.split_pattern(pa.array([t.replace(b" ", b"\x02 ").replace(b"\n", b"\x02\n") for t in texts], type=pa.binary()), b"\x02")
             flat = split.flatten().dictionary_encode()
-            distinct = [p if p[:1] == b"\n" else p[1:] if p[:1] == b"\x01" else b" " + p for p in flat.dictionary.to_pylist()]
-            return distinct, flat.indices.to_numpy().astype(np.int64), pc.list_value_length(split).to_numpy().astype(np.int64)
+            return flat.dictionary.to_pylist(), flat.indices.to_numpy().astype(np.int64), pc.list_value_length(split).to_numpy().astype(np.int64)
         number: dict[bytes, int] = {}
         chunks = [_LED.findall(t) for t in texts]
         codes = np.array([number.setdefault(c, len(number)) for x in chunks for c in x], dtype=np.int64)
         return list(number), codes, np.array([len(x) for x in chunks], dtype=np.int64)
 
     def _numbers(self, chunks: list[bytes]) -> np.ndarray:
-        """Numbers of chunks among those known, after the library has encoded the new ones."""
+        """Numbers of distinct chunks among those known, after the library has encoded the new ones."""
         known, first = self.known, len(self.known)
-        out = np.array([known.setdefault(c, len(known)) for c in chunks], dtype=np.int64)
-        plain_word = _PLAIN[self.kind].fullmatch
+        fresh = [c for c, k in zip(chunks, map(known.get, chunks), strict=True) if k is None]
+        known.update(zip(fresh, range(first, first + len(fresh)), strict=True))
+        plain, marked = words_and_marked(fresh, self.kind)
         # letters and one closing mark are two pre-tokens: the ids of both in turn
-        split: dict[int, tuple[int, int]] = {}
-        for c in list(islice(reversed(known), len(known) - first)):
-            if c[-1:] in _MARKS and plain_word(c[:-1]):
-                split[known[c]] = (known.setdefault(c[:-1], len(known)), known.setdefault(c[-1:], len(known)))
-        fresh = list(islice(reversed(known), len(known) - first))[::-1]
-        whole = np.ones(len(fresh), dtype=bool)
-        whole[np.fromiter(split, dtype=np.int64, count=len(split)) - first] = False
-        plain = np.array([plain_word(c) is not None for c in fresh], dtype=bool)
-        groups = [(np.flatnonzero(whole & plain), self._encode_plain)]
-        rest = whole & ~plain
+        split = np.flatnonzero(marked)
+        stems, marks = [fresh[i][:-1] for i in split.tolist()], [fresh[i][-1:] for i in split.tolist()]
+        more = [c for c in dict.fromkeys(stems + marks) if c not in known]
+        known.update(zip(more, range(len(known), len(known) + len(more)), strict=True))
+        if more:
+            plain, marked = np.append(plain, words_and_marked(more, self.kind)[0]), np.append(marked, np.zeros(len(more), dtype=bool))
+            fresh += more
+        groups = [(np.flatnonzero(plain), self._encode_plain)]
+        rest = ~marked & ~plain
         if self.kind == "led":  # only chunks that start with white space can be joined for one call
-            inner = np.array([c[:1] in _SPACE and c[-1:] not in _SPACE for c in fresh], dtype=bool)
-            groups += [(np.flatnonzero(rest & inner), self._encode_chunks), (np.flatnonzero(rest & ~inner), self._encode_chunks)]
+            inner = np.zeros(len(fresh), dtype=bool)
+            inner[rest] = [c[:1] in _SPACE and c[-1:] not in _SPACE for c in (fresh[i] for i in np.flatnonzero(rest).tolist())]
+            groups += [(np.flatnonzero(inner), self._encode_chunks), (np.flatnonzero(rest & ~inner), self._encode_chunks)]
         else:
             groups += [(np.flatnonzero(rest), self._encode_chunks)]
         for group, encode in groups:
             for k in range(0, len(group), 2000):
                 at = group[k : k + 2000]
-                self._store(first + at, *encode([fresh[i] for i in at]))
-        if split:
-            both = np.array(list(split.values()), dtype=np.int64)
+                self._store(first + at, *encode([fresh[i] for i in at.tolist()]))
+        if len(split):
+            both = np.array([list(map(known.__getitem__, stems)), list(map(known.__getitem__, marks))], dtype=np.int64).T
             lengths = self.length[both]
             ids = self.flat[ranges(self.start[both.ravel()], lengths.ravel())]
-            self._store(np.fromiter(split, dtype=np.int64, count=len(split)), lengths.sum(1), ids)
-        return out
+            self._store(first + split, lengths.sum(1), ids)
+        return np.fromiter(map(known.__getitem__, chunks), dtype=np.int64, count=len(chunks))
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order as uint32, number of ids of each text)."""
@@ -197,9 +224,9 @@ class Encoder:
             self._forget(self.limit // 3)
         texts = [t or b"" for t in texts]
         # 0: may be cut; 1: may be cut, with runs of white space; 2: for the library as it is
-        way = np.array([2 if self.kind == "whole" or odd(t) else int(self.kind == "led" and any(x in t for x in _RUNS)) for t in texts])
+        way = np.array([2 if self.kind == "whole" or odd(t) else int(self.kind == "led" and has_runs(t)) for t in texts])
         if not len(texts) or not way.any():
-            return self._cut(texts)
+            return self._cut(texts, False)
         groups = [(np.flatnonzero(way == w), w) for w in (0, 1, 2)]
         pieces: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
         for at, w in groups:
@@ -208,14 +235,14 @@ class Encoder:
                 if w == 2:
                     parts = [np.array(x, dtype=np.uint32) for x in self._library(own)]
                 else:
-                    ids, per = self._cut(own)
+                    ids, per = self._cut(own, w == 1)
                     parts = np.split(ids, np.cumsum(per)[:-1])
                 for i, p in zip(at, parts, strict=True):
                     pieces[i] = p
         return np.concatenate(pieces), np.array([len(p) for p in pieces], dtype=np.int64)
 
-    def _cut(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        distinct, codes, counts = self._pieces(texts)
+    def _cut(self, texts: list[bytes], runs: bool) -> tuple[np.ndarray, np.ndarray]:
+        distinct, codes, counts = self._pieces(texts, runs)
         index = self._numbers(distinct).astype(np.int32)[codes]
         del codes
         lengths = self.length[index].astype(np.int32)

@@ -7,10 +7,12 @@ rarer pre-tokens with their frequencies in each document: they are shuffled by p
 distinct one is counted once and joined to its documents' frequencies, and then summed by document. Which
 way a pre-token takes changes nothing in the sums. No ids are kept.
 
-A text that holds special strings, or white space that other tokenizers treat differently, is counted by the library
-as a whole, and so is every text if the tokenizer isn't a byte-level one.
+Special strings, and white space that tokenizers treat differently, matter only up to the next plain space between
+two characters that aren't white space: a text with such things is cut there, and only the parts that hold them are
+counted by the library as they are, like a pre-token each. Only for tokenizers that aren't byte-level ones, or have special strings with
+spaces, whole texts take the place of pre-tokens.
 
-Defined cases: null texts are empty (0 bytes, 0 tokens); repeated rows and doc_ids are rows of their own; an
+Defined cases: very long texts are read whole; a count of exactly the limit isn't over it; null texts are empty (0 bytes, 0 tokens); repeated rows and doc_ids are rows of their own; an
 empty table gives no rows; extra columns are ignored.
 """
 
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, doc_text, kept, map_batches, prepared, ranges, sums
+from .common import as_bytes, doc_text, kept, map_batches, prepared, ranges, spread
 from .sampling import most_frequent
 from .textcode import _MARKS, _PLAIN, _SPACE, encoder, odd
 
@@ -37,6 +39,8 @@ HOT_BYTES = 64
 #: The byte-level pre-token pattern for ASCII text; other text is split by the library. Fixed values.
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
 _WORD = _PLAIN["led"].fullmatch
+#: A space that nothing can reach over.
+_PLAIN_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _ROW = b"\xff"  # starts the key of a document's own row; no UTF-8 text holds it
 
 
@@ -70,11 +74,29 @@ class PreTokens:
     def apart(self, text: bytes) -> bool:
         return self.coder.kind != "led" or odd(text)
 
+    def segments(self, text: bytes) -> tuple[list[bytes], list[bytes]]:
+        """(parts of an odd text that may be cut as usual, parts that the library must see as they are)."""
+        if self.coder.kind != "led" or any(" " in t.content for t in self.coder.tokenizer.get_added_tokens_decoder().values()):
+            return [], [text]
+        usual, strange, held = [], [], []
+        for k, part in enumerate(_PLAIN_SPACE.split(text.decode())):
+            part = (" " * (k > 0) + part).encode()
+            if odd(part):
+                strange.append(part)
+                if held:
+                    usual.append(b"".join(held))
+                held = []
+            else:
+                held.append(part)
+        return (usual + [b"".join(held)] if held else usual), strange
+
     def counts(self, pre_tokens: list[bytes]) -> np.ndarray:
         """Pieces of each pre-token."""
         out = np.zeros(len(pre_tokens), dtype=np.int64)
+        strange = np.array([self.apart(p) for p in pre_tokens], dtype=bool)
+        out[strange] = [len(x) for x in self.coder._library([p for p, x in zip(pre_tokens, strange.tolist(), strict=True) if x])]
         led = np.array([p[:1] in _SPACE and p[-1:] not in _SPACE and not p.strip() == b"" for p in pre_tokens], dtype=bool)
-        for group in (np.flatnonzero(led), np.flatnonzero(~led)):
+        for group in (np.flatnonzero(led & ~strange), np.flatnonzero(~led & ~strange)):
             for k in range(0, len(group), 2000):
                 at = group[k : k + 2000]
                 out[at] = self.coder._encode_chunks([pre_tokens[i] for i in at])[0]
@@ -119,26 +141,31 @@ def token_counts(docs: DataFrame, tokenizer: str, limit_tokens: int = LIMIT_TOKE
         row = TaskContext.get().partitionId() << 33
         for b in batches:
             texts = [t or b"" for t in as_bytes(b.column(1))]
-            alone = np.array([splitter.apart(t) for t in texts], dtype=bool)
-            cut = np.flatnonzero(~alone)
-            distinct, codes, counts = splitter.cut([texts[i] for i in cut])
+            pieces, owner, strange, owner_of_strange = [], [], [], []
+            for i, t in enumerate(texts):
+                usual, others = splitter.segments(t) if splitter.apart(t) else ([t], [])
+                pieces += usual
+                owner += [i] * len(usual)
+                strange += others
+                owner_of_strange += [i] * len(others)
+            distinct, codes, counts = splitter.cut(pieces) if pieces else ([], np.zeros(0, np.int64), np.zeros(0, np.int64))
+            doc_of = np.concatenate([np.repeat(np.array(owner, dtype=np.int64), counts), np.array(owner_of_strange, dtype=np.int64)])
+            first = {c: len(distinct) + k for k, c in enumerate(dict.fromkeys(strange))}
+            codes = np.concatenate([codes, np.array([first[c] for c in strange], dtype=np.int64)])
+            n_usual, distinct = len(distinct), [*distinct, *first]
             if len(resolved) > splitter.limit:
                 resolved.clear()
             own, rare, at = np.zeros(len(distinct), dtype=np.int64), [], np.zeros(len(distinct) + 1, dtype=np.int64)
             for k, chunk in enumerate(distinct):
                 found = resolved.get(chunk)
                 if found is None:
-                    parts = splitter.of(chunk)
+                    parts = splitter.of(chunk) if k < n_usual else (chunk,)
                     found = resolved[chunk] = (sum(hot.get(p, 0) for p in parts), tuple(p for p in parts if p not in hot))
                 own[k] = found[0]
                 rare += found[1]
                 at[k + 1] = len(rare)
-            known = np.zeros(len(texts), dtype=np.int64)
-            known[cut] = sums(own[codes], counts)
-            for i in np.flatnonzero(alone):
-                known[i] = len(splitter.coder._library([texts[i]])[0])
+            known = np.bincount(doc_of, weights=own[codes], minlength=len(texts)).astype(np.int64)
             # occurrences of rarer pre-tokens: (document, number of the pre-token), counted
-            doc_of = np.repeat(cut, counts)
             some = np.flatnonzero(np.diff(at)[codes])
             n_rare = np.diff(at)[codes[some]]
             number: dict[bytes, int] = {}
@@ -172,7 +199,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit_tokens: int = LIMIT_TOKE
     frequencies.encodes = joined.encodes = True
     fields = "row long, doc_id long, n_bytes long, n long"
     rows = map_batches(doc_text(docs), frequencies, "k binary, " + fields)
-    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k")
+    dealt = rows.repartition(spread(docs), "k")
     each = map_batches(dealt, joined, fields)
     total = each.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
     return total.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit_tokens).alias("over_limit"))
