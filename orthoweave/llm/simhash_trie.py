@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from .common import LAST_ID, as_bytes, discard, doc_text, kept, map_batches, prepared, written
+from .common import LAST_ID, as_bytes, discard, doc_text, kept, map_batches, prepared, spread, written
 
 SHINGLE, SEED, BUDGET = 3, 42, 2
 #: (shift, bits) of the three blocks.
@@ -157,8 +157,7 @@ def _tries(classes: DataFrame) -> DataFrame:
 def stars(classes: DataFrame) -> DataFrame:
     """(fp, root): every linked fingerprint with the root of its part in each trie, the root among them."""
     rows = _tries(classes)
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, "node").sortWithinPartitions("node", "side")
+    dealt = rows.repartition(spread(rows), "node").sortWithinPartitions("node", "side")
 
     def joined(held):
         node, side, fp = (np.concatenate([h[k] for h in held]) for k in range(3))
