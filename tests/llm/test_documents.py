@@ -205,6 +205,31 @@ def test_removals_of_many_edits(spark):
     same(substring_dedup.removals(df), ["doc_id", "n_words", "n_removed", "kept_sha256"], brute_removals(rows))
 
 
+def test_a_shard_holds_what_smaller_documents_hold():
+    import random
+
+    rng = random.Random(11)
+    made = sorted((rng.randrange(8), " ".join(rng.choice("abc") for _ in range(rng.randrange(13, 30)))) for _ in range(60))
+    made += [(9, made[0][1]), (9, made[0][1] + " a b")]
+    shard = substring_dedup.Shard()
+    for d, text in made:
+        spans, places = shard.matched(d, text.encode())
+        words = text.split(" ")
+        smaller = {tuple(w[k : k + 13]) for e, t in made if e < d for w in [t.split(" ")] for k in range(len(w) - 12)}
+        known = [k for k in range(len(words) - 12) if tuple(words[k : k + 13]) in smaller]
+        assert {k for k in range(len(words) - 12) if any(x <= k and k + 13 <= y for x, y in spans)} == set(known)
+        assert places == [k for k in range(len(words) - 12) if k not in known]
+
+
+def test_filters_follow_the_number_of_keys(spark):
+    assert [substring_dedup.bloom_bits(n) for n in (0, 1, 1 << 20, 1 << 40)] == [20, 20, 25, 29]
+    keys = spark.range(50_000).selectExpr("xxhash64(id) as h")
+    found = substring_dedup.bloom(keys, "h")
+    own = np.array([r.h for r in keys.collect()])
+    other = np.array([r.h for r in spark.range(60_000, 90_000).selectExpr("xxhash64(id) as h").collect()])
+    assert substring_dedup.in_bloom(found, own).all() and substring_dedup.in_bloom(found, other).mean() < 0.1
+
+
 def test_texts_without_repeats(docs, rows):
     out = substring_dedup.without_repeats(docs)
     assert out.columns == docs.columns

@@ -8,10 +8,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from orthoweave.llm import common, sampling
+from orthoweave.llm import common, sampling, textcode, token_counts
 from orthoweave.llm.textcode import Encoder, tokenizer_path
 
-PIECES = st.sampled_from(["a", "Word", "é", "É", "œ", "×", " ", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\xa0", "'s", "'", "1", "23", "<|endoftext|>", "<|", ".", ",", "!!", "\x01", "\x0b", "\x1f", "\x85", "漢字", "ß", "İ", "́", "한", "🙂", "_", "\x00"])
+PIECES = st.sampled_from(["a", "Word", "é", "É", "œ", "×", " ", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\xa0", "'s", "'", "1", "23", "<|endoftext|>", "<|", ".", ",", "!!", "\x01", "\x02", "\x0b", "\x1f", "\x85", "漢字", "ß", "İ", "́", "한", "🙂", "_", "\x00"])
 TEXT = st.lists(PIECES, max_size=25).map("".join)
 _made: dict = {}
 
@@ -34,6 +34,26 @@ def test_encoder_is_the_library(name, texts):
     assert lengths.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
+@settings(max_examples=200, deadline=None)
+@given(text=TEXT)
+def test_odd_texts_are_cut_where_nothing_reaches_over(text):
+    _, library = both("byte_bpe_50k.json")
+    usual, strange = token_counts.PreTokens(tokenizer_path("byte_bpe_50k.json")).segments(text.encode())
+    count = lambda x: len(library.encode(x, add_special_tokens=False).ids)
+    assert sum(count(p.decode()) for p in usual + strange) == count(text)
+    assert sorted("".join(p.decode() for p in usual + strange)) == sorted(text)
+
+
+@pytest.mark.parametrize("kind", ["led", "apart"])
+@settings(max_examples=200, deadline=None)
+@given(chunks=st.lists(st.text(alphabet="aZéÉœ×÷ ǿɏɐß.,!漢", max_size=5).map(str.encode), max_size=8))
+def test_words_and_marks(kind, chunks):
+    word = textcode._PLAIN[kind].fullmatch
+    plain, marked = textcode.words_and_marked(chunks, kind)
+    assert plain.tolist() == [word(c) is not None for c in chunks]
+    assert marked.tolist() == [c[-1:] in (b".", b",") and word(c[:-1]) is not None for c in chunks]
+
+
 @settings(max_examples=100, deadline=None)
 @given(texts=st.lists(st.one_of(st.none(), TEXT), max_size=6))
 def test_words(texts):
