@@ -25,11 +25,12 @@ def glosses(definitions: DataFrame) -> DataFrame:
     return definitions.groupBy("synset_offset", "pos", "lang").agg(F.min("def").alias("def"))
 
 
-def candidates(words: DataFrame, lemmas: DataFrame, definitions: DataFrame, pos: str | None = None) -> DataFrame:
+def candidates(words: DataFrame, lemmas: DataFrame, definitions: DataFrame, pos: str | None = None, dictionary: DataFrame | None = None) -> DataFrame:
     """(lang, lemma, synset_offset, pos, gloss) of distinct (lang, lemma) words.
 
     The gloss is the English definition, else the one in the words' language, else empty. English words are looked up
-    in the same tables.
+    in the same tables. dictionary: (synset_offset, pos, def) rows of the English dictionary, whose gloss takes the place of a blank one of
+    words in other languages.
     """
     probe = F.lower(F.translate("lemma", "_", " "))
     stored = lemmas if pos is None else lemmas.where(F.col("pos") == pos)
@@ -39,7 +40,12 @@ def candidates(words: DataFrame, lemmas: DataFrame, definitions: DataFrame, pos:
     english = small(least.where("lang = 'eng'").select("synset_offset", "pos", F.col("def").alias("eng_def")))
     own = small(least.select("synset_offset", "pos", "lang", F.col("def").alias("own_def")))
     joined = found.join(english, ["synset_offset", "pos"], "left").join(own, ["synset_offset", "pos", "lang"], "left")
-    return joined.select("lang", "lemma", "synset_offset", "pos", F.coalesce("eng_def", "own_def", F.lit("")).alias("gloss"))
+    gloss = F.coalesce("eng_def", "own_def", F.lit(""))
+    if dictionary is not None:
+        table = dictionary.groupBy("synset_offset", F.when(F.col("pos") == "s", "a").otherwise(F.col("pos")).alias("_pos")).agg(F.min("def").alias("_dict"))
+        joined = joined.withColumn("_pos", F.when(F.col("pos") == "s", "a").otherwise(F.col("pos"))).join(small(table), ["synset_offset", "_pos"], "left")
+        gloss = F.when((F.trim(gloss) == "") & (F.col("lang") != "eng"), F.coalesce("_dict", gloss)).otherwise(gloss)
+    return joined.select("lang", "lemma", "synset_offset", "pos", gloss.alias("gloss"))
 
 
 #: Endings and what takes their place when an English form is brought to its base, by part of speech. Fixed values.

@@ -947,6 +947,19 @@ def demo_report(spark, d):
     return units.coverage(fixtures.samples(spark).select("text_id", "text", "lang"), lex.lemmas, lex.stopwords).select("lang", "total_words", "considered_words")
 
 
+@query(
+    sql(
+        STOP, values("samples", "text_id, lang, target, text", [(k, *r) for k, r in enumerate(fixtures.SAMPLES)]), _DETECT.replace("doc_id as text_id", "text_id").replace("from documents", "from samples"),
+        select="select s.lang, code, round(confidence, 6) as confidence, coalesce(code = s.lang, false) as right_ from each join samples s using (text_id)",
+    )
+)
+def demo_detection(spark, d):
+    """The languages of our sample texts as the detector finds them."""
+    rows = fixtures.samples(spark)
+    found = language.detect(rows.select("text_id", "text", "lang"), _lex(spark).stopwords).join(rows.select("text_id", "lang"), "text_id")
+    return found.select("lang", "code", F.round("confidence", 6).alias("confidence"), F.coalesce(F.col("code") == F.col("lang"), F.lit(False)).alias("right_"))
+
+
 @query(
     sql(
         STOP, LEM, DEFS, DOCS, TOK, UNITS, CANDS, TRANS,

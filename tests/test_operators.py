@@ -201,6 +201,15 @@ def test_glosses_come_from_english_first(spark):
     assert {(r.synset_offset, r.gloss) for r in rows} == {("08420278", "a financial institution"), ("9", "riva")}
 
 
+def test_glosses_of_the_dictionary_fill_blank_ones(spark):
+    lex = lemmas(spark, ("00000001", "n", "ita", "a"), ("00000002", "s", "ita", "a"), ("00000003", "n", "ita", "a"), ("00000001", "n", "eng", "a"))
+    table = defs(spark, ("00000003", "n", "ita", "nota"), ("00000001", "n", "eng", " "))
+    given = spark.createDataFrame([("00000001", "n", "one"), ("00000002", "a", "two"), ("00000003", "n", "three")], "synset_offset string, pos string, def string")
+    words = spark.createDataFrame([("ita", "a"), ("eng", "a")], "lang string, lemma string")
+    got = {(r.lang, r.synset_offset): r.gloss for r in senses.candidates(words, lex, table, dictionary=given).collect()}
+    assert got == {("ita", "00000001"): "one", ("ita", "00000002"): "two", ("ita", "00000003"): "nota", ("eng", "00000001"): " "}
+
+
 def test_best_and_profile(spark):
     rows = spark.createDataFrame([("u", "1", "n", "ita", "a", 0.8), ("u", "1", "n", "ita", "b", 0.9), ("u", "1", "n", "ita", "b", 0.9), ("u", "1", "n", "fra", "c", 0.4)], "lemma string, synset_offset string, pos string, target_lang string, target string, score double")
     assert {r.target_lang: r.score for r in translations.best_per_language(rows).collect()} == {"ita": 0.9, "fra": 0.4}
