@@ -14,12 +14,12 @@ def first_by_hash(rows: DataFrame, label: str, most: int) -> DataFrame:
     """The ``most`` rows of each label that come first by a hash of doc_id.
 
     Rows are counted by label, and only those under a hash bound that lets about ``SPARE * most`` of each label through are
-    ranked, so the ranking of a label reads a bounded number of rows. Labels with few rows pass whole.
+    ranked, so the ranking of a label reads a bounded number of rows. Labels with few rows pass whole. There must be few labels:
+    a row for each is broadcast, and a class of the classifier that is fitted stands for it.
     """
     place = F.pmod(F.xxhash64("doc_id"), F.lit(PLACES))
     counts = rows.groupBy(label).agg(F.count("*").alias("_n"))
     bound = F.lit(float(SPARE * most)) / F.col("_n") * PLACES
-    # one row for each class of the classifier: as few as its outputs
     near = rows.join(F.broadcast(counts), label).withColumn("_place", place).where(F.col("_place") <= bound)
     turn = F.row_number().over(Window.partitionBy(label).orderBy("_place", "doc_id"))
     return near.withColumn("_turn", turn).where(F.col("_turn") <= most).drop("_turn", "_place", "_n")

@@ -227,14 +227,17 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     another that it doesn't resemble, and the result doesn't depend on the order of rows.
     """
     own = docs.toDF(*[f"_c{k}" if c not in ("doc_id", "text") else c for k, c in enumerate(docs.columns)])
-    ids = near_duplicates(docs).where("doc_id is not null").select("doc_id", "fingerprint", (F.col("doc_id") == F.col("component_id")).alias("first"))
-    # an id with one fingerprint needs no look at its texts
+    ids = kept(near_duplicates(docs).where("doc_id is not null").select("doc_id", "fingerprint", (F.col("doc_id") == F.col("component_id")).alias("first")))
+    # an id with one fingerprint needs no look at its texts, and mostly there are no others
     per_id = ids.groupBy(F.col("doc_id").alias("_kept")).agg(F.min("fingerprint").alias("low"), F.max("fingerprint").alias("high"), F.max("first").alias("first"))
-    per_id = per_id.where("first").select("_kept", (F.col("low") != F.col("high")).alias("_many"))
-    rows = own.where("doc_id is not null").join(per_id, F.col("doc_id").cast("long") == F.col("_kept"))
-    plain = rows.where("not _many").withColumn("_print", F.lit(""))
-    several = _with_fingerprint(rows.where("_many")).join(ids.where("first").select(F.col("doc_id").alias("_kept"), F.col("fingerprint").alias("_print")).distinct(), ["_kept", "_print"], "left_semi")
-    both = plain.unionByName(several.select(plain.columns))
+    per_id = kept(per_id.where("first").select("_kept", (F.col("low") != F.col("high")).alias("_many")))
+    numbered = own.where("doc_id is not null")
+    same = F.col("doc_id").cast("long") == F.col("_kept")
+    both = numbered.join(per_id.where("not _many"), same).withColumn("_print", F.lit(""))
+    if per_id.where("_many").take(1):
+        several = _with_fingerprint(numbered.join(per_id.where("_many"), same))
+        prints = ids.where("first").select(F.col("doc_id").alias("_kept"), F.col("fingerprint").alias("_print")).distinct()
+        both = both.unionByName(several.join(prints, ["_kept", "_print"], "left_semi").select(both.columns))
     turn = F.row_number().over(Window.partitionBy("_kept", "_print").orderBy(F.xxhash64(*own.columns), F.xxhash64("text", F.lit(1))))
     first = both.withColumn("_turn", turn).where("_turn = 1").drop("_turn", "_kept", "_many", "_print")
     return first.unionByName(own.where("doc_id is null")).toDF(*docs.columns)
