@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes an Arrow batch holds at most, as whole texts may be long.
-BATCH_ROWS, BATCH_BYTES = 20_000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 20_000, 8 << 20
 
 #: A null doc_id stands after every other one.
 LAST_ID = (1 << 63) - 1

@@ -39,7 +39,7 @@ FAN_IN = 8
 LOCAL_PIECES = 500_000
 _TASK_BITS = 33
 #: Chunks that a worker remembers: its memory, against encoding rarer ones again.
-REMEMBERED = 250_000
+REMEMBERED = 200_000
 
 
 def best_fit(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,7 +99,7 @@ def local_pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity
             names = ("doc_id", "piece", "start", "length", "ids_crc32")
             return dict(zip(names, rows, strict=True)) | {"bin": bins + base, "offset": offsets, "fill": fill[bins], "task": np.full(len(bins), task)}
 
-        for b in sliced(batches, limit=7 << 20):
+        for b in sliced(batches, limit=4 << 20):
             ids, lengths = coder.encode(as_bytes(b.column(1)))
             ids, lengths = np.insert(ids, np.cumsum(lengths), end_id).astype("<u4"), lengths + 1
             begins = np.cumsum(lengths) - lengths
