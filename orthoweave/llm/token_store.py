@@ -16,8 +16,9 @@ rule (uint32), expansion length of each rule (uint32), symbols (uint16 or uint32
 Shards are the rows of a Parquet table in the shared folder, written by Spark's own committer, which works on
 any file system and drops what lost or repeated tasks left behind.
 
-Defined cases: null texts count as empty and have the end id alone; null doc_ids come first; rows with equal
-doc_ids are ordered by a hash of their text; an empty table gives no shards; extra columns are ignored.
+Defined cases: null texts count as empty and have the end id alone; very long texts are encoded whole, and a document longer than
+a shard is a shard of its own; null doc_ids come first; rows with equal doc_ids are ordered by a hash of their text; pairs of equal
+count become rules in order of their hash; an empty table gives no shards; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, doc_text, map_batches, ranges, sliced, written
+from .common import as_bytes, doc_text, map_batches, ranges, sliced, spread, written
 from .textcode import encoder
 
 END_ID = 2
@@ -39,81 +40,100 @@ _HEAD = struct.Struct("<4sIIIIIQQ")
 _NULL = -(1 << 63)
 
 
-def _frequent_pairs(pair: np.ndarray, last: np.ndarray, buckets: int, rules: int, exact: bool):
-    """(pairs from the most frequent on, their places in order, the number of the pair at each); None without any.
+def _frequent_pairs(key: np.ndarray, at: np.ndarray, next_: np.ndarray, rules: int, exact: bool):
+    """(pairs from the most frequent on, their places in order, the number of the pair at each, places that later rounds need).
 
-    Pairs are counted in hashed buckets, each standing for one of its pairs; or, if exact, those of full buckets by sorting.
+    key: the pair at each of the places ``at``, in ascending order. Pairs are counted in hashed buckets, each standing for one of its
+    pairs; or, if exact, by sorting. A pair that is too rare now is never frequent later, as replacing only takes places away.
     """
-    free = ~last[:-1]
-    h = ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) & (buckets - 1)
-    counts = np.bincount(h[free], minlength=buckets)
-    often = counts[counts >= LEAST]
-    if not len(often):
-        return None
-    least = max(LEAST, int(np.partition(often, -rules)[-rules])) if len(often) > rules and not exact else LEAST
-    at = np.flatnonzero((counts >= least)[h] & free)
-    h, key = h[at], pair[at]
     if exact:
         holder, h = np.unique(key, return_inverse=True)
         buckets = len(holder)
     else:
+        buckets = max(1 << 12, min(1 << 18, 1 << len(key).bit_length()))  # few enough for a core's cache
+        h = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - buckets.bit_length())).astype(np.int64)
+    counts = np.bincount(h, minlength=buckets)
+    often = counts[counts >= LEAST]
+    least = max(LEAST, int(np.partition(often, -rules)[-rules])) if len(often) > rules else LEAST
+    live = at[(counts >= LEAST)[h]]
+    some = np.flatnonzero((counts >= least)[h])
+    key, at, h = key[some], at[some], h[some]
+    if not exact:
         holder = np.zeros(buckets, dtype=np.int64)
         holder[h] = key  # one pair stands for a bucket; another pair in it waits for a later round
         own = holder[h] == key
-        at, h = at[own], h[own]
+        key, at, h = key[own], at[own], h[own]
     # in a run of one pair, every second place overlaps the one before
-    key = pair[at]
-    change = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (np.diff(key) != 0)]) if len(at) else at
-    apart = (at - np.repeat(at[change], np.diff(change, append=len(at)))) & 1 == 0
-    at, h = at[apart], h[apart]
+    change = np.append(True, (next_[at[:-1]] != at[1:]) | (key[1:] != key[:-1])) if len(at) else np.ones(0, dtype=bool)
+    if not change.all():
+        change = np.flatnonzero(change)
+        apart = (np.arange(len(at)) - np.repeat(change, np.diff(change, append=len(at)))) & 1 == 0
+        at, h = at[apart], h[apart]
     counts = np.bincount(h, minlength=buckets)
     found = np.flatnonzero(counts >= LEAST)
     found = found[np.argsort(-counts[found], kind="stable")][:rules]
-    if not len(found):
-        return None
     rank = np.full(buckets, -1, dtype=np.int64)
     rank[found] = np.arange(len(found))
     mine = rank[h]
-    return holder[found], at[mine >= 0], mine[mine >= 0]
+    return holder[found], at[mine >= 0], mine[mine >= 0], live
+
+
+def _merged(n: int, *places: np.ndarray) -> np.ndarray:
+    """Distinct places of a sequence of n, in order."""
+    if 16 * sum(map(len, places)) < n:
+        x = np.sort(np.concatenate(places))
+        return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+    found = np.zeros(n, dtype=bool)
+    for p in places:
+        found[p] = True
+    return np.flatnonzero(found)
 
 
 def re_pair(ids: np.ndarray, last: np.ndarray, first_free: int, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, their ``last`` flags, left, right) of ids; last marks the end of each document."""
-    seq, last = ids.astype(np.int64), last.copy()
+    """(symbols, their ``last`` flags, left, right) of ids; last marks the end of each document.
+
+    Symbols stay in place and know their neighbours; a round looks only at places where a pair can still be frequent: those that
+    were frequent before, and those beside a replacement.
+    """
+    n = len(ids)
+    seq, last = ids.astype(np.int32), last.copy()
+    next_, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+    alive, at = np.ones(n, dtype=bool), np.flatnonzero(~last)
+    none_ = 1 << 30
+    prior = np.full(n + 1, none_, dtype=np.int32)  # the last one stands for no neighbour, on either side
     left, right = [], []
-    made = 0
-    buckets = max(1 << 12, 1 << max(1, len(ids) - 1).bit_length())
-    exact = False
-    while len(seq) > 1 and made < limit:
-        pair = seq[:-1] << 32 | seq[1:]
-        rules = min(ROUND_RULES, limit - made)
-        found = _frequent_pairs(pair, last, buckets, rules, exact)
-        if found is None:
+    made, exact = 0, False
+    while made < limit:
+        pairs, at, mine, live = _frequent_pairs(seq[at].astype(np.int64) << 32 | seq[next_[at]], at, next_, min(ROUND_RULES, limit - made), exact)
+        if not len(pairs):
             if exact:
                 break
-            exact = True  # hashing may hide a pair behind another one
+            exact, at = True, live  # hashing may hide a pair behind another one
             continue
-        pairs, at, mine = found
         # where pairs overlap the more frequent one wins; in a run of one pair every second place is left out already
-        prior = np.full(len(seq) + 1, 1 << 40, dtype=np.int64)
-        prior[at + 1] = mine
-        chosen = (prior[at + 1] < prior[at]) & (prior[at + 1] < prior[np.minimum(at + 2, len(seq))])
+        prior[at] = mine
+        chosen = (mine < prior[before[at]]) & (mine < prior[next_[at]])
+        prior[at] = none_
         at, mine = at[chosen], mine[chosen]
-        uses = np.bincount(mine, minlength=len(pairs))
-        good = uses >= LEAST
+        good = np.bincount(mine, minlength=len(pairs)) >= LEAST
         new = np.cumsum(good) - 1 + made
-        pairs = pairs[good]
-        left.append(pairs >> 32)
-        right.append(pairs & 0xFFFFFFFF)
+        left.append(pairs[good] >> 32)
+        right.append(pairs[good] & 0xFFFFFFFF)
         made += int(good.sum())
         at, mine = at[good[mine]], mine[good[mine]]
+        gone = next_[at]
         seq[at] = first_free + new[mine]
-        last[at] = last[at + 1]
-        stay = np.ones(len(seq), dtype=bool)
-        stay[at + 1] = False
-        seq, last = seq[stay], last[stay]
+        last[at] = last[gone]
+        alive[gone] = False
+        after = next_[gone]
+        next_[at] = after
+        inside = after < n
+        before[after[inside]] = at[inside]
+        beside = before[at]
+        at = _merged(n, live, at, beside[beside >= 0])
+        at = at[alive[at] & ~last[at]]
     none = np.zeros(0, dtype=np.int64)
-    return seq, last, np.concatenate(left) if left else none, np.concatenate(right) if right else none
+    return seq[alive].astype(np.int64), last[alive], np.concatenate(left) if left else none, np.concatenate(right) if right else none
 
 
 def expansions(left: np.ndarray, right: np.ndarray, first_free: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -201,10 +221,8 @@ class Shard:
 
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """The table (part, seq, n_tokens, data) of shards of docs in ascending doc_id order."""
-    spark = docs.sparkSession
     rows = doc_text(docs).withColumn("tie", F.xxhash64("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
+    ordered = rows.repartitionByRange(spread(docs), F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
 
     def run(batches):
         from pyspark import TaskContext
