@@ -1,4 +1,4 @@
-"""Broadcasts behind a size check."""
+"""Broadcasts and dealing out, behind checks of sizes."""
 
 from __future__ import annotations
 
@@ -25,3 +25,18 @@ def estimated_bytes(df: DataFrame) -> int:
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if its estimated size is within the limit, else as it is."""
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
+
+
+#: Bytes of input for each core below which texts are dealt out before heavy work.
+DEALT_BYTES = 32 << 20
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """df dealt out over all cores if its tables are too small to fill them as they are read (few files, or few row groups); else as it is.
+
+    A large input has as many tasks as it has blocks, and isn't shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    return df if df.isStreaming or total > DEALT_BYTES * cores else df.repartition(cores)

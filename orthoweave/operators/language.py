@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.joins import small
+from ..functions.joins import dealt, small
 from ..functions.text import SUPPORTED, clean
 from .tokens import NO_SPACE, term
 
@@ -21,7 +21,7 @@ def detect(texts: DataFrame, stopwords: DataFrame) -> DataFrame:
     A text's words are cut once, by sentence. Sums by sentence and language are what is shuffled; the rest is done on the few
     sentences and languages of each text, as arrays.
     """
-    parts = texts.select("text_id", F.posexplode(F.split(clean(F.col("text")), r"(?<=[.!?])[ \t\n\x0B\f\r]+")).alias("part", "text"))
+    parts = dealt(texts.select("text_id", "text")).select("text_id", F.posexplode(F.split(clean(F.col("text")), r"(?<=[.!?])[ \t\n\x0B\f\r]+")).alias("part", "text"))
     # sentences beyond the first ones count for the text, not for a mixture of languages
     parts = parts.withColumn("part", F.least("part", F.lit(SENTENCES)))
     tokens = parts.select("text_id", "part", F.explode(F.regexp_extract_all("text", F.lit(f"({NO_SPACE})"), F.lit(1))).alias("token"))

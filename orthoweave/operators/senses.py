@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.joins import small
+from ..functions.joins import dealt, small
 from ..functions.text import ascii_lower, wordnet_pos
 from .tokens import bare_tokens, eligible, lemmatised, tagged, term, tokens
 
@@ -183,7 +183,7 @@ def context_frequencies(texts: DataFrame, stopwords: DataFrame, tags: DataFrame
 
     With a table of tags only tokens tagged as noun, verb, adjective or adverb count.
     """
-    rows = lemmatised(bare_tokens(texts))
+    rows = lemmatised(bare_tokens(dealt(texts)))
     if tags is not None:
         rows = tagged(rows, tags).where(wordnet_pos(F.col("tag")).isNotNull())
     rows = eligible(rows, stopwords).withColumn("term", term(F.col("token"))).where("term <> ''")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.joins import small
+from ..functions.joins import dealt, small
 from ..functions.text import ascii_lower, is_word, wordnet_pos
 from .tokens import bare_tokens, eligible, lemmatised, tagged, term, tokens
 
@@ -95,6 +95,7 @@ def units(texts: DataFrame, lemmas: DataFrame, stopwords: DataFrame, forms: Data
     Phrases are looked for only if longest_phrase is over 1; their tokens aren't units of their own. tags: a table as
     :func:`tokens.tagged` takes it; words tagged as nouns are units even where the lexicon doesn't know them.
     """
+    texts = dealt(texts)
     columns = [*_SENTENCE, "unit_type", "lemma", "begin", "end", "n_words"]
     if longest_phrase < 2:
         placed = lemmatised(tokens(texts), forms)
@@ -112,12 +113,12 @@ def coverage(texts: DataFrame, lemmas: DataFrame, stopwords: DataFrame, forms: D
     pass gives both counts. A phrase counts with all its words.
     """
     if longest_phrase > 1:
-        rows = flagged_tokens(texts, lemmas, stopwords, forms, tags)
+        rows = flagged_tokens(dealt(texts), lemmas, stopwords, forms, tags)
         words = rows.groupBy("text_id").agg(F.count_if("eligible").alias("total_words"))
         found = phrase_units(rows, lemmas, longest_phrase).select("text_id", F.explode("units").alias("u"))
         counts = words.join(found.groupBy("text_id").agg(F.sum("u.n").alias("considered_words"), F.count("*").alias("n_units")), "text_id", "left")
     else:
-        rows = lemmatised(bare_tokens(texts), forms)
+        rows = lemmatised(bare_tokens(dealt(texts)), forms)
         kept = eligible(rows if tags is None else tagged(rows, tags), stopwords)
         marked = kept.join(small(nouns(lemmas).withColumn("noun", F.lit(1))), ["lang", "lemma"], "left")
         if tags is not None:

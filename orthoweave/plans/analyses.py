@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.joins import small
+from ..functions.joins import dealt, small
 from ..functions.text import bar, clip, is_supported, is_word, label, wordnet_pos
 from ..operators import graph as graphs
 from ..operators import language
@@ -43,6 +43,7 @@ def sentence_units(texts: DataFrame, lex: Lexicon, longest_phrase: int = 1, tags
     context holds the sentence's distinct terms, units its occurrences (lemma, begin, end). Tokens are placed in their row and
     gathered by sentence where they lie, so the one shuffle carries a row per sentence.
     """
+    texts = dealt(texts)
     if longest_phrase > 1 or tags is not None:
         found = phrase_units(flagged_tokens(texts, lex.lemmas, lex.stopwords, tags=tags), lex.lemmas, longest_phrase)
         return found.withColumn("units", F.transform("units", lambda u: F.struct(u["lemma"].alias("lemma"), u["begin"].alias("begin"), u["end"].alias("end"))))
