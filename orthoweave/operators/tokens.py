@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ _MODES = {"whitespace": (NO_SPACE, SPACE), "regex": (rf"{WORD}|[^\p{{L}}\p{{M}}\
 _BYTES = np.arange(256)
 _SPACES, _CLOSES, _STOPS = (np.isin(_BYTES, list(x)) for x in (b" \t\n\x0b\f\r", b"\"')]", b".!?"))
 _STOP = re.compile(r"[.!?][\"')\]]*\Z")
+#: Bytes of text that are split at once: a token takes many times its bytes in arrays, and two tasks of an executor do so.
+SLICE_BYTES = 1 << 20
 
 
 def bare_tokens(texts: DataFrame, mode: str = "whitespace") -> DataFrame:
@@ -69,11 +72,19 @@ def _matched(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return np.array(text, np.int64), np.array(begin, np.int64), np.array(end, np.int64), np.array([bool(_STOP.search(t)) for t in found], bool), pa.array(found, pa.string())
 
 
+def sliced(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """batch in slices of whole rows; the texts of a slice but its last one have less than ``limit`` bytes."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    edges = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // limit)) + 1
+    for first, last in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
+        yield batch.slice(first, last - first)
+
+
 def tokens(texts: DataFrame, mode: str = "whitespace") -> DataFrame:
     """(text_id, lang, row, idx, sentence, token, begin, end): code-point offsets; idx and sentence count from 0.
 
     A sentence ends with a token that ends in a full stop, exclamation or question mark and closing marks. Each text is
-    split where it lies, without a shuffle. ``row`` tells rows of texts apart, those with equal or null text_id too.
+    split where it lies, without a shuffle, a slice of a batch at a time. ``row`` tells rows of texts apart, those with equal or null text_id too.
     """
     split = {"whitespace": _spaced, "regex": _matched}[mode]
     schema = StructType([*texts.select("text_id", "lang").schema.fields, *StructType.fromDDL("row long, idx int, sentence int, token string, begin int, end int").fields])
@@ -82,7 +93,7 @@ def tokens(texts: DataFrame, mode: str = "whitespace") -> DataFrame:
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 33
-        for b in batches:
+        for b in (x for whole in batches for x in sliced(whole, 2, SLICE_BYTES)):
             text, begin, end, ends, token = split(b.column(2))
             first = np.searchsorted(text, text)  # the first token of each one's text
             before = np.cumsum(ends) - ends
@@ -95,6 +106,42 @@ def tokens(texts: DataFrame, mode: str = "whitespace") -> DataFrame:
     return texts.select("text_id", "lang", F.col("text").cast("string")).mapInArrow(run, schema)
 
 
+#: Tokens of a sentence that are handed on as one array; a longer sentence has several rows.
+PIECE_TOKENS = 64
+
+
+def sentence_pieces(texts: DataFrame) -> DataFrame:
+    """(text_id, lang, row, sentence, whole, tokens): the tokens (token, begin, end) of each sentence as arrays, numbered as in :func:`tokens`.
+
+    A piece has ``PIECE_TOKENS`` tokens at most, so what is copied with an array stays in proportion to the text; ``whole`` says that a
+    piece is all of its sentence.
+    """
+    schema = StructType([*texts.select("text_id", "lang").schema.fields, *StructType.fromDDL("row long, sentence int, whole boolean, tokens array<struct<token string, begin int, end int>>").fields])
+
+    def run(batches):
+        from pyspark import TaskContext
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        kind = to_arrow_type(schema["tokens"].dataType)
+        base = TaskContext.get().partitionId() << 33
+        for b in (x for whole in batches for x in sliced(whole, 2, SLICE_BYTES)):
+            text, begin, end, ends, token = _spaced(b.column(2))
+            before = np.cumsum(ends) - ends
+            fresh = np.r_[True, (np.diff(text) != 0) | ends[:-1]][: len(text)]  # the first token of each sentence
+            start = np.flatnonzero(fresh)
+            of = np.cumsum(fresh) - 1
+            cut = np.flatnonzero((np.arange(len(text)) - start[of]) % PIECE_TOKENS == 0)
+            single = np.bincount(of[cut], minlength=len(start)) == 1
+            at = pa.array(text[cut])
+            numbers = (base + text[cut], (before - before[np.searchsorted(text, text)])[cut].astype(np.int32), single[of[cut]])
+            items = pa.StructArray.from_arrays([token, pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], fields=list(kind.value_type))
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[cut, len(text)].astype(np.int32)), items, type=kind)
+            base += b.num_rows
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *map(pa.array, numbers), lists], names=schema.names)
+
+    return texts.select("text_id", "lang", F.col("text").cast("string")).mapInArrow(run, schema)
+
+
 def sentences(texts: DataFrame) -> DataFrame:
     """(text_id, lang, row, sentence, begin, end) from the tokens' sentence numbers."""
     return tokens(texts).groupBy("text_id", "lang", "row", "sentence").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))

@@ -13,7 +13,7 @@ from ..functions.text import bar, clip, is_supported, is_word, label, wordnet_po
 from ..operators import graph as graphs
 from ..operators import language
 from ..operators.senses import Scorer, candidates, english_candidates, gloss_terms, overlap_scorer, phrase_in_text, scored, selected, with_missing
-from ..operators.tokens import eligible, lemmatised, tagged, term, tokens
+from ..operators.tokens import eligible, lemmatised, sentence_pieces, tagged, term, tokens
 from ..operators.translations import best_per_language, explorer, grouped, other_languages, ranked, scored_translations
 from ..operators.units import coverage, flagged_tokens, known_phrases, nouns, phrase_units, with_language
 from ..sources.fixtures import Lexicon
@@ -41,19 +41,25 @@ def sentence_units(texts: DataFrame, lex: Lexicon, longest_phrase: int = 1, tags
     """(text_id, lang, row, sentence, context, units): one row per sentence with a nominal unit.
 
     context holds the sentence's distinct terms, units its occurrences (lemma, begin, end). Tokens are placed in their row and
-    gathered by sentence where they lie, so the one shuffle carries a row per sentence.
+    gathered by sentence where they lie, so the one shuffle carries sentences with a unit only.
     """
     texts = dealt(texts)
     if longest_phrase > 1 or tags is not None:
         found = phrase_units(flagged_tokens(texts, lex.lemmas, lex.stopwords, tags=tags), lex.lemmas, longest_phrase)
         return found.withColumn("units", F.transform("units", lambda u: F.struct(u["lemma"].alias("lemma"), u["begin"].alias("begin"), u["end"].alias("end"))))
-    rows = eligible(lemmatised(tokens(texts)), lex.stopwords).withColumn("term", term(F.col("token")))
-    stop = small(lex.stopwords.select("lang", F.col("word").alias("term"), F.lit(1).alias("stop")).distinct())
-    marked = rows.join(stop, ["lang", "term"], "left").join(small(nouns(lex.lemmas).withColumn("noun", F.lit(1))), ["lang", "lemma"], "left")
-    usable = F.when((F.col("term") != "") & F.col("stop").isNull(), F.col("term"))
-    unit = F.when(F.col("noun") == 1, F.struct("lemma", "begin", "end"))
-    found = marked.groupBy(_SENTENCE).agg(F.collect_set(usable).alias("context"), F.collect_list(unit).alias("units"))
-    return found.where(F.size("units") > 0)
+    # a piece of a sentence goes along with each of its units; those of one piece that have none are dropped before anything is gathered
+    first = ~F.col("whole") & (F.col("at") == 0)
+    each = sentence_pieces(texts).select(*_SENTENCE, "whole", "tokens", F.posexplode("tokens").alias("at", "t")).withColumn("lemma", F.lower("t.token"))
+    near = each.join(small(nouns(lex.lemmas).withColumn("noun", F.lit(1))), ["lang", "lemma"], "left").where((F.col("noun") == 1) | first)
+    stop = small(lex.stopwords.select("lang", F.col("word").alias("lemma"), F.lit(1).alias("stop")).distinct())
+    is_unit = (F.col("noun") == 1) & F.col("stop").isNull() & is_word(F.col("t.token"))
+    marked = near.join(stop, ["lang", "lemma"], "left").withColumn("unit", F.when(is_unit, F.struct("lemma", "t.begin", "t.end"))).where(F.col("unit").isNotNull() | first)
+    found = marked.groupBy(_SENTENCE).agg(F.flatten(F.collect_set("tokens")).alias("tokens"), F.collect_list("unit").alias("units")).where(F.size("units") > 0)
+    lists = small(lex.stopwords.groupBy("lang").agg(F.collect_set("word").alias("stops")))
+    words = found.join(lists, "lang", "left").withColumn("stops", F.coalesce("stops", F.array().cast("array<string>")))
+    kept = F.filter("tokens", lambda t: is_word(t["token"]) & ~F.array_contains("stops", F.lower(t["token"])))
+    terms = F.transform(kept, lambda t: term(t["token"]))
+    return words.select(*_SENTENCE, F.array_except(terms, F.array_append("stops", F.lit(""))).alias("context"), "units")
 
 
 def _candidates(lex: Lexicon, longest_phrase: int = 1) -> DataFrame:

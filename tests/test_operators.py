@@ -366,3 +366,44 @@ def test_contrast(spark):
     assert max(len(r.line) for r in lines) <= 40 and {r.place for r in lines} == {1, 2}
     order = [(r.lemma, r.begin, not r.selected, -r.score) for r in found["comparisons"].where("text_id = 0").orderBy("place").collect()]
     assert order == sorted(order) and len(order) > 3
+
+
+def test_tokens_come_in_slices(spark, monkeypatch):
+    """A batch of texts is split a slice at a time, or two workers' arrays fill an executor."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    few, runs = texts(spark, "a"), []
+    with monkeypatch.context() as held:
+        held.setattr(type(few), "mapInArrow", lambda self, f, schema: runs.append(f) or self)
+        tokens.tokens(few), tokens.sentence_pieces(few)
+    monkeypatch.setattr(TaskContext, "get", classmethod(lambda cls: SimpleNamespace(partitionId=lambda: 0)))
+    whole = ["ab cd. " * 600, "", None, "x"] * 1500
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(whole))), pa.array(["eng"] * len(whole)), pa.array(whole)], names=["text_id", "lang", "text"])
+    for run in runs:
+        made = list(run(iter([batch, batch.slice(0, 0)])))
+        assert max(x.nbytes for x in made) < 32 << 20
+        assert {(a, b) for x in made for a, b in zip(x["text_id"].to_pylist(), x["row"].to_pylist(), strict=True)} == {(k, k) for k, t in enumerate(whole) if t}
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_sentences_against_their_tokens(spark, parts):
+    """Units and contexts of long, repeated, null and odd texts are those of the tokens one by one."""
+    lex = fixtures.lexicon(spark)
+    made = [
+        (1, "ring " * 500 + "the. ring 'it's don't THE ring?", "eng"), (1, "ring ring", "eng"), (None, "ring", None), (None, "the ring . Ring ring.", "eng"), (5, None, "eng"), (6, "", "eng"), (7, " . ! ?", "eng"),
+        (8, "été ring l'eau eau", "fra"), (9, "x " * 64 + "ring. " + "y " * 128 + "z. " + "a b " * 64 + " ring", "eng"), (10, "ring", "xxx"), (11, "the shed of a duck", "eng"),
+    ]
+    rows = spark.createDataFrame(made, "text_id long, text string, lang string").repartition(parts)
+    stop, noun = {tuple(r) for r in fixtures.stopword_rows()}, {tuple(r) for r in units.nouns(lex.lemmas).collect()}
+    want: dict = {}
+    for r in tokens.tokens(rows).withColumns({"lemma": F.lower("token"), "term": tokens.term(F.col("token"))}).collect():
+        if any(c.isalpha() for c in r.token) and (r.lang, r.lemma) not in stop:
+            context, found = want.setdefault((r.text_id, r.lang, r.row, r.sentence), (set(), []))
+            context |= {r.term} if (r.lang, r.term) not in stop else set()
+            found += [(r.lemma, r.begin, r.end)] if (r.lang, r.lemma) in noun else []
+    plain = sorted((str(k[:2]), k[3], sorted(c), sorted(u)) for k, (c, u) in want.items() if u)
+    got = analyses.sentence_units(rows, lex).collect()
+    assert sorted((str((r.text_id, r.lang)), r.sentence, sorted(r.context), sorted(map(tuple, r.units))) for r in got) == plain and len(plain) == 8
