@@ -311,9 +311,9 @@ def strict(statement: str) -> str:
 
 def _ranked(spark, d, lex, choice=CHOICE) -> DataFrame:
     found = analyses.sentence_units(_docs(spark, d), lex)
-    rows = found.select("text_id", "sentence", "lang", F.explode("units.lemma").alias("lemma"))
+    rows = found.select("text_id", "sentence", "lang", "context", F.explode(F.array_distinct("units.lemma")).alias("lemma"))
     table = senses.candidates(units.nouns(lex.lemmas), lex.lemmas, lex.definitions, "n")
-    scored = senses.scored(rows, found.select("text_id", "sentence", "context"), table)
+    scored = senses.overlap_scorer(rows.join(small(table), ["lang", "lemma"])).drop("context")
     return senses.selected(scored, ["text_id", "sentence", "lemma"], choice.threshold, choice.margin).withColumn("sentence", F.col("sentence").cast("long"))
 
 

@@ -407,3 +407,14 @@ def test_sentences_against_their_tokens(spark, parts):
     plain = sorted((str(k[:2]), k[3], sorted(c), sorted(u)) for k, (c, u) in want.items() if u)
     got = analyses.sentence_units(rows, lex).collect()
     assert sorted((str((r.text_id, r.lang)), r.sentence, sorted(r.context), sorted(map(tuple, r.units))) for r in got) == plain and len(plain) == 8
+
+
+def test_ranked_senses_read_the_tokens_once(spark, tmp_path):
+    """Scores take their context from the sentence's own row, not from another pass over all texts."""
+    from orthoweave.plans import queries
+
+    made = [(1, "a small ring of hot metal. the ring, the ring in a hand", "en"), (2, "no unit here", "en"), (3, None, "en"), (4, "l'anneau anneau", "fr")]
+    spark.createDataFrame(made, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.sense_scores(spark, str(tmp_path))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert sorted({(r.text_id, r.sentence, r.lemma) for r in found.collect()}) == [(1, 0, "ring"), (1, 1, "hand"), (1, 1, "ring"), (4, 0, "anneau")]
