@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.joins import dealt, small
-from ..functions.text import ascii_lower, wordnet_pos
-from .tokens import bare_tokens, eligible, lemmatised, tagged, term, tokens
+from ..functions.text import ascii_lower, is_word, wordnet_pos
+from .tokens import bare_tokens, eligible, lemmatised, sentence_pieces, tagged, term, tokens
 
 #: Thresholds and margins of the model scorers. Fixed values.
 ENGLISH_THRESHOLD, ENGLISH_MARGIN = 2.5, 0.25
@@ -141,18 +141,34 @@ def selected(rows: DataFrame, keys: list[str], threshold: float, margin: float)
     return ranked.withColumn("selected", (F.col("rank") == 1) & (F.col("score") >= threshold) & lead).drop("runner_up")
 
 
+def _status(ranked: DataFrame, keys: list[str]) -> DataFrame:
+    found = ranked.groupBy(*keys).agg(F.max((F.trim("gloss") == "").cast("int")).alias("unglossed"), F.max(F.col("selected").cast("int")).alias("chosen"))
+    known = F.when(F.col("unglossed") == 1, "missing-english-definition").when(F.col("chosen") == 1, "resolved").otherwise("ambiguous")
+    return found.select(*keys, known.alias("status"))
+
+
 def statuses(words: DataFrame, ranked: DataFrame, stopwords: DataFrame, keys: list[str]) -> DataFrame:
     """keys and status: unlinked, missing-english-definition, ambiguous or resolved."""
     stop = small(stopwords.select("lang", F.col("word").alias("lemma")).distinct().withColumn("stop", F.lit(True)))
-    found = ranked.groupBy(*keys).agg(F.max((F.trim("gloss") == "").cast("int")).alias("unglossed"), F.max(F.col("selected").cast("int")).alias("chosen"))
-    rows = words.select(*keys).distinct().join(stop, ["lang", "lemma"], "left").join(found, keys, "left")
-    status = (
-        F.when(F.col("stop") | (F.trim("lemma") == "") | F.col("unglossed").isNull(), "unlinked")
-        .when(F.col("unglossed") == 1, "missing-english-definition")
-        .when(F.col("chosen") == 1, "resolved")
-        .otherwise("ambiguous")
-    )
-    return rows.select(*keys, status.alias("status"))
+    rows = words.select(*keys).distinct().join(stop, ["lang", "lemma"], "left").join(_status(ranked, keys), keys, "left")
+    unlinked = F.col("stop") | (F.trim("lemma") == "")
+    return rows.select(*keys, F.when(F.coalesce(unlinked, F.lit(False)) | F.col("status").isNull(), "unlinked").otherwise(F.col("status")).alias("status"))
+
+
+def text_statuses(texts: DataFrame, ranked: DataFrame, candidates_: DataFrame, stopwords: DataFrame) -> DataFrame:
+    """(text_id, sentence, lang, lemma, status) as :func:`statuses` gives them, of all eligible words of texts.
+
+    ranked: the units of these texts with each of their candidates_. Any other word is unlinked, so only ranked's own rows need a look
+    at their scores; the words go to their sentence as one array for each piece of it.
+    """
+    keys = ["text_id", "sentence", "lang", "lemma"]
+    lists = small(stopwords.groupBy("lang").agg(F.collect_set("word").alias("stops")))
+    lower = F.transform("tokens", lambda t: F.lower(t["token"]))
+    pieces = sentence_pieces(dealt(texts)).join(lists, "lang", "left").withColumn("words", F.array_except(lower, F.coalesce("stops", F.array().cast("array<string>"))))
+    placed = pieces.where(F.size("words") > 0).select(*keys[:3], "words").repartition(*keys[:3])
+    words = placed.select(*keys[:3], F.explode("words").alias("lemma")).where(is_word(F.col("lemma")))
+    others = words.join(small(candidates_.select("lang", "lemma").distinct()), ["lang", "lemma"], "left_anti").distinct()
+    return others.select(*keys, F.lit("unlinked").alias("status")).unionByName(_status(ranked, keys).withColumn("sentence", F.col("sentence").cast("int")))
 
 
 def with_missing(ranked: DataFrame, keys: list[str]) -> DataFrame:

@@ -301,7 +301,6 @@ def gloss_fallback(spark, d):
 
 
 _SENSES = (STOP, LEM, DEFS, DOCS, TOK, UNITS, CANDS, SCORED)
-_KEYS = ["text_id", "sentence", "lang", "lemma"]
 
 
 def strict(statement: str) -> str:
@@ -342,8 +341,9 @@ def sense_select_strict(spark, d):
 def sense_status(spark, d):
     """Of all eligible words: those that the lexicon doesn't know are unlinked."""
     lex = _lex(spark)
-    words = tokens.eligible(tokens.lemmatised(tokens.tokens(_docs(spark, d))), lex.stopwords).withColumn("sentence", F.col("sentence").cast("long"))
-    return senses.statuses(words, _ranked(spark, d, lex), lex.stopwords, _KEYS).drop("lang")
+    table = senses.candidates(units.nouns(lex.lemmas), lex.lemmas, lex.definitions, "n")
+    found = senses.text_statuses(_docs(spark, d), _ranked(spark, d, lex), table, lex.stopwords)
+    return found.select("text_id", F.col("sentence").cast("long"), "lemma", "status")
 
 
 _SIGN = (

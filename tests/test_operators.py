@@ -413,8 +413,24 @@ def test_ranked_senses_read_the_tokens_once(spark, tmp_path):
     """Scores take their context from the sentence's own row, not from another pass over all texts."""
     from orthoweave.plans import queries
 
-    made = [(1, "a small ring of hot metal. the ring, the ring in a hand", "en"), (2, "no unit here", "en"), (3, None, "en"), (4, "l'anneau anneau", "fr")]
+    made = [(1, "a small ring of hot metal. the ring, the ring in a hand", "en"), (2, "nothing here", "en"), (3, None, "en"), (4, "l'anneau anneau", "fr")]
     spark.createDataFrame(made, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     found = queries.sense_scores(spark, str(tmp_path))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     assert sorted({(r.text_id, r.sentence, r.lemma) for r in found.collect()}) == [(1, 0, "ring"), (1, 1, "hand"), (1, 1, "ring"), (4, 0, "anneau")]
+
+
+def test_statuses_of_texts(spark, tmp_path):
+    """Only a sentence's words as an array are shuffled, and no word is joined with the scores; the rows are those of statuses()."""
+    from orthoweave.plans import queries
+
+    made = [(1, "A small ring, ring of hot metal . the RING in a shin 12 --", "en"), (2, "x " * 70 + "y " * 70 + "ring", "en"), (3, None, "en"), (4, "l'anneau anneau", "fr"), (5, "ring ring. ring", "en"), (5, "ring ring. ring", "en")]
+    spark.createDataFrame(made, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    lex, path = fixtures.lexicon(spark), str(tmp_path)
+    words = tokens.eligible(tokens.lemmatised(tokens.tokens(queries._docs(spark, path))), lex.stopwords)
+    keys = ["text_id", "sentence", "lang", "lemma"]
+    want = senses.statuses(words, queries._ranked(spark, path, lex), lex.stopwords, keys).drop("lang")
+    found = queries.sense_status(spark, path)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    assert "LeftOuter, (text_id" not in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and "Join LeftOuter, ((((text_id" not in plan
+    assert "RepartitionByExpression [text_id" in plan and "words#" in plan
