@@ -34,9 +34,8 @@ def graph(rows: DataFrame, stopwords: DataFrame, most: int = MOST_NODES) -> tupl
     shown = opened.where((F.col("opens") == 1) & (F.col("nodes") <= most))
     source = F.concat(F.lit("source:"), "unit")
     target = F.concat(source, F.lit("-"), "target_lang")
-    nodes = (
-        shown.where("k = 1")
-        .select("text_id", source.alias("id"), F.col("unit").alias("word"), F.col("lang").alias("language"), "unit", F.lit(True).alias("source"))
-        .unionByName(shown.select("text_id", target.alias("id"), F.col("target").alias("word"), F.col("target_lang").alias("language"), "unit", F.lit(False).alias("source")))
-    )
+    # a unit's own node and its first language's come from one row, so that the texts are read once
+    own = F.struct(source.alias("id"), F.col("unit").alias("word"), F.col("lang").alias("language"), "unit", F.lit(True).alias("source"))
+    other = F.struct(target.alias("id"), F.col("target").alias("word"), F.col("target_lang").alias("language"), "unit", F.lit(False).alias("source"))
+    nodes = shown.select("text_id", F.explode(F.when(F.col("k") == 1, F.array(own, other)).otherwise(F.array(other))).alias("x")).select("text_id", "x.*")
     return nodes, shown.select("text_id", source.alias("source"), target.alias("target"), "score")

@@ -142,6 +142,42 @@ def sentence_pieces(texts: DataFrame) -> DataFrame:
     return texts.select("text_id", "lang", F.col("text").cast("string")).mapInArrow(run, schema)
 
 
+#: The end of a sentence within white space, as :func:`_breaks` finds it; a sentence, up to its end and with the white space after it, or up to
+#: the text's end; some of its tokens with the white space around them. Nothing is taken back once matched, so a text takes one pass.
+_END = r"""[.!?]["')\]]*+"""
+_SENTENCE = rf"[^.!?]*+(?:{_END}(?![ \t\n\x0B\f\r])[^.!?]*+)*+(?:{_END}[ \t\n\x0B\f\r]++|\z)"
+_PIECE = rf"[ \t\n\x0B\f\r]*+(?:[^ \t\n\x0B\f\r]++[ \t\n\x0B\f\r]*+){{1,{PIECE_TOKENS}}}+"
+#: Where each string of an array begins if they are joined. An array that grows is copied at each step, so it grows by blocks of 64.
+_STARTS = (
+    "aggregate(transform(sequence(0, (size({0}) - 1) div 64), k -> transform(slice({0}, k * 64 + 1, 64), x -> length(x))), "
+    "named_struct('n', 0, 'at', cast(array() as array<array<int>>)), (a, block) -> named_struct('n', a.n + aggregate(block, 0, (n, x) -> n + x), "
+    "'at', array_append(a.at, aggregate(block, named_struct('n', a.n, 'at', cast(array() as array<int>)), (b, x) -> named_struct('n', b.n + x, 'at', array_append(b.at, b.n)), b -> b.at))), "
+    "a -> flatten(a.at))"
+)
+
+
+def _cut(rows: DataFrame, column: str, pattern: str) -> DataFrame:
+    """rows for each match of a pattern whose matches cover the column: ``at`` (its number), ``of`` (how many there are), ``start`` and ``part``."""
+    n = F.size("parts")
+    found = rows.withColumn("parts", F.regexp_extract_all(column, F.lit(pattern), F.lit(0))).drop(column)
+    starts = F.when(n == 1, F.array(F.lit(0))).when(n > 1, F.expr(_STARTS.format("parts"))).otherwise(F.array().cast("array<int>"))
+    # what a row keeps stands below the generator, so that no part is copied with another one
+    zipped = found.select(*found.columns, n.alias("of")).select(*found.drop("parts").columns, "of", F.arrays_zip("parts", starts.alias("starts")).alias("zipped"))
+    each = zipped.select(*found.drop("parts").columns, "of", F.posexplode("zipped").alias("at", "x"))
+    return each.select(*found.drop("parts").columns, "at", "of", F.col("x.starts").alias("start"), F.col("x.parts").alias("part"))
+
+
+def sentence_strings(texts: DataFrame) -> DataFrame:
+    """(text_id, lang, row, sentence, whole, begin, piece): the strings of sentences, with white space, numbered as in :func:`tokens`.
+
+    A piece has ``PIECE_TOKENS`` tokens at most, so what is copied with it stays in proportion to the text; ``whole`` says that it is
+    all of its sentence, ``begin`` where it begins in the text. Built-in functions only: no Python worker holds memory beside the executor's heap.
+    """
+    rows = texts.select("text_id", "lang", F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
+    found = _cut(rows, "text", _SENTENCE).select("text_id", "lang", "row", F.col("at").alias("sentence"), F.col("start").alias("first"), F.col("part").alias("string"))
+    return _cut(found, "string", _PIECE).select("text_id", "lang", "row", "sentence", (F.col("of") == 1).alias("whole"), (F.col("first") + F.col("start")).alias("begin"), F.col("part").alias("piece"))
+
+
 def sentences(texts: DataFrame) -> DataFrame:
     """(text_id, lang, row, sentence, begin, end) from the tokens' sentence numbers."""
     return tokens(texts).groupBy("text_id", "lang", "row", "sentence").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))

@@ -434,3 +434,48 @@ def test_statuses_of_texts(spark, tmp_path):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
     assert "LeftOuter, (text_id" not in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and "Join LeftOuter, ((((text_id" not in plan
     assert "RepartitionByExpression [text_id" in plan and "words#" in plan
+
+
+#: Queries over the sentences of documents whose executors were stopped by their memory at 1 GB.
+IN_HEAP = ["graph_links"]
+
+
+@pytest.mark.parametrize("name", IN_HEAP)
+def test_sentences_need_no_python_workers(spark, tmp_path, name):
+    """Workers' arrays stood beside a full heap; and the texts are read once."""
+    from orthoweave.plans import queries
+
+    spark.createDataFrame([(1, "a small ring of hot metal.", "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = queries.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapIn" not in plan and plan.count("Relation [doc_id") == 1
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_sentence_strings_against_their_tokens(spark, parts):
+    """Places of sentences and pieces, counted over blocks, are those of the tokens one by one; a piece is carried along alone."""
+    odd = "  \x0b🌊 one.\" two.)]x three.) \t'four' \" . ?! e.g. été...\u2028five\u00a0six! "
+    rows = spark.createDataFrame([
+        (1, odd, "eng"), (2, odd * 150, "eng"), (3, "ab 🌊 " * 5000, "eng"), (4, None, "eng"), (5, "", "eng"), (6, " \n", None), (7, "x. " * 4500 + "y", "eng"), (None, "a.\nb", None), (8, "a b! " * 64, "eng"), (8, "." * 9000, "eng"),
+    ], "text_id long, text string, lang string").repartition(parts)
+    made = tokens.sentence_strings(rows)
+    assert "parts" not in made._jdf.queryExecution().executedPlan().toString().split("Generate posexplode(zipped")[1].split(", [", 1)[1].split("]")[0]
+    got = {}
+    for r in made.collect():
+        items = tokens._spaced(pa_texts(r.piece))
+        n = len(items[4])
+        assert 0 < n <= tokens.PIECE_TOKENS
+        for k, t in enumerate(items[4].to_pylist()):
+            got.setdefault((r.text_id, r.lang, r.row), []).append((r.sentence, t, r.begin + int(items[1][k]), r.begin + int(items[2][k])))
+    want = {}
+    for r in tokens.tokens(rows).collect():
+        want.setdefault((r.text_id, r.lang, r.row), []).append((r.sentence, r.token, r.begin, r.end))
+    plain = lambda found: sorted((str(k[:2]), sorted(v)) for k, v in found.items())
+    assert plain(got) == plain(want)
+    counts = made.groupBy("row", "sentence").agg(F.count("*").alias("n"), F.min("whole").alias("whole"))
+    assert counts.where("whole <> (n = 1)").count() == 0
+
+
+def pa_texts(*rows):
+    import pyarrow as pa
+
+    return pa.array(rows)
