@@ -437,7 +437,7 @@ def test_statuses_of_texts(spark, tmp_path):
 
 
 #: Queries over the sentences of documents whose executors were stopped by their memory at 1 GB.
-IN_HEAP = ["graph_links", "sense_select_strict", "text_comparisons", "text_details_strict", "text_transparency_scored", "analysed_units", "comparisons_placed", "graph_nodes", "sense_select", "text_details", "text_transparency", "text_transparency_strict"]
+IN_HEAP = ["graph_links", "sense_select_strict", "text_comparisons", "text_details_strict", "text_transparency_scored", "analysed_units", "comparisons_placed", "graph_nodes", "sense_select", "text_details", "text_transparency", "text_transparency_strict", "top12_report"]
 
 
 @pytest.mark.parametrize("name", IN_HEAP)
