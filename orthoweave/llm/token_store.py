@@ -36,6 +36,8 @@ from .textcode import encoder
 END_ID = 2
 SHARD_TOKENS = 1 << 19
 ROUND_RULES, LEAST = 2000, 6
+#: Chunks whose ids a worker remembers; beside its arrays it has room for more than other operators' workers.
+KNOWN_CHUNKS = 1_000_000
 _HEAD = struct.Struct("<4sIIIIIQQ")
 _NULL = -(1 << 63)
 
@@ -227,7 +229,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID, shard_to
     def run(batches):
         from pyspark import TaskContext
 
-        part, coder = TaskContext.get().partitionId(), encoder(tokenizer)
+        part, coder = TaskContext.get().partitionId(), encoder(tokenizer, KNOWN_CHUNKS)
         vocabulary = max(coder.tokenizer.get_vocab_size(), end_id + 1)
         held, size, before, seq = [], 0, 0, 0
 

@@ -94,3 +94,29 @@ def test_written_tables_can_be_dropped(spark):
     common.discard(df)
     with pytest.raises(Exception):  # noqa: B017  the files are gone
         spark.read.parquet(df.inputFiles()[0]).count()
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_known_chunks_are_looked_up_once(name):
+    """A chunk met before costs one look at what is known, and odd white space is still found."""
+    class Counted(dict):
+        looks = 0
+
+        def get(self, *x):
+            Counted.looks += 1
+            return dict.get(self, *x)
+
+        def __getitem__(self, x):
+            Counted.looks += 1
+            return dict.__getitem__(self, x)
+
+    coder = textcode.Encoder(textcode.tokenizer_path(name))
+    text = " ".join(f"word{k}x été{k}, plain." for k in range(300)).encode()
+    first, _ = coder.encode([text])
+    coder.known = Counted(coder.known)
+    again, _ = coder.encode([text, None, b""])
+    assert first.tolist() == again.tolist() == coder.tokenizer.encode(text.decode(), add_special_tokens=False).ids
+    assert Counted.looks == len(coder._pieces([text, b"", b""])[0])
+    for char in map(chr, range(0x80, 0x3100)):
+        t = f"é{char}a".encode()
+        assert textcode.odd(t) == (textcode._ODD.search(t) is not None)
