@@ -14,7 +14,7 @@ from ..functions.joins import small
 from ..functions.vectors import cosine, mean_pool
 from ..operators import language, nearest, senses, substitution, tokens, translations, units
 from ..sources import fixtures, tabs
-from ..sources.words import texts
+from ..sources.words import stored, texts
 from ..streaming import details
 from . import analyses
 
@@ -109,7 +109,7 @@ def sql(*parts: str, select: str) -> str:
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return analyses.supported_texts(texts(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text", "lang"))
+    return analyses.supported_texts(texts(stored(spark, f"{d}/documents.parquet"), "doc_id", "text", "lang"))
 
 
 def _parts(spark: SparkSession, d: str) -> DataFrame:

@@ -93,6 +93,15 @@ def wordnet_exceptions(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("base", F.translate("base", "_", " ")).distinct()
 
 
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table of texts, read in buffers of a few MB.
+
+    A vectored read takes all of a row group's texts at once, through direct memory of that size which its thread then keeps:
+    outside the heap, an executor holds the largest row group once more for each such thread.
+    """
+    return spark.read.option("parquet.hadoop.vectored.io.enabled", "false").parquet(path)
+
+
 def texts(df: DataFrame, text_id: str, text: str, lang) -> DataFrame:
     """(text_id, text, lang) of any table; lang is a column or a code for all rows."""
     code = normal_code(F.col(lang) if lang in df.columns else F.lit(lang)) if isinstance(lang, str) else normal_code(lang)

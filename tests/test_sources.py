@@ -2,6 +2,7 @@ import uuid
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import orthoweave.__main__ as command
 from orthoweave.plans import analyses
@@ -112,3 +113,25 @@ def test_stream_is_the_batch(spark, tmp_path):
 def test_german_is_for_comparison_only(spark):
     rows = words.texts(spark.createDataFrame([(1, "x", "de"), (2, "y", "en")], "id long, body string, lang string"), "id", "body", "lang")
     assert [r.lang for r in analyses.supported_texts(rows).collect()] == ["eng"] and analyses.supported_texts(rows, german=True).count() == 2
+
+
+def test_a_row_group_of_texts_is_not_held_outside_the_heap(spark, tmp_path):
+    """The direct memory of the JVM doesn't grow by the size of a row group that is read."""
+    import random
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from orthoweave.plans import queries
+
+    draw = random.Random(3)
+    rows = [draw.randbytes(1 << 17).hex() for _ in range(256)]
+    table = pa.table({"doc_id": pa.array(range(len(rows)), pa.int64()), "text": rows, "lang": ["en"] * len(rows)})
+    pq.write_table(table, tmp_path / "documents.parquet", compression="none", use_dictionary=False)
+    java = spark._jvm.java.lang
+    pools = java.management.ManagementFactory.getPlatformMXBeans(java.Class.forName("java.lang.management.BufferPoolMXBean"))
+    direct = next(p for p in pools if p.getName() == "direct")
+    held = direct.getMemoryUsed()
+    docs = queries._docs(spark, str(tmp_path))
+    assert docs.agg(F.sum(F.length("text"))).first()[0] == 256 << 18
+    assert direct.getMemoryUsed() - held < 16 << 20
