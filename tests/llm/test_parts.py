@@ -54,6 +54,27 @@ def test_words_and_marks(kind, chunks):
     assert marked.tolist() == [c[-1:] in (b".", b",") and word(c[:-1]) is not None for c in chunks]
 
 
+@settings(max_examples=200, deadline=None)
+@given(chunks=st.lists(st.text(alphabet="aZé$&!'\"|>._9 漢", max_size=6).map(str.encode), max_size=8))
+def test_words_and_tails_of_marks(chunks):
+    tail = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]+)").fullmatch
+    plain, tails = textcode.words_and_tails(chunks, "apart")
+    assert plain.tolist() == [textcode._PLAIN["apart"].fullmatch(c) is not None for c in chunks]
+    assert tails.tolist() == [len(m[2]) if (m := tail(c)) else 0 for c in chunks]
+
+
+def test_a_word_with_a_tail_of_marks_takes_its_ids_from_the_known_word(monkeypatch):
+    coder, library = both("word_bpe_49k.json")
+    texts = ["reed", "reed$$$ reed.%%% reed!! reed&&& reed***"]
+    coder._forget()
+    coder.encode([texts[0].encode(), b"$$$ .%%% !! &&& ***"])
+    asked = []
+    encode = coder._encode_chunks
+    monkeypatch.setattr(coder, "_encode_chunks", lambda chunks: asked.append(chunks) or encode(chunks))
+    ids, _ = coder.encode([texts[1].encode()])
+    assert ids.tolist() == library.encode(texts[1], add_special_tokens=False).ids and not asked
+
+
 @settings(max_examples=100, deadline=None)
 @given(texts=st.lists(st.one_of(st.none(), TEXT), max_size=6))
 def test_words(texts):
