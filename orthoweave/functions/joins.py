@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest side (bytes) that is broadcast; beyond it Spark shuffles.
@@ -29,14 +29,37 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
 
 #: Bytes of input for each core below which texts are dealt out before heavy work.
 DEALT_BYTES = 32 << 20
+#: Bytes of a table that one task can read before texts are dealt out as well; bytes of input for each part of these.
+COARSE_BYTES, PART_BYTES = 64 << 20, 16 << 20
+#: Up to so many parts Spark writes each row straight to its part's file, without sorting rows in memory.
+MOST_PARTS = 200
+
+
+def _coarse(spark: SparkSession, leaf, size: int) -> bool:
+    """Whether one task reads over ``COARSE_BYTES`` of a table in files, as a row group isn't divided. Only the files' footers are read."""
+    if leaf.nodeName() != "LogicalRelation" or size <= COARSE_BYTES:
+        return False
+    scan = DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, leaf), spark)
+    most, rows = scan.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).first()
+    return bool(rows) and size * most > COARSE_BYTES * rows
 
 
 def dealt(df: DataFrame) -> DataFrame:
-    """df dealt out over all cores if its tables are too small to fill them as they are read (few files, or few row groups); else as it is.
+    """df dealt out over all cores if its tables are too small to fill them as they are read (few files, or few row groups), or if
+    they lie in large row groups; else as it is.
 
-    A large input has as many tasks as it has blocks, and isn't shuffled.
+    Any other large input has as many tasks as it has blocks, and isn't shuffled. A task holds the row group that it reads in its heap, so
+    where that is large the work is done by other tasks.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    total = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
-    return df if df.isStreaming or total > DEALT_BYTES * cores else df.repartition(cores)
+    sizes = [(leaves.apply(k), int(str(leaves.apply(k).stats().sizeInBytes()))) for k in range(leaves.size())]
+    total = sum(size for _, size in sizes)
+    if total <= DEALT_BYTES * cores:
+        return df.repartition(cores)
+    if not any(_coarse(df.sparkSession, leaf, size) for leaf, size in sizes):
+        return df
+    parts = min(MOST_PARTS, max(cores, total // PART_BYTES))
+    return df.withColumn("_number", F.monotonically_increasing_id()).repartition(parts, "_number").drop("_number")
