@@ -135,3 +135,32 @@ def test_a_row_group_of_texts_is_not_held_outside_the_heap(spark, tmp_path):
     docs = queries._docs(spark, str(tmp_path))
     assert docs.agg(F.sum(F.length("text"))).first()[0] == 256 << 18
     assert direct.getMemoryUsed() - held < 16 << 20
+
+
+def test_a_large_row_group_is_dealt_out(spark, tmp_path, monkeypatch):
+    """Rows of one large row group get to all cores, none lost; a table in small row groups is read where it lies."""
+    import random
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from orthoweave.functions import joins
+
+    monkeypatch.setattr(joins, "DEALT_BYTES", 1 << 10)
+    monkeypatch.setattr(joins, "COARSE_BYTES", 1 << 18, raising=False)
+    draw = random.Random(5)
+    rows = [draw.randbytes(64).hex() for _ in range(8192)]
+    table = pa.table({"text_id": pa.array([k // 2 for k in range(len(rows))], pa.int64()), "text": rows})
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1 << 17)
+    try:
+        for name, size in (("large", len(rows)), ("small", 512)):
+            pq.write_table(table, tmp_path / name, row_group_size=size, compression="none", use_dictionary=False)
+        large, small = words.stored(spark, f"{tmp_path}/large"), words.stored(spark, f"{tmp_path}/small")
+        got = joins.dealt(large)
+        counts = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(counts) == 4 and max(counts) < 0.4 * len(rows)
+        assert got.columns == large.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, large.collect()))
+        assert joins.dealt(small) is small
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
